@@ -160,15 +160,18 @@ def _flagged(
     `stage` they are written to the shared scratch folder first, so that Spark knows their size
     before it decides whether the wide corpus has to be shuffled for that join.
     """
-    inlined = {tag: _inline_tokens(names, "strict", inline) for tag, names in lists.items()}
-    if all(tokens is not None for tokens in inlined.values()):
-        names = author_names(S.line_field(F.col("content"), "Authors:"))
-        asked = F.flatten(_asked_by(names, "strict"))
-        return corpus.withColumns({tag: F.arrays_overlap(asked, tokens) for tag, tokens in inlined.items()})
-    matched = matched_keys(corpus, lists)
-    if stage:
-        matched = staged(matched, "matched-keys")
-    return corpus.join(matched, "key", "left").fillna(False, list(lists))
+    names = author_names(S.line_field(F.col("content"), "Authors:"))
+    asked = F.flatten(_asked_by(names, "strict"))
+    inlined = {tag: _inline_tokens(listed, "strict", inline) for tag, listed in lists.items()}
+    short = {tag: F.arrays_overlap(asked, tokens) for tag, tokens in inlined.items() if tokens is not None}
+    long = {tag: listed for tag, listed in lists.items() if tag not in short}
+    flagged = corpus.withColumns(short) if short else corpus
+    if long:
+        matched = matched_keys(corpus, long)
+        if stage:
+            matched = staged(matched, "matched-keys")
+        flagged = flagged.join(matched, "key", "left").fillna(False, list(long))
+    return flagged
 
 
 def exclude_authors(corpus: DataFrame, names: DataFrame, **how) -> DataFrame:
