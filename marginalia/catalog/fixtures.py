@@ -21,19 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents`, spread over the cores if it is so small that it has fewer partitions than those.
+    """`documents`, spread over the cores if the table is so small that it has fewer files than those.
 
-    A large table has more partitions than cores and is not shuffled.
+    A large table has more files than cores and is not shuffled.
     """
     docs = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` of six words or more as paper rows."""
+    return _as_papers(documents(spark, sf_dir))
+
+
+def _as_papers(docs: DataFrame) -> DataFrame:
     head = F.regexp_extract("text", r"^[ \n]*((?:[^ \n]+[ \n]+){5}[^ \n]+)", 1)
-    docs = documents(spark, sf_dir).withColumn("w", F.split(head, r"[ \n]+")).where(F.size("w") == 6)
+    docs = docs.withColumn("w", F.split(head, r"[ \n]+")).where(F.size("w") == 6)
     doc_id = F.col("doc_id").cast("string")
 
     def pair(i: int) -> Column:
@@ -58,8 +62,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    labelled = table(spark, sf_dir, "labels").where(F.col(label) == 1).select(F.col("doc_id").alias("key"))
-    authors = papers(spark, sf_dir).select("key", "authors").join(labelled, "key", "left_semi")
+    labelled = table(spark, sf_dir, "labels").where(F.col(label) == 1)
+    authors = _as_papers(table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")).select("authors")
     # A list is kept as a table, as it would be in use, and not derived again for every lookup.
     return staged(authors.select(F.explode("authors").alias("name")), f"{label}-names")
 

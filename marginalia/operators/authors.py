@@ -119,7 +119,8 @@ def author_match(authors: DataFrame, names: DataFrame, mode: str = "strict", sal
         tokens = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append("salt")
     hits = asked.join(tokens, on, "left_semi").drop(*on)
-    return hits.dropDuplicates(["key", "pos"])
+    # A loose candidate asks for one token only, so it cannot be met twice.
+    return hits if mode == "loose" else hits.dropDuplicates(["key", "pos"])
 
 
 def _inline_tokens(names: DataFrame, mode: str, limit: int) -> Column | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.authors import OTHER, PRIORITY
 from marginalia.operators.text import parse_records
+from marginalia.session import staged
 
 # Headers of a report.
 SECTION_HEADERS = {PRIORITY: "## Priority (whitelist authors)", OTHER: "## Other recommendations"}
@@ -16,9 +17,17 @@ TOP_HEADER = "## Top Recommendations:"
 MAX_RANK = 10_000
 
 
-def attach_records(recs: DataFrame, records: DataFrame) -> DataFrame:
-    """Join (key, ...) with the parsed record (key, content); a missing record is an error."""
-    parsed = parse_records(records).withColumn("_found", F.lit(True))
+def attach_records(recs: DataFrame, records: DataFrame, stage: bool = True) -> DataFrame:
+    """Join (key, ...) with the parsed record (key, content); a missing record is an error.
+
+    The records are cut down to the wanted keys before they are parsed and joined. With `stage`
+    the recommendations are written first, so that Spark knows how few they are and broadcasts
+    them to the records instead of shuffling all texts.
+    """
+    if stage:
+        recs = staged(recs, "recs")
+    wanted = records.join(recs.select("key"), "key", "left_semi")
+    parsed = parse_records(wanted).withColumn("_found", F.lit(True))
     missing = F.raise_error(F.concat(F.lit("no record for key "), F.col("key").cast("string")))
     found = F.when(F.col("_found"), F.col("_found")).otherwise(missing.cast("boolean"))
     return recs.join(parsed, "key", "left").where(found).drop("_found")
