@@ -96,7 +96,7 @@ def _asked_by(authors: Column, mode: str) -> Column:
 
 
 def _name_tokens(names: DataFrame, mode: str) -> DataFrame:
-    return names.select(F.explode(_offered(name_parts(F.col("name")), mode)).alias("token")).distinct()
+    return names.select(F.explode(_offered(name_parts(F.col("name")), mode)).alias("token"))
 
 
 def _check_mode(mode: str) -> None:
@@ -108,7 +108,9 @@ def author_match(authors: DataFrame, names: DataFrame, mode: str = "strict", sal
     """Rows of `authors` (key, pos, author) that match any of `names` (name).
 
     Spark broadcasts a small list. A list too large for that is joined by shuffle, where a common
-    name is split by adaptive skew handling, or by `salts` copies of the list.
+    name is split by adaptive skew handling, or by `salts` copies of the list. (The list is not made
+    distinct: a semi join has no use for it, and an aggregate between shuffle and join would keep
+    adaptive execution from splitting.)
     """
     _check_mode(mode)
     asked = authors.withColumn("token", F.explode(_asked(name_parts(F.col("author")), mode)))
@@ -124,42 +126,47 @@ def author_match(authors: DataFrame, names: DataFrame, mode: str = "strict", sal
 
 
 def _inline_tokens(names: DataFrame, mode: str, limit: int) -> Column | None:
-    """The list's tokens as a constant array, or None when the list is too long for that.
+    """The list's tokens as a constant array, or None when it has more than `limit` names.
 
-    Runs a job that returns a bounded number of tokens (two per name at most) to the driver.
+    Runs a job that reads and returns at most `limit` + 1 names, however long the list is.
     """
-    rows = _name_tokens(names, mode).limit(2 * limit + 1).collect() if limit > 0 else None
-    if rows is None or len(rows) > 2 * limit:
+    if limit <= 0:
         return None
-    if not rows:
-        return F.array().cast("array<string>")
-    return F.split(F.lit("\n".join(sorted(r.token for r in rows))), "\n")
+    rows = names.limit(limit + 1).select(_offered(name_parts(F.col("name")), mode).alias("tokens")).collect()
+    if len(rows) > limit:
+        return None
+    tokens = sorted({token for row in rows for token in row.tokens})
+    return F.split(F.lit("\n".join(tokens)), "\n") if tokens else F.array().cast("array<string>")
 
 
-def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], mode: str = "strict") -> DataFrame:
+def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], stage: bool = True) -> DataFrame:
     """(key, one BOOLEAN per list) for the records with an author on any of the lists.
 
-    All lists are looked up in one join; only matching rows are shuffled by key.
+    All lists are looked up in one join; only matching rows are shuffled by key. With `stage` the
+    lists' tokens are written first: their size is then known, and if it asks for a shuffle join,
+    adaptive execution can split a common name there.
     """
-    _check_mode(mode)
+    mode = "strict"
     tagged = [
         _name_tokens(names, mode).select("token", *[F.lit(tag == t).alias(t) for t in lists])
         for tag, names in lists.items()
     ]
     flags = [F.max(t).alias(t) for t in lists]
     tokens = reduce(DataFrame.unionByName, tagged).groupBy("token").agg(*flags)
+    if stage:
+        tokens = staged(tokens, "name-tokens")
     asked = explode_authors(corpus).select("key", F.explode(_asked(name_parts(F.col("author")), mode)).alias("token"))
     return asked.join(tokens, "token").groupBy("key").agg(*flags)
 
 
 def _flagged(
-    corpus: DataFrame, lists: dict[str, DataFrame], inline: int = INLINE_NAMES, stage: bool = False
+    corpus: DataFrame, lists: dict[str, DataFrame], inline: int = INLINE_NAMES, stage: bool = True
 ) -> DataFrame:
     """`corpus` with one BOOLEAN per list: does the record have an author on it (strict match)?
 
-    Short lists become a row-local set test. Otherwise the matching keys are joined back; with
-    `stage` they are written to the shared scratch folder first, so that Spark knows their size
-    before it decides whether the wide corpus has to be shuffled for that join.
+    A short list becomes a row-local set test. For a longer one the matching keys are joined back;
+    with `stage` they are written to the shared scratch folder first, so that Spark knows their
+    size before it decides whether the wide corpus has to be shuffled for that join.
     """
     names = author_names(S.line_field(F.col("content"), "Authors:"))
     asked = F.flatten(_asked_by(names, "strict"))
@@ -168,7 +175,7 @@ def _flagged(
     long = {tag: listed for tag, listed in lists.items() if tag not in short}
     flagged = corpus.withColumns(short) if short else corpus
     if long:
-        matched = matched_keys(corpus, long)
+        matched = matched_keys(corpus, long, stage)
         if stage:
             matched = staged(matched, "matched-keys")
         flagged = flagged.join(matched, "key", "left").fillna(False, list(long))
@@ -211,7 +218,7 @@ def flag_authors(cards: DataFrame, names: DataFrame, by: list[str], inline: int
             lambda a, asked: F.struct(a.alias("name"), F.arrays_overlap(asked, tokens).alias("hit")),
         )
         return cards.select(*by, flags.alias("flags"))
-    listed = _name_tokens(names, "loose").withColumn("hit", F.lit(True))
+    listed = staged(_name_tokens(names, "loose").distinct().withColumn("hit", F.lit(True)), "name-tokens")
     parts = cards.select(*by, F.posexplode_outer(authors).alias("pos", "name")).withColumn(
         "token", F.get(_asked(name_parts(F.col("name")), "loose"), F.lit(0))
     )

@@ -35,7 +35,7 @@ def recommend(
     so that no text is carried through the ranking.
     """
     records = render_records(recent_window(papers, options.categories, options.days, options.cap))
-    routed = route_priority(records, black, white, stage=True)
+    routed = route_priority(records, black, white)
     scored = score_candidates(encode(compose_text(routed)), my_vectors)
     best = top_n_per_section(score_threshold(scored, options.threshold), options.top_n)
     # Every key of `best` comes from `records`, and there are at most SECTIONS x top_n of them.

@@ -31,7 +31,7 @@ def insert_new(target: DataFrame, batch: DataFrame, key: str, order: Column) ->
     small batch is broadcast to a large target rather than the target being shuffled.
     """
     fresh = first_by_key(batch, key, order)
-    taken = target.select(key).join(batch.select(key), key, "left_semi")
+    taken = target.select(key).join(fresh.select(key), key, "left_semi")
     return fresh.join(taken, key, "left_anti")
 
 
