@@ -21,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents`, spread over the cores if the table is so small that it has fewer files than those.
+    """`documents`, spread over the cores if the table is so small that it has fewer partitions.
 
-    A large table has more files than cores and is not shuffled.
+    A large table has more partitions than there are cores and is not shuffled.
     """
     docs = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

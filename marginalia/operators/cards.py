@@ -19,6 +19,18 @@ RECORD_MARK = "\x1e"  # cannot occur in a text whose line boundaries are all "\n
 BLANKS = r"[ \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"  # whitespace that ends no line
 RULE_LINE = rf"(?m)^{BLANKS}---{BLANKS}$"
 
+# Patterns and replacements for backticks in an abstract.
+QUOTING_RULES = (
+    (r"```[\s\S]*?```", ""),  # fenced code
+    (r"`([^'\n]+)'", "'$1'"),  # `word'
+    ("``", '"'),
+    (r"`([^`]+)`", "$1"),  # inline code
+    ("`", "'"),
+)
+
+# Where a url names a paper.
+PAPER_ID_PATTERNS = (r"/pdf/([^/]+)\.pdf", r"/abs/([^/?#]+)", r"/html/([^/?#]+)")
+
 # Colours of the score bands.
 BAND_COLORS = {"green": "#22c55e", "amber": "#f59e0b", "red": "#ef4444"}
 GREEN_MARGIN = 0.1
@@ -138,12 +150,11 @@ def entry_links(sections: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def sanitize_abstract(cards: DataFrame, column: str = "abstract") -> DataFrame:
-    """Remove code fences and turn backtick quoting into plain quotes, in this order."""
-    text = F.regexp_replace(column, r"```[\s\S]*?```", "")
-    text = F.regexp_replace(text, r"`([^'\n]+)'", "'$1'")
-    text = F.replace(text, F.lit("``"), F.lit('"'))
-    text = F.regexp_replace(text, r"`([^`]+)`", "$1")
-    return cards.withColumn(column, F.replace(text, F.lit("`"), F.lit("'")))
+    """Remove code fences and turn backtick quoting into plain quotes, by QUOTING_RULES in order."""
+    text = F.col(column)
+    for pattern, replacement in QUOTING_RULES:
+        text = F.regexp_replace(text, pattern, replacement)
+    return cards.withColumn(column, text)
 
 
 def score_bands(cards: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -166,8 +177,7 @@ def paper_links(cards: DataFrame, site: str) -> DataFrame:
 
     All three are '' when the url names no paper.
     """
-    patterns = [r"/pdf/([^/]+)\.pdf", r"/abs/([^/?#]+)", r"/html/([^/?#]+)"]
-    found = [F.nullif(F.regexp_extract("url", p, 1), F.lit("")) for p in patterns]
+    found = [F.nullif(F.regexp_extract("url", p, 1), F.lit("")) for p in PAPER_ID_PATTERNS]
     with_id = cards.withColumn("paper_id", F.coalesce(*found, F.lit("")))
 
     def page(kind: str) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marginalia.session import staged
+
 OWN_BYTES = 256 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -93,6 +95,7 @@ def _compare(
 
         return new.mapInArrow(with_broadcast, schema), True
 
+    new = staged(new, "new-vectors")  # it is read once per own tile, and must not be encoded again
     blocks = ceil(size / own_bytes)
     chunks = max(1, ceil(new.count() * row / own_bytes))
 

@@ -27,9 +27,8 @@ def _plain(value):
     return value
 
 
-def difference(spark, con, sf_dir, build, sql) -> str | None:
+def difference(frame, con, sql) -> str | None:
     """None when both give the same columns and rows, else what differs."""
-    frame = build(spark, sf_dir)
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     wanted = cursor.fetchall()

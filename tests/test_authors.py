@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import pytest
 from conftest import plan_of
@@ -15,17 +16,14 @@ NAMES = [
 
 
 def _first_last(name):
-    for mark in ",.\"'-_()":
-        name = name.lower().replace(mark, " ")
-    parts = name.split()
-    return (parts[0] if parts else "", parts[-1] if len(parts) > 1 else "")
+    parts = re.split(r"[\s,.\"'_()-]+", f" {name.lower()} ")[1:-1]
+    return ("".join(parts[:1]), parts[-1] if parts[1:] else "")
 
 
 def _match(a, b, loose=False):
-    (af, al), (bf, bl) = _first_last(a), _first_last(b)
-    if not al or al != bl:
-        return False
-    return af == bf or (af[0] == bf[0] and (loose or 1 in (len(af), len(bf))))
+    (a_first, a_last), (b_first, b_last) = _first_last(a), _first_last(b)
+    short = loose or min(len(a_first), len(b_first)) == 1
+    return a_last == b_last != "" and (a_first == b_first or (short and a_first[0] == b_first[0]))
 
 
 def _names(spark, names):

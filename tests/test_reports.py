@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import re
-
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -98,37 +96,28 @@ def test_split_sections(spark, md, wanted):
     assert (row.priority, row.other) == wanted
 
 
-def _python_entries(md):
-    entries, current, started = [], [], False
-    for line in md.splitlines():
-        if line.startswith("### "):
-            entries.append(current)
-            current, started = [line], True
-        elif started and line.strip() == "---":
-            entries.append(current)
-            current = []
-        elif started:
-            current.append(line)
-    entries.append(current)
-    return [e for e in ("\n".join(lines).strip() for lines in entries) if e]
-
-
-TEXTS = [
-    "## H\n\n### [A](u1)\n**Authors:** x\n\n---\n\n### [B](u2)\nbody\n---\nstray\n### [C](u3)\nz",
-    "no entries\n---\nhere",
-    "### a\n --- \n\t---\n----\n---x\n ### not a start\n###  b\r\n### c\x0b---\x0btail",
-    "### a\r---\rb\x85c ---\n\n\n",
-    "",
-    "###\n### \n---\n ",
+ENTRY_CASES = [
+    (
+        "## H\n\n### [A](u1)\n**Authors:** x\n\n---\n\n### [B](u2)\nbody\n---\nstray\n### [C](u3)\nz",
+        ["### [A](u1)\n**Authors:** x", "### [B](u2)\nbody", "stray", "### [C](u3)\nz"],
+    ),
+    ("no entries\n---\nhere", []),
+    (
+        "### a\n --- \n\t---\n----\n---x\n ### not a start\n###  b\r\n### c\x0b---\x0btail",
+        ["### a", "----\n---x\n ### not a start", "###  b", "### c", "tail"],
+    ),
+    ("### a\r---\rb\x85c ---\n\n\n", ["### a", "b\nc ---"]),
+    ("", []),
+    ("###\n### \n---\n ", ["###"]),
 ]
 
 
-@pytest.mark.parametrize("md", TEXTS)
-def test_split_entries(spark, md):
+@pytest.mark.parametrize(("md", "wanted"), ENTRY_CASES)
+def test_split_entries(spark, md, wanted):
     sections = spark.createDataFrame([(1, md)], "id int, text string")
     rows = cards.split_entries(sections, ["id"]).orderBy("pos").collect()
-    assert [r.entry for r in rows] == _python_entries(md)
-    assert [r.pos for r in rows] == list(range(len(rows)))
+    assert [r.entry for r in rows] == wanted
+    assert [r.pos for r in rows] == list(range(len(wanted)))
 
 
 def test_split_entries_is_row_local(spark):
@@ -162,19 +151,19 @@ def test_entry_links(spark):
     assert [tuple(r)[1:] for r in links] == [(0, "A", "u1"), (1, "B [b", "u2)(x")]
 
 
-def _python_sanitize(text):
-    text = re.sub(r"```[\s\S]*?```", "", text)
-    text = re.sub(r"`([^'\n]+)'", r"'\1'", text)
-    text = text.replace("``", '"')
-    return re.sub(r"`([^`]+)`", r"\1", text).replace("`", "'")
-
-
 @pytest.mark.parametrize(
-    "text", ["a ```code\nx``` b ``q'' `w' `z` `", "``` open `a\nb` ``", "```a``` `b``c` d' $1 \\", "''`'`", ""]
+    ("text", "wanted"),
+    [
+        ("a ```code\nx``` b ``q'' `w' `z` `", "a  b 'q'' 'w' z "),
+        ("``` open `a\nb` ``", "\" open a\nb' \""),
+        ("```a``` `b``c` d' $1 \\", " 'b\"c' d' $1 \\"),
+        ("``x`y`` `", '"xy" '),
+        ("", ""),
+    ],
 )
-def test_sanitize_abstract(spark, text):
+def test_sanitize_abstract(spark, text, wanted):
     row = cards.sanitize_abstract(spark.createDataFrame([(text,)], "abstract string")).first()
-    assert row.abstract == _python_sanitize(text)
+    assert row.abstract == wanted
 
 
 @pytest.mark.parametrize(
