@@ -160,13 +160,18 @@ def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], stage: bool = T
 
 
 def _flagged(
-    corpus: DataFrame, lists: dict[str, DataFrame], inline: int = INLINE_NAMES, stage: bool = True
+    corpus: DataFrame,
+    lists: dict[str, DataFrame],
+    inline: int = INLINE_NAMES,
+    stage: bool = True,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """`corpus` with one BOOLEAN per list: does the record have an author on it (strict match)?
 
     A short list becomes a row-local set test. For a longer one the matching keys are joined back;
     with `stage` they are written to the shared scratch folder first, so that Spark knows their
-    size before it decides whether the wide corpus has to be shuffled for that join.
+    size before it decides whether the wide corpus has to be shuffled for that join. `headers` is
+    the same corpus cut down to the lines up to the authors, if there is a cheaper way to read it.
     """
     names = author_names(S.line_field(F.col("content"), "Authors:"))
     asked = F.flatten(_asked_by(names, "strict"))
@@ -175,7 +180,7 @@ def _flagged(
     long = {tag: listed for tag, listed in lists.items() if tag not in short}
     flagged = corpus.withColumns(short) if short else corpus
     if long:
-        matched = matched_keys(corpus, long, stage)
+        matched = matched_keys(corpus if headers is None else headers, long, stage)
         if stage:
             matched = staged(matched, "matched-keys")
         flagged = flagged.join(matched, "key", "left").fillna(False, list(long))

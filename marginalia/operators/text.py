@@ -21,10 +21,10 @@ def with_block_field(df: DataFrame, column: str, start: str, end: str, out: str)
 
 
 def parse_records(corpus: DataFrame) -> DataFrame:
-    """(key, content) to (key, title, authors, abstract, url, date)."""
+    """Put title, authors, abstract, url and date in place of `content`."""
     content = F.col("content")
     return corpus.select(
-        "key",
+        *[c for c in corpus.columns if c != "content"],
         S.line_field(content, "Title:").alias("title"),
         S.line_field(content, "Authors:").alias("authors"),
         S.block_field(content, "Abstract:", "URL:").alias("abstract"),

@@ -13,7 +13,7 @@ from marginalia.operators.select import recent_window, score_threshold, top_n_pe
 from marginalia.operators.similarity import score_candidates
 from marginalia.operators.text import compose_text, parse_records
 from marginalia.options import RecommendOptions
-from marginalia.sources.papers import render_records
+from marginalia.sources.papers import render_headers, render_records
 
 SECTIONS = 2
 BROADCAST_ROWS = 100_000
@@ -31,19 +31,18 @@ def recommend(
 
     Authors are filtered before anything is encoded. From scan to score a paper stays in one
     stage while the name lists and the own vectors are small; only the top rows of each partition
-    are shuffled. The texts of the winners are then fetched by a second, broadcast-filtered scan,
-    so that no text is carried through the ranking.
+    are shuffled. The texts of the winners are then fetched by a second, broadcast-filtered scan of
+    the same window and rendered after that join, so that no text is carried through the ranking.
     """
-    records = render_records(recent_window(papers, options.categories, options.days, options.cap))
-    routed = route_priority(records, black, white)
+    recent = recent_window(papers, options.categories, options.days, options.cap)
+    routed = route_priority(render_records(recent), black, white, headers=render_headers(recent))
     scored = score_candidates(encode(compose_text(routed)), my_vectors)
     best = top_n_per_section(score_threshold(scored, options.threshold), options.top_n)
-    # Every key of `best` comes from `records`, and there are at most SECTIONS x top_n of them.
+    # Every key of `best` comes from `recent`, and there are at most SECTIONS x top_n of them.
     if SECTIONS * options.top_n <= BROADCAST_ROWS:
         best = F.broadcast(best)
-    return parse_records(records).join(best, "key").select(
-        "section", "rank", "key", "score", "title", "authors", "abstract", "url", "date"
-    )
+    won = parse_records(render_records(recent.join(best, "key"), keep=("section", "rank", "score")))
+    return won.select("section", "rank", "key", "score", "title", "authors", "abstract", "url", "date")
 
 
 def daily_report(recs: DataFrame, run_date: Column) -> DataFrame:

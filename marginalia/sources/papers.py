@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +22,32 @@ def own_paper_id(entry_id: Column) -> Column:
     return F.substring_index(entry_id, "/", -1)
 
 
-def render_records(papers: DataFrame, raw_date: bool = False) -> DataFrame:
+def _header() -> list[Column]:
+    return [F.lit("Title: "), F.col("title"), F.lit("\nAuthors: "), F.array_join("authors", ", ")]
+
+
+def render_records(papers: DataFrame, raw_date: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """(key, title, authors, abstract, url, published) to the labelled block (key, content).
 
-    `raw_date` keeps `published` as it is spelled, as is done for the reader's own papers.
+    `raw_date` keeps `published` as it is spelled, as is done for the reader's own papers. `keep`
+    names further columns that pass through.
     """
     date = F.col("published").cast("string") if raw_date else F.date_format("published", "yyyy-MM-dd")
     content = F.concat(
-        F.lit("Title: "), "title",
-        F.lit("\nAuthors: "), F.array_join("authors", ", "),
+        *_header(),
         F.lit("\nAbstract:\n"), "abstract",
         F.lit("\nURL: "), "url",
         F.lit("\nDate: "), date, F.lit("\n"),
     )
-    return papers.select("key", content.alias("content"))
+    return papers.select("key", *keep, content.alias("content"))
+
+
+def render_headers(papers: DataFrame) -> DataFrame:
+    """(key, content) with the title and authors lines only, so that no abstract has to be read.
+
+    The first `Authors:` of a record is always in these lines.
+    """
+    return papers.select("key", F.concat(*_header(), F.lit("\n")).alias("content"))
 
 
 def author_papers(papers: DataFrame, author_id, column: str = "author_id") -> DataFrame:

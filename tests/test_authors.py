@@ -8,6 +8,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from marginalia.operators import authors
+from marginalia.sources.papers import render_headers, render_records
 
 NAMES = [
     "Ann B. Clark", "A. Clark", "Ann Clark", "Amy Clark", "Clark", "Clark, Ann", "B. Clark", "Mary-Ann O'Neil",
@@ -113,6 +114,20 @@ def test_list_of_known_size_is_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_headers_spare_the_abstracts(spark, tmp_path):
+    papers = spark.createDataFrame(
+        [(1, "About Authors: X Y", ["Ann Clark"], "text"), (2, "T", ["Ann Clark", "X Y"], "Authors: no")],
+        "key int, title string, authors array<string>, abstract string",
+    ).selectExpr("*", "'u' AS url", "timestamp'2024-01-01' AS published")
+    papers.write.parquet(str(tmp_path / "papers"))
+    stored = spark.read.parquet(str(tmp_path / "papers"))
+    names = _names(spark, ["A. Clark"])
+    found = authors.matched_keys(render_headers(stored), {"hit": names})
+    whole = authors.matched_keys(render_records(stored), {"hit": names})
+    assert [r.key for r in found.collect()] == [r.key for r in whole.collect()] == [2]
+    assert "abstract:" not in plan_of(found) and "abstract:" in plan_of(whole)
+
+
 def test_common_name_is_split_by_adaptive_execution(spark, tmp_path):
     """One name holds most author rows; a list too large to broadcast still does not pile it up."""
     rows = spark.range(200_000).select(
