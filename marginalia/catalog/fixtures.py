@@ -148,6 +148,11 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(compose_text(corpus(spark, sf_dir)))
 
 
+# Means of fractions often end in exactly half a millionth, where the last bit of a sum would
+# decide; a step that starts elsewhere does not hang on the order of additions.
+MICRO_OFFSET = 0.4142135
+
+
 def micro(vec: Column) -> Column:
-    """A vector as text: its elements in millionths, for an exact comparison."""
-    return F.array_join(F.transform(vec, lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string")), " ")
+    """A vector as text: its elements in steps of a millionth, for an exact comparison."""
+    return F.array_join(F.transform(vec, lambda x: F.floor(x.cast("double") * 1e6 + MICRO_OFFSET).cast("string")), " ")

@@ -7,6 +7,7 @@ with the Spark code.
 
 from __future__ import annotations
 
+from marginalia.catalog.fixtures import MICRO_OFFSET
 from marginalia.catalog.queries import (
     BAND_THRESHOLD,
     CATEGORIES,
@@ -48,7 +49,7 @@ def words(text: str) -> str:
 
 
 def micro(vec: str) -> str:
-    return f"array_to_string(list_transform({vec}, lambda x: floor(x::DOUBLE * 1e6 + 0.5)::BIGINT::VARCHAR), ' ')"
+    return f"array_to_string(list_transform({vec}, lambda x: floor(x::DOUBLE * 1e6 + {MICRO_OFFSET}::DOUBLE)::BIGINT::VARCHAR), ' ')"
 
 
 def bucket(word: str) -> str:
