@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, packing, secret_scan
+from marginalia.llm import compression, dart, mixing, packing, secret_scan
 from marginalia.llm.common import table
 from marginalia.llm.queries import vocabulary
 from marginalia.session import scratch_path
@@ -28,11 +28,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression.scored_rows(docs, model).where(F.col("score") >= KEEP_SCORE).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every class of near-duplicates."""
+    return dart.first_of_each(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
     return secret_scan.redact_secrets(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated as their source's target asks; a document may come up to twice."""
+    return mixing.mix_rows(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every row, with their ids."""
     return packing.power_of_two_pieces(docs, vocabulary())
@@ -40,7 +50,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
     ("secrets", secrets),
+    ("mixed", mixed),
     ("packed", packed),
 ]
 

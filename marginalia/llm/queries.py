@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, licenses, packing, secret_scan
-from marginalia.llm.common import id_fold, table
+from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan
+from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     options = compression.CompressionOptions()
@@ -35,6 +40,19 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_cells")
+
+
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    options = decision_list.ListOptions()
+    ids = labelled_ids(labels, "quality", 1, -1, options.per_class)
+    ruled = decision_list.quality_rules(docs, ids, options)
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -47,7 +65,47 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_license_scan, op5_compression_quality, op9_secret_scan, op10_power_of_two_packing)
+    f.__name__: f
+    for f in (
+        op2_license_scan,
+        op4_water_filling_mix,
+        op5_compression_quality,
+        op7_dart_minhash,
+        op8_decision_list,
+        op9_secret_scan,
+        op10_power_of_two_packing,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+OP4_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+  FROM documents
+), ranked AS (
+  SELECT source, sum(size) AS s, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM base GROUP BY source
+), levels AS (
+  SELECT *, 2.0 * s::DOUBLE AS cap, 2.0 * s::DOUBLE / w AS ratio FROM ranked
+), steps AS (
+  SELECT *, (1.5 * (SELECT sum(s)::DOUBLE FROM ranked)
+             - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM levels
+), goals AS (
+  SELECT source, s::BIGINT AS source_size,
+         least(cap, w * coalesce((SELECT level FROM steps WHERE level < ratio ORDER BY ratio LIMIT 1), 'infinity'::DOUBLE)) AS target
+  FROM steps
+), wholes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS whole FROM goals
+), placed AS (
+  SELECT b.*, g.source_size, g.target, g.whole, floor(g.target + 0.5)::BIGINT - g.whole * g.source_size AS extra,
+         sum(size) OVER (PARTITION BY b.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM base b JOIN wholes g ON b.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (whole * size + least(size, greatest(0, extra - start)))::BIGINT AS taken
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op4_water_filling_mix": OP4_SQL}
