@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan
+from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    options = toxicity.ToxicOptions()
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, options), options)
+    return scored.select(
+        "doc_id",
+        (id_fold(options.modulus) == options.held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +80,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_license_scan,
+        op3_kneser_ney_toxicity,
         op4_water_filling_mix,
         op5_compression_quality,
         op7_dart_minhash,
