@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan, toxicity
+from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan, subspace, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dart.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_cells")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op3_kneser_ney_toxicity,
         op4_water_filling_mix,
         op5_compression_quality,
+        op6_subspace_pigeonhole,
         op7_dart_minhash,
         op8_decision_list,
         op9_secret_scan,
