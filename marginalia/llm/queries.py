@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, licenses, mixing, packing, secret_scan, subspace, toxicity
+from marginalia.llm import compression, dart, decision_list, language, licenses, mixing, packing, secret_scan, subspace, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.select("page_id", "lang", "confidence", "text_lang", "declared", "host")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_language_fusion,
         op2_license_scan,
         op3_kneser_ney_toxicity,
         op4_water_filling_mix,
