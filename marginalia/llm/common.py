@@ -58,22 +58,38 @@ def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int, pe
     return sides[0].unionByName(sides[1])
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the intercept comes last."""
-    x = np.hstack([features, np.ones((len(features), 1))])
+def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
+    """Weights of a ridge logistic regression; the intercept comes last.
+
+    Newton steps over standardised features, each halved until the penalised loss falls, so that
+    separable classes and correlated features cannot make it diverge.
+    """
+    if not len(features):
+        return np.zeros(features.shape[1] + 1)
+    middle, spread = features.mean(axis=0), features.std(axis=0)
+    spread = np.where(spread > 1e-12, spread, 1.0)
+    x = np.hstack([(features - middle) / spread, np.ones((len(features), 1))])
+    penalty = np.full(x.shape[1], ridge * len(x))
+    penalty[-1] = 1e-9 * len(x)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - labels @ z + 0.5 * (penalty * w) @ w)
+
     weights = np.zeros(x.shape[1])
-    if not len(x):
-        return weights
-    penalty = ridge * len(x) * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6 * len(x)
+    now = loss(weights)
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (labels - p) - penalty @ weights
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, slope)
-        weights += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -40, 40)))
+        slope = x.T @ (labels - p) - penalty * weights
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), slope)
+        size = 1.0
+        while size > 1e-6 and (after := loss(weights + size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - after < 1e-9 * max(now, 1.0):
             break
-    return weights
+        weights, now = weights + size * step, after
+    raw = weights[:-1] / spread
+    return np.append(raw, weights[-1] - raw @ middle)
 
 
 def logistic(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
