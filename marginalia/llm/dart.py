@@ -36,6 +36,8 @@ class DartOptions:
     similarity: float = 0.8
     rows: int = 5  # coordinates of a band; a pair at 0.8 is missed by all bands with probability 1.3e-7
     bands: int = 40
+    small: int = 16  # buckets of up to so many texts are compared as rows, larger ones in tiles; results are alike
+    tile_rows: int = 64  # texts of either side that meet in a tile
 
     @property
     def k(self) -> int:
@@ -225,8 +227,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, options: DartOptions) -> DataFram
 def _verified(pairs: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
     """The pairs (a, b) whose exact weighted Jaccard similarity reaches the bound, staged."""
     pairs = staged(pairs, "dart-pairs")
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dart-ids")
-    cells = staged(_cell_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), options).dropDuplicates(["doc_id"]), "dart-cells")
+    cells = _cells_for(staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dart-ids"), docs, options)
     rows = pairs.join(cells.toDF("b", "cells_b"), "b").join(cells.toDF("a", "cells_a"), "a")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -238,15 +239,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, options: DartOptions) -> DataFr
     return staged(map_batches(rows.select("a", "b", "cells_a", "cells_b"), work, "a bigint, b bigint, similarity double"), "dart-links")
 
 
+def _cells_for(ids: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
+    """(doc_id, cells) of the texts named in `ids` (doc_id), staged."""
+    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return staged(_cell_rows(wanted, options).dropDuplicates(["doc_id"]), "dart-cells")
+
+
+def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
+    """Links within large buckets whose texts are not of one component yet, without a row for each pair.
+
+    Texts that meet in such buckets form an arena. An arena is cut into chunks, and every two chunks meet in
+    one tile, where all pairs that share a band are compared: by counts, by sketch, then exactly. A pair
+    that the tile has already connected is skipped, so a tile gives fewer links than it has texts.
+    """
+    edges = members.groupBy("bucket").agg(F.min("rep").alias("b")).join(members.select("bucket", F.col("rep").alias("a")), "bucket")
+    arenas = staged(components(edges.select("a", "b")).toDF("rep", "arena"), "dart-arenas")
+    cells = _cells_for(arenas.select(F.col("rep").alias("doc_id")), docs, options).withColumnRenamed("doc_id", "rep")
+    sized = staged(
+        arenas.join(reps.select("rep", "bands", "sketch"), "rep").join(labels, "rep").join(cells, "rep"), "dart-arena-rows"
+    )
+    chunks = sized.groupBy("arena").agg(
+        F.greatest(F.ceil(F.count("*") / options.tile_rows), F.ceil(F.sum(F.length("cells")) / (16 << 20))).cast("int").alias("chunks")
+    )
+    rows = sized.join(staged(chunks, "dart-chunks"), "arena").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    rows = rows.select("arena", "own", "rep", "label", "bands", "sketch", "cells", F.explode(tiles).alias("t")).select("*", "t.i", "t.j").drop("t")
+    least = options.similarity * options.k - 6 * np.sqrt(options.k * options.similarity * (1 - options.similarity))
+
+    def work(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own, rep, label = (np.asarray(group.column(c)) for c in ("own", "rep", "label"))
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        cells = [np.frombuffer(c, np.uint64) for c in group.column("cells").to_pylist()]
+        size = np.array([len(c) for c in cells])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found: list[tuple[int, int, float]] = []
+        agree = np.zeros((len(left), len(right)), np.int64)
+        for row, x in enumerate(left):
+            agree[row] = (sketch[right] == sketch[x]).sum(axis=1)
+            short, long = np.minimum(size[right], size[x]), np.maximum(size[right], size[x])
+            near = (bands[right] == bands[x]).any(axis=1) & (short >= long * (options.similarity - 1e-9)) & (label[right] != label[x])
+            agree[row][~near | (rep[right] <= rep[x] if i == j else False)] = -1
+        one, two = np.nonzero(agree >= least)
+        for at in np.argsort(-agree[one, two], kind="stable"):
+            x, y = int(left[one[at]]), int(right[two[at]])
+            a, b = find(int(label[x])), find(int(label[y]))
+            if a != b and (value := weighted_jaccard(cells[x], cells[y])) >= options.similarity:
+                root[max(a, b)] = min(a, b)
+                found.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y])), value))
+        ones, twos, values = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(twos, pa.int64()), "similarity": pa.array(values, pa.float64())})
+
+    return staged(rows.groupBy("arena", "i", "j").applyInArrow(work, "a bigint, b bigint, similarity double"), "dart-arena-links")
+
+
 def near_duplicates(docs: DataFrame, options: DartOptions = DartOptions()) -> DataFrame:
     """(doc_id, class_id, n_cells): the class is the smallest id reachable by links.
 
     Texts with equal cells are one representative; copies are never paired. In each bucket of a band
     every representative is compared with the smallest one first, and the verified links are joined to
-    components. Only pairs of a bucket that still lie in different components are then compared,
-    all of them, so no link between different texts is lost to the shortcut and a group of near
-    copies costs about its size. A text without words is a class of its own; a null id has no class;
-    rows that share an id share a class.
+    components. Then all pairs of a bucket that still lie in different components are compared: those
+    of small buckets as rows, whose number is bounded by the bucket's size, those of large ones in
+    tiles. So no link between different texts is lost to the shortcut. A text without words is a class
+    of its own; a null id has no class; rows that share an id share a class.
     """
     every = staged(signed_texts(docs, options), "dart-signed")
     full = every.where("n > 0 AND doc_id IS NOT NULL")
@@ -259,15 +322,20 @@ def near_duplicates(docs: DataFrame, options: DartOptions = DartOptions()) -> Da
     star = staged(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "dart-star")
     links = _verified(_likely(star, reps, options), docs, options)
     first = components(links)
-    named = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
+    named = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "size", "rep", F.coalesce("component", "rep").alias("label"))
     named = staged(named, "dart-named")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = named.join(staged(mixed, "dart-mixed"), "bucket")
-    one, two = rest.toDF("bucket", "a", "label_a"), rest.toDF("bucket", "b", "label_b")
+    rest = staged(named.join(staged(mixed, "dart-mixed"), "bucket"), "dart-rest")
+    small = rest.where(F.col("size") <= options.small).select("bucket", "rep", "label")
+    one, two = small.toDF("bucket", "a", "label_a"), small.toDF("bucket", "b", "label_b")
     across = one.join(two, "bucket").where("a < b AND label_a <> label_b").select("a", "b").distinct()
     across = across.join(star, ["a", "b"], "left_anti")
     more = _verified(_likely(across, reps, options), docs, options)
-    groups = components(links.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("id", "rep")
+    large = rest.where(F.col("size") > options.small)
+    labels = large.select("rep", "label").distinct()
+    tiled = _arena_links(large.select("bucket", "rep"), reps, labels, docs, options)
+    ends = [found.select("a", "b") for found in (links, more, tiled)]
+    groups = components(ends[0].unionByName(ends[1]).unionByName(ends[2])).withColumnRenamed("id", "rep")
     classes = staged(reps.select(*prints, "rep").join(groups, "rep", "left").select(*prints, F.coalesce("component", "rep").alias("class_id")), "dart-classes")
     linked = full.select("doc_id", *prints).join(classes, prints).select("doc_id", "class_id", F.col("n").alias("n_cells"))
     alone = every.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_cells"))
