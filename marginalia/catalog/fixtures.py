@@ -2,53 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.authors import OTHER, PRIORITY
 from marginalia.operators.report import assemble_report, attach_records, render_entries
-from marginalia.operators.select import top_n_per_section
 from marginalia.operators.text import compose_text
 from marginalia.operators.vectors import hashing_vectors
 from marginalia.session import staged
 from marginalia.sources.papers import render_records
 
-TOP = 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents`, spread over the cores if the table is so small that it has fewer partitions.
-
-    A large table has more partitions than there are cores and is not shuffled.
-    """
+    """`documents`; in one local process, whose tables are single files, spread over its threads."""
     docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    context = spark.sparkContext
+    return docs.repartition(context.defaultParallelism) if context.master.startswith("local[") else docs
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` of six words or more as paper rows."""
+    """`documents` as paper rows; short texts have fewer authors or none."""
     return _as_papers(documents(spark, sf_dir))
 
 
 def _as_papers(docs: DataFrame) -> DataFrame:
-    head = F.regexp_extract("text", r"^[ \n]*((?:[^ \n]+[ \n]+){5}[^ \n]+)", 1)
-    docs = docs.withColumn("w", F.split(head, r"[ \n]+")).where(F.size("w") == 6)
+    head = F.regexp_extract("text", r"^[ \n]*((?:[^ \n]+[ \n]+){0,5}[^ \n]+)", 1)
+    docs = docs.withColumn("w", F.filter(F.split(head, r"[ \n]+"), lambda w: w != ""))
     doc_id = F.col("doc_id").cast("string")
 
-    def pair(i: int) -> Column:
-        return F.concat(F.col("w")[i], F.lit(" "), F.col("w")[i + 1])
+    def word(i: int) -> Column:
+        return F.get("w", F.lit(i))
 
+    names = F.array(
+        F.concat(word(0), F.lit(" "), word(1)),
+        F.concat(word(2), F.lit(" "), word(3)),
+        F.concat(F.substring(word(4), 1, 1), F.lit(" "), word(5)),
+    )
     return docs.select(
         F.col("doc_id").alias("key"),
         F.concat(F.lit("T"), doc_id, F.lit(" "), F.substring_index("text", "\n", 1)).alias("title"),
-        F.array(pair(0), pair(2), F.concat(F.substring(F.col("w")[4], 1, 1), F.lit(" "), F.col("w")[5])).alias(
-            "authors"
-        ),
+        F.filter(names, lambda name: name.isNotNull()).alias("authors"),
         F.col("text").alias("abstract"),
         F.concat(F.lit("http://h/pdf/"), doc_id, F.lit(".pdf")).alias("url"),
         (F.lit("2024-01-01").cast("timestamp") + F.col("doc_id") * F.expr("INTERVAL '37' MINUTE")).alias("published"),
@@ -127,9 +124,10 @@ def scored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best papers per run date and section, with their records."""
-    best = top_n_per_section(scored_papers(spark, sf_dir), TOP, by=("run_date", "section"))
-    return attach_records(best, corpus(spark, sf_dir))
+    """All papers ranked within their run date and section, with their records."""
+    order = Window.partitionBy("run_date", "section").orderBy(F.desc("score"), "key")
+    ranked = scored_papers(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    return attach_records(ranked, corpus(spark, sf_dir))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

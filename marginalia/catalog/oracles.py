@@ -62,10 +62,10 @@ split AS (
 ),
 papers AS (
   SELECT doc_id AS key, 'T' || doc_id || ' ' || split_part(text, {NL}, 1) AS title,
-         [w[1] || ' ' || w[2], w[3] || ' ' || w[4], substr(w[5], 1, 1) || ' ' || w[6]] AS authors,
+         list_filter([w[1] || ' ' || w[2], w[3] || ' ' || w[4], substr(w[5], 1, 1) || ' ' || w[6]], lambda a: a IS NOT NULL) AS authors,
          text AS abstract, 'http://h/pdf/' || doc_id || '.pdf' AS url,
          TIMESTAMP '2024-01-01' + to_minutes(37 * doc_id) AS published, source, lang
-  FROM split WHERE len(w) >= 6
+  FROM split
 ),
 corpus AS (
   SELECT key, 'Title: ' || title || {NL} || 'Authors: ' || array_to_string(authors, ', ') || {NL} || 'Abstract:' || {NL}
@@ -174,11 +174,7 @@ scored AS (
          ('0x' || substr(md5(abstract), 1, 8))::UBIGINT::DOUBLE / 4294967295.0::DOUBLE AS score
   FROM papers
 ),
-best AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY run_date, section ORDER BY score DESC, key) AS rank FROM scored
-  ) WHERE rank <= 20
-)"""
+best AS (SELECT *, row_number() OVER (PARTITION BY run_date, section ORDER BY score DESC, key) AS rank FROM scored)"""
 
 ENTRY = f"""'### [' || title || '](' || url || ')' || {NL} || '**Authors:** ' || authors || {NL} || '**Date:** ' || date || {NL}
   || '**Similarity Score:** ' || printf('%.4f', score) || {NL} || '**Abstract:**' || {NL} || abstract"""
@@ -237,25 +233,35 @@ def fingerprints(source: str) -> str:
 
 DOCS = "docs AS (SELECT source AS corpus_id, text AS content, lang FROM documents)"
 
-FLAGSHIP = ",".join(
-    [
-        ROUTING,
-        PARSED,
-        TEXTS,
-        vectors_of("new", "texts"),
-        "own_texts AS (SELECT item_id AS key, text FROM benchmark)",
-        vectors_of("own", "own_texts"),
-        """
+FLAGSHIP_PARTS = (
+    ROUTING,
+    PARSED,
+    TEXTS,
+    vectors_of("new", "texts"),
+    "own_texts AS (SELECT item_id AS key, text FROM benchmark)",
+    vectors_of("own", "own_texts"),
+    """
 dots AS (SELECT a.key, b.key AS my_key, sum(a.tf * b.tf) AS dot
          FROM new_tf a JOIN own_tf b USING (bucket) GROUP BY ALL),
 paper_scores AS (SELECT d.key, max(dot / (n.norm * m.norm)) AS score
-                 FROM dots d JOIN new_norm n ON n.key = d.key JOIN own_norm m ON m.key = d.my_key GROUP BY d.key),
+                 FROM dots d JOIN new_norm n ON n.key = d.key JOIN own_norm m ON m.key = d.my_key GROUP BY d.key)""",
+)
+
+PLACED = """
 placed AS (SELECT section, key, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, key) AS rank
-           FROM paper_scores JOIN routed USING (key) WHERE score >= 0.1),
+           FROM (SELECT key, section, coalesce(score, 0) AS score FROM routed LEFT JOIN paper_scores USING (key))
+           JOIN win USING (key) WHERE score >= {threshold}),
 recs AS (SELECT section, rank, key, score, title, authors, abstract, url, date
-         FROM placed JOIN parsed USING (key) WHERE rank <= 20)""",
-    ]
-)
+         FROM placed JOIN parsed USING (key) WHERE rank <= 20)"""
+
+NEWEST_DAY = f"""
+SELECT key FROM papers p WHERE (p.source IN ({listed(CATEGORIES)}) OR p.lang IN ({listed(CATEGORIES)}))
+AND p.published >= (SELECT max(published) FROM papers WHERE source IN ({listed(CATEGORIES)}) OR lang IN ({listed(CATEGORIES)})) - INTERVAL '1 day'"""
+
+
+def flagship(threshold: float = 0.1, window: str = "SELECT key FROM papers") -> str:
+    """The CTEs of a recommendation over the papers that `window` selects."""
+    return ",".join([*FLAGSHIP_PARTS, f"win AS ({window})", PLACED.format(threshold=threshold)])
 
 
 ORACLES: dict[str, str] = {
@@ -277,10 +283,9 @@ ORACLES: dict[str, str] = {
     "latest_timestamp": "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest FROM events",
     "recent_window": """WITH m AS (SELECT * FROM events WHERE event_type IN ('click', 'purchase'))
         SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM m
-        WHERE m.ts >= (SELECT max(ts) FROM m) - INTERVAL '1 day' ORDER BY m.ts DESC, event_id LIMIT 1000""",
+        WHERE m.ts >= (SELECT max(ts) FROM m) - INTERVAL '1 day'""",
     "recent_window_ties": """SELECT o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate FROM orders o
-        WHERE o.o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL '30 days'
-        ORDER BY o.o_orderdate DESC, o_orderkey LIMIT 1000""",
+        WHERE o.o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL '30 days'""",
     "recent_window_newest": """SELECT o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate FROM orders o
         WHERE o.o_orderdate = (SELECT max(o_orderdate) FROM orders)""",
     "score_candidates": f"WITH {SIMS} SELECT * FROM scores",
@@ -307,7 +312,7 @@ ORACLES: dict[str, str] = {
     "flag_authors": f"""WITH {MATCHING}, marked AS (SELECT key, string_agg(author || CASE WHEN {matches('quality', LOOSE)} THEN '=yes' ELSE '=no' END, '; ' ORDER BY pos) AS flags
         FROM author_parts a GROUP BY key) SELECT c.key, coalesce(flags, '') AS flags FROM corpus c LEFT JOIN marked USING (key)""",
     "cosine_pairs": f"WITH {SIMS} SELECT key, my_key, round(sim, 6) AS sim FROM sims WHERE sim >= {PAIR_FLOOR}",
-    "max_similarity": f"WITH {SIMS} SELECT key, round(max(sim), 6) AS score FROM sims WHERE sim >= {PAIR_FLOOR} GROUP BY key",
+    "max_similarity": f"WITH {SIMS} SELECT key, score FROM scores",
     "check_dims": """WITH n AS (SELECT min(len(embedding)) AS new_min, max(len(embedding)) AS new_max FROM embeddings WHERE label <> 0),
         m AS (SELECT min(len(embedding)) AS mine_min, max(len(embedding)) AS mine_max FROM embeddings WHERE label = 0)
         SELECT *, new_min = new_max AND mine_min = mine_max AND new_min = mine_min AS agree FROM n, m""",
@@ -352,6 +357,10 @@ ORACLES: dict[str, str] = {
         CASE WHEN section = 'Other' THEN round(score, 4)::VARCHAR ELSE 'N/A' END AS score_label FROM recs""",
     "run_history": f"""WITH {REPORTS}, {COUNTS} SELECT run_date, {DATE_LABEL} || ' — Priority ' || priority_n || ', Other ' || other_n AS label,
         priority_n, other_n FROM counts""",
+    "run_history_latest": f"""WITH {REPORTS}, {COUNTS}, readable AS (SELECT run_date, CASE WHEN run_date LIKE '%7' THEN 0 ELSE priority_n END AS priority_n,
+        CASE WHEN run_date LIKE '%7' THEN 0 ELSE other_n END AS other_n FROM counts)
+        SELECT run_date, {DATE_LABEL} || ' — Priority ' || priority_n || ', Other ' || other_n AS label,
+        priority_n, other_n FROM readable ORDER BY run_date DESC LIMIT 5""",
     "export_links": f"""WITH {REPORTS}, {SHOWN} SELECT run_date, section, string_agg(url, {NL} ORDER BY pos) AS links
         FROM (SELECT run_date, section, pos, {LINK_URL} AS url FROM shown)
         WHERE url IN (SELECT 'http://h/pdf/' || doc_id || '.pdf' FROM labels WHERE quality = 1) GROUP BY run_date, section""",
@@ -365,7 +374,9 @@ ORACLES: dict[str, str] = {
                OR now.corpus_id LIKE '%3' AS rebuild FROM now LEFT JOIN last USING (corpus_id)""",
     "incremental_vectors": f"""WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')}
         SELECT key, md5(content) AS content_hash, '{FINGERPRINT}' AS fingerprint, {micro('vec')} AS vec FROM v JOIN corpus USING (key)""",
-    "recommend": f"WITH {FLAGSHIP} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
-    "recommend_report": f"""WITH {FLAGSHIP}, entries AS (SELECT *, '2024-02-01' AS run_date, {ENTRY} AS entry FROM recs), {MD}
+    "recommend": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
+    "recommend_duplicates": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
+    "recommend_window": f"WITH {flagship(0.0, NEWEST_DAY)} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
+    "recommend_report": f"""WITH {flagship()}, entries AS (SELECT *, '2024-02-01' AS run_date, {ENTRY} AS entry FROM recs), {MD}
         SELECT run_date, md FROM reports""",
 }

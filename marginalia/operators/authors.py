@@ -125,18 +125,29 @@ def author_match(authors: DataFrame, names: DataFrame, mode: str = "strict", sal
     return hits if mode == "loose" else hits.dropDuplicates(["key", "pos"])
 
 
-def _inline_tokens(names: DataFrame, mode: str, limit: int) -> Column | None:
-    """The list's tokens as a constant array, or None when it has more than `limit` names.
+def _inline_tokens(lists: dict[str, DataFrame], mode: str, limit: int) -> dict[str, Column]:
+    """The tokens of each list of at most `limit` names, as a constant array.
 
-    Runs a job that reads and returns at most `limit` + 1 names, however long the list is.
+    Runs one job that reads and returns at most `limit` + 1 names of each list, however long it is.
     """
     if limit <= 0:
-        return None
-    rows = names.limit(limit + 1).select(_offered(name_parts(F.col("name")), mode).alias("tokens")).collect()
-    if len(rows) > limit:
-        return None
-    tokens = sorted({token for row in rows for token in row.tokens})
-    return F.split(F.lit("\n".join(tokens)), "\n") if tokens else F.array().cast("array<string>")
+        return {}
+    cut = [
+        names.limit(limit + 1).select(F.lit(tag).alias("tag"), _offered(name_parts(F.col("name")), mode).alias("tokens"))
+        for tag, names in lists.items()
+    ]
+    rows = reduce(DataFrame.unionByName, cut).collect()
+    found = {}
+    for tag in lists:
+        own = [row.tokens for row in rows if row.tag == tag]
+        if len(own) <= limit:
+            tokens = sorted({token for some in own for token in some or ()})
+            found[tag] = F.split(F.lit("\n".join(tokens)), "\n") if tokens else F.array().cast("array<string>")
+    return found
+
+
+def _meets(asked: Column, tokens: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(asked, tokens), F.lit(False))
 
 
 def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], stage: bool = True) -> DataFrame:
@@ -168,22 +179,25 @@ def _flagged(
 ) -> DataFrame:
     """`corpus` with one BOOLEAN per list: does the record have an author on it (strict match)?
 
-    A short list becomes a row-local set test. For a longer one the matching keys are joined back;
-    with `stage` they are written to the shared scratch folder first, so that Spark knows their
-    size before it decides whether the wide corpus has to be shuffled for that join. `headers` is
-    the same corpus cut down to the lines up to the authors, if there is a cheaper way to read it.
+    A short list becomes a row-local set test. For a longer one the author lines that hold a listed
+    name are found and joined back, so that both ways decide by the row's own line, whatever its key;
+    a record without content or authors is on no list. With `stage` the lines found are written to the
+    shared scratch folder first, so that Spark knows their size before it decides whether the wide
+    corpus has to be shuffled for that join. `headers` is the same corpus cut down to the lines up to
+    the authors, if there is a cheaper way to read it.
     """
-    names = author_names(S.line_field(F.col("content"), "Authors:"))
-    asked = F.flatten(_asked_by(names, "strict"))
-    inlined = {tag: _inline_tokens(listed, "strict", inline) for tag, listed in lists.items()}
-    short = {tag: F.arrays_overlap(asked, tokens) for tag, tokens in inlined.items() if tokens is not None}
+    line = F.coalesce(S.line_field(F.col("content"), "Authors:"), F.lit(""))
+    asked = F.flatten(_asked_by(author_names(line), "strict"))
+    short = {tag: _meets(asked, tokens) for tag, tokens in _inline_tokens(lists, "strict", inline).items()}
     long = {tag: listed for tag, listed in lists.items() if tag not in short}
     flagged = corpus.withColumns(short) if short else corpus
     if long:
-        matched = matched_keys(corpus if headers is None else headers, long, stage)
+        lines = (corpus if headers is None else headers).select(line.alias("key"))
+        lines = lines.withColumn("content", F.concat(F.lit("Authors: "), "key", F.lit("\n")))
+        matched = matched_keys(lines, long, stage).withColumnRenamed("key", "_line")
         if stage:
-            matched = staged(matched, "matched-keys")
-        flagged = flagged.join(matched, "key", "left").fillna(False, list(long))
+            matched = staged(matched, "matched-lines")
+        flagged = flagged.withColumn("_line", line).join(matched, "_line", "left").fillna(False, list(long)).drop("_line")
     return flagged
 
 
@@ -212,24 +226,26 @@ def routing_counts(corpus: DataFrame, black: DataFrame, white: DataFrame, **how)
 def flag_authors(cards: DataFrame, names: DataFrame, by: list[str], inline: int = INLINE_NAMES) -> DataFrame:
     """`by` columns and `flags` = all authors in order as ARRAY<STRUCT<name, hit>> (loose match).
 
-    `by` identifies a card; `authors` is its comma-separated line.
+    `authors` is a card's comma-separated line, NULL being an empty one. Every row of `cards` is a card
+    of its own, also when `by` repeats.
     """
-    authors = author_names(F.col("authors"))
-    tokens = _inline_tokens(names, "loose", inline)
+    authors = author_names(F.coalesce("authors", F.lit("")))
+    tokens = _inline_tokens({"listed": names}, "loose", inline).get("listed")
     if tokens is not None:
         flags = F.zip_with(
             authors,
             _asked_by(authors, "loose"),
-            lambda a, asked: F.struct(a.alias("name"), F.arrays_overlap(asked, tokens).alias("hit")),
+            lambda a, asked: F.struct(a.alias("name"), _meets(asked, tokens).alias("hit")),
         )
         return cards.select(*by, flags.alias("flags"))
     listed = staged(_name_tokens(names, "loose").distinct().withColumn("hit", F.lit(True)), "name-tokens")
-    parts = cards.select(*by, F.posexplode_outer(authors).alias("pos", "name")).withColumn(
+    cards = cards.withColumn("_card", F.monotonically_increasing_id())
+    parts = cards.select("_card", *by, F.posexplode_outer(authors).alias("pos", "name")).withColumn(
         "token", F.get(_asked(name_parts(F.col("name")), "loose"), F.lit(0))
     )
     # A group is the author line of one card, which was one value before.
     entry = F.struct("pos", "name", F.coalesce("hit", F.lit(False)).alias("hit"))
-    grouped = parts.join(listed, "token", "left").groupBy(*by).agg(
+    grouped = parts.join(listed, "token", "left").groupBy("_card", *by).agg(
         F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), entry))).alias("flags")
     )
-    return grouped.withColumn("flags", F.transform("flags", lambda f: F.struct(f["name"].alias("name"), f["hit"].alias("hit"))))
+    return grouped.drop("_card").withColumn("flags", F.transform("flags", lambda f: F.struct(f["name"].alias("name"), f["hit"].alias("hit"))))

@@ -209,21 +209,21 @@ def date_label(run_date: Column) -> Column:
     return F.coalesce(F.date_format(day, "MMMM d, yyyy"), run_date)
 
 
-def run_history(reports: DataFrame, limit: int | None = 20) -> DataFrame:
+def run_history(reports: DataFrame, limit: int | None = None) -> DataFrame:
     """(run_date, md, modified) to (run_date, label, priority_n, other_n), newest file first.
 
-    `limit=None` shows all reports, in no particular order.
+    All reports in that order; `limit` shows the newest ones only. A report that cannot be read
+    (NULL text) counts 0 and 0.
     """
-    counted = count_entries(split_sections(reports))
+    counted = count_entries(split_sections(reports.withColumn("md", F.coalesce("md", F.lit("")))))
     label = F.concat(
         date_label(F.col("run_date")),
         F.lit(" — Priority "), F.col("priority_n").cast("string"),
         F.lit(", Other "), F.col("other_n").cast("string"),
     )
     rows = counted.select("run_date", "modified", label.alias("label"), "priority_n", "other_n")
-    if limit is not None:
-        rows = rows.orderBy(F.desc("modified"), F.desc("run_date")).limit(limit)
-    return rows.drop("modified")
+    rows = rows.orderBy(F.desc("modified"), F.desc("run_date"))
+    return (rows if limit is None else rows.limit(limit)).drop("modified")
 
 
 def export_links(links: DataFrame, selection: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -13,9 +13,6 @@ from marginalia.session import staged
 SECTION_HEADERS = {PRIORITY: "## Priority (whitelist authors)", OTHER: "## Other recommendations"}
 TOP_HEADER = "## Top Recommendations:"
 
-# A report is one value, so a section must be a top-N. Larger ranks are an error, not dropped.
-MAX_RANK = 10_000
-
 
 def attach_records(recs: DataFrame, records: DataFrame, stage: bool = True) -> DataFrame:
     """Join (key, ...) with the parsed record (key, content); a missing record is an error.
@@ -54,8 +51,7 @@ def assemble_report(entries: DataFrame) -> DataFrame:
 
     Priority comes before Other and a section without entries is left out.
     """
-    too_many = F.raise_error(F.lit(f"rank above {MAX_RANK}: take the top n of each section first"))
-    item = F.when(F.col("rank") <= MAX_RANK, F.struct("rank", "entry")).otherwise(too_many)
+    item = F.struct("rank", "entry")
     grouped = entries.groupBy("run_date").agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("section") == name, item))).alias(name)

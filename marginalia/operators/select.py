@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark limits a ranked window before the shuffle only up to this rank
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT_RANK = 1000
+# Slices in which a section is ranked before its best rows meet.
 SPREAD = 64
 
 
@@ -32,23 +30,28 @@ def recent_window(
     papers: DataFrame,
     categories: Sequence[str] = (),
     days: int = 1,
-    cap: int | None = 1000,
+    cap: int | None = None,
     published: str = "published",
     categories_column: str = "categories",
     tie: str = "key",
 ) -> DataFrame:
     """Papers of the last `days` x 24 h before the newest one, both ends included.
 
-    Newest first and at most `cap` rows; with `cap=None` the whole window, unsorted. The lower
-    bound is a scalar subquery, so it reaches the scan as a pushed filter; the upper bound is
-    the maximum itself and needs no test.
+    The whole window, unsorted; with a `cap` only its newest rows, at most as many distinct
+    (`published`, `tie`). The lower bound is a scalar subquery, so it reaches the scan as a pushed
+    filter; the upper bound is the maximum itself and needs no test. A cap is found on these two
+    narrow columns alone and its at most `cap` pairs are broadcast, so that the texts stay where they
+    are read.
     """
     matching = category_filter(papers, categories, categories_column)
     start = latest_timestamp(matching, published).select(
         (F.col("latest") - F.make_dt_interval(F.lit(days))).alias("start")
     )
     recent = matching.where(F.col(published) >= start.scalar())
-    return recent if cap is None else recent.orderBy(F.desc(published), tie).limit(cap)
+    if cap is None:
+        return recent
+    newest = recent.select(published, tie).distinct().orderBy(F.desc(published), tie).limit(cap)
+    return recent.join(F.broadcast(newest), [published, tie], "left_semi")
 
 
 def score_threshold(scores: DataFrame, threshold: float = 0.0, score: str = "score") -> DataFrame:
@@ -70,19 +73,18 @@ def top_n_per_section(
 ) -> DataFrame:
     """The `n` best rows of each section with their `rank`.
 
-    There are few sections and one may hold most rows. Up to GROUP_LIMIT_RANK Spark cuts each
-    partition to `n` rows per section before it shuffles; above that rank the sections are cut
-    in SPREAD slices first, which is exact because a row of the top n is in its slice's top n.
+    There are few sections and one may hold most rows. So a section is cut to its best rows in SPREAD
+    slices first, which is exact because a row of the top n is in its slice's top n; what meets in
+    one task is at most SPREAD x n rows of a section.
     """
     order = [F.desc(score), F.asc(tie)]
-    if n > GROUP_LIMIT_RANK:
-        slices = Window.partitionBy(*by, "_slice").orderBy(*order)
-        scores = (
-            scores.withColumn("_slice", F.pmod(F.xxhash64(tie), F.lit(SPREAD)))
-            .withColumn("_place", F.row_number().over(slices))
-            .where(F.col("_place") <= n)
-            .drop("_slice", "_place")
-        )
+    slices = Window.partitionBy(*by, "_slice").orderBy(*order)
+    scores = (
+        scores.withColumn("_slice", F.pmod(F.xxhash64(tie), F.lit(SPREAD)))
+        .withColumn("_place", F.row_number().over(slices))
+        .where(F.col("_place") <= n)
+        .drop("_slice", "_place")
+    )
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col("rank") <= n)
 

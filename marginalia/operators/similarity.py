@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marginalia.session import staged
 
@@ -79,6 +79,7 @@ def _compare(
     size, row = _own_size(mine)
     unit_rows, products = _kernel()
     reduce_rows = reduce_tile(products)
+    columns = [f.name for f in schema.fields]
     kept = [c for c in new.columns if c != "vec"]
 
     if size <= own_bytes:
@@ -95,7 +96,10 @@ def _compare(
 
         return new.mapInArrow(with_broadcast, schema), True
 
-    new = staged(new, "new-vectors")  # it is read once per own tile, and must not be encoded again
+    # It is read once per own tile, and must not be encoded again; written ids are stable ones.
+    new = staged(new.withColumn("_row", F.monotonically_increasing_id()), "new-vectors")
+    kept = [*kept, "_row"]
+    schema = StructType([*schema.fields, StructField("_row", LongType())])
     blocks = ceil(size / own_bytes)
     chunks = max(1, ceil(new.count() * row / own_bytes))
 
@@ -126,7 +130,7 @@ def _compare(
             for batch in new_tile.to_batches()
             for part in reduce_rows(batch.select(kept), unit_rows(batch.column("vec")), my_keys, matrix)
         ]
-        return pa.Table.from_batches(parts) if parts else empty
+        return pa.Table.from_batches(parts).select([*columns, "_row"]) if parts else empty
 
     tiles = new_tiles.groupBy("_chunk", "_block").cogroup(own_tiles.groupBy("_chunk", "_block"))
     return tiles.applyInArrow(with_tile, schema), False
@@ -156,15 +160,18 @@ def score_candidates(new: DataFrame, mine: DataFrame, own_bytes: int = OWN_BYTES
     kept = new.drop("vec")
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     scored, whole = _compare(new, mine, reduce_tile, schema, own_bytes)
-    return scored if whole else scored.groupBy(*kept.columns).agg(F.max("score").alias("score"))
+    if whole:
+        return scored
+    # One group is one row of `new` in all own tiles, whatever its columns hold.
+    passed = [F.first(c).alias(c) for c in kept.columns]
+    return scored.groupBy("_row").agg(*passed, F.max("score").alias("score")).drop("_row")
 
 
 def cosine_pairs(new: DataFrame, mine: DataFrame, floor: float, own_bytes: int = OWN_BYTES) -> DataFrame:
     """(key, my_key, sim) for every pair with `sim >= floor`.
 
-    The dense matrix exists only block by block inside a task. With `floor=-1.01` all pairs are
-    emitted; that table has |new| x |mine| rows, and `score_candidates` gives its maxima without
-    it. Same errors and same job as `score_candidates`.
+    The dense matrix exists only block by block inside a task. A low floor emits most of
+    |new| x |mine| pairs; where only the maxima are wanted, `score_candidates` gives them without. Same errors and same job as `score_candidates`.
     """
 
     def reduce_tile(products: Callable) -> Callable:
@@ -176,8 +183,8 @@ def cosine_pairs(new: DataFrame, mine: DataFrame, floor: float, own_bytes: int =
             for at, block in products(vectors, matrix):
                 i, j = np.nonzero(block >= floor)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(i)), my_keys.take(pa.array(j + at)), pa.array(block[i, j])],
-                    names=["key", "my_key", "sim"],
+                    [keys.take(pa.array(i)), my_keys.take(pa.array(j + at)), pa.array(block[i, j]), *(c.take(pa.array(i)) for c in rows.columns[1:])],
+                    names=["key", "my_key", "sim", *rows.schema.names[1:]],
                 )
 
         return keep
@@ -190,7 +197,7 @@ def cosine_pairs(new: DataFrame, mine: DataFrame, floor: float, own_bytes: int =
             StructField("sim", DoubleType()),
         ]
     )
-    return _compare(new, mine, reduce_tile, schema, own_bytes)[0]
+    return _compare(new, mine, reduce_tile, schema, own_bytes)[0].drop("_row")
 
 
 def max_similarity(pairs: DataFrame) -> DataFrame:

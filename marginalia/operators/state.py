@@ -99,10 +99,15 @@ def incremental_vectors(
     small tables are written first, and texts and vectors need no shuffle when little has changed.
     """
     hashed = with_hash(corpus)
-    valid = vectors.where(F.col("fingerprint") == F.lit(fingerprint))
+    digests = hashed.select("key", "content_hash")
+    if stage:
+        digests = staged(digests, "content-hashes")  # the wide corpus is read for hashing once
+    # As for `stale_vectors`, a missing fingerprint does not tell of another model.
+    valid = vectors.where(F.coalesce("fingerprint", F.lit(fingerprint)) == F.lit(fingerprint))
+    valid = valid.withColumn("fingerprint", F.lit(fingerprint))
     on = ["key", "content_hash"]
-    to_encode = hashed.select(*on).join(valid.select(*on), on, "left_anti")
-    to_drop = valid.select(*on).join(hashed.select(*on), on, "left_anti")
+    to_encode = digests.join(valid.select(*on), on, "left_anti")
+    to_drop = valid.select(*on).join(digests, on, "left_anti")
     if stage:
         to_encode, to_drop = staged(to_encode, "to-encode"), staged(to_drop, "to-drop")
     kept = valid.join(to_drop, on, "left_anti")

@@ -16,7 +16,7 @@ class RecommendOptions:
 
     categories: tuple[str, ...] = field(default_factory=tuple)
     days: int = 1
-    cap: int | None = 1000
+    cap: int | None = None
     top_n: int = 20
     threshold: float = 0.0
 

@@ -14,6 +14,7 @@ from marginalia.operators.similarity import score_candidates
 from marginalia.operators.text import compose_text, parse_records
 from marginalia.options import RecommendOptions
 from marginalia.sources.papers import render_headers, render_records
+from marginalia.sources.tables import latest_by_key
 
 SECTIONS = 2
 BROADCAST_ROWS = 100_000
@@ -35,6 +36,8 @@ def recommend(
     the same window and rendered after that join, so that no text is carried through the ranking.
     """
     recent = recent_window(papers, options.categories, options.days, options.cap)
+    # Of several versions of a paper the latest counts, as in a table that is written by key.
+    recent = latest_by_key(recent, "key", F.struct("published", "title", "abstract", "url"))
     routed = route_priority(render_records(recent), black, white, headers=render_headers(recent))
     scored = score_candidates(encode(compose_text(routed)), my_vectors)
     best = top_n_per_section(score_threshold(scored, options.threshold), options.top_n)
@@ -46,5 +49,10 @@ def recommend(
 
 
 def daily_report(recs: DataFrame, run_date: Column) -> DataFrame:
-    """(run_date, md) of one run."""
-    return assemble_report(render_entries(recs.withColumn("run_date", run_date)))
+    """(run_date, md) of one run: always one row, with an empty text if nothing is recommended.
+
+    So a rerun without recommendations replaces an earlier report of its day.
+    """
+    made = assemble_report(render_entries(recs.withColumn("run_date", run_date)))
+    day = recs.sparkSession.range(1).select(run_date.alias("run_date"))
+    return day.join(made, "run_date", "left").select("run_date", F.coalesce("md", F.lit("")).alias("md"))

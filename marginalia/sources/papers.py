@@ -22,8 +22,13 @@ def own_paper_id(entry_id: Column) -> Column:
     return F.substring_index(entry_id, "/", -1)
 
 
+def _text(value: Column) -> Column:
+    """A missing field is an empty one, so that it does not take the whole record with it."""
+    return F.coalesce(value, F.lit(""))
+
+
 def _header() -> list[Column]:
-    return [F.lit("Title: "), F.col("title"), F.lit("\nAuthors: "), F.array_join("authors", ", ")]
+    return [F.lit("Title: "), _text(F.col("title")), F.lit("\nAuthors: "), _text(F.array_join("authors", ", "))]
 
 
 def render_records(papers: DataFrame, raw_date: bool = False, keep: Sequence[str] = ()) -> DataFrame:
@@ -35,9 +40,9 @@ def render_records(papers: DataFrame, raw_date: bool = False, keep: Sequence[str
     date = F.col("published").cast("string") if raw_date else F.date_format("published", "yyyy-MM-dd")
     content = F.concat(
         *_header(),
-        F.lit("\nAbstract:\n"), "abstract",
-        F.lit("\nURL: "), "url",
-        F.lit("\nDate: "), date, F.lit("\n"),
+        F.lit("\nAbstract:\n"), _text(F.col("abstract")),
+        F.lit("\nURL: "), _text(F.col("url")),
+        F.lit("\nDate: "), _text(date), F.lit("\n"),
     )
     return papers.select("key", *keep, content.alias("content"))
 

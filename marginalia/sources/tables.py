@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import staged
+
 
 def _one_per_key(batch: DataFrame, key: str, order: Column, latest: bool) -> DataFrame:
     """One row per key by `order`, as an aggregate: a hot key shrinks before the shuffle."""
@@ -24,13 +26,24 @@ def overwrite_by_key(batch: DataFrame, key: str, order: Column) -> DataFrame:
     return _one_per_key(batch, key, order, latest=True)
 
 
+def latest_by_key(table: DataFrame, key: str, order: Column) -> DataFrame:
+    """`overwrite_by_key` for wide rows of which few repeat a key.
+
+    Keys are counted alone; only rows of repeated keys are shuffled, and the others stay where they are
+    if the repeated keys are few enough for Spark to broadcast. Rows with a NULL key pass.
+    """
+    repeated = staged(table.groupBy(key).count().where("count > 1").select(key), "repeated-keys")
+    once = table.join(repeated, key, "left_anti")
+    return once.unionByName(overwrite_by_key(table.join(repeated, key, "left_semi"), key, order))
+
+
 def insert_new(target: DataFrame, batch: DataFrame, key: str, order: Column) -> DataFrame:
     """Rows of `batch` to append: keys absent from `target`, first one of a repeated key.
 
-    Only keys of `target` are read. They are first cut down to those of the batch, so that a
+    A NULL key cannot be told from one that is stored, so such rows are not appended. Only keys of `target` are read. They are first cut down to those of the batch, so that a
     small batch is broadcast to a large target rather than the target being shuffled.
     """
-    fresh = first_by_key(batch, key, order)
+    fresh = first_by_key(batch.where(F.col(key).isNotNull()), key, order)
     taken = target.select(key).join(fresh.select(key), key, "left_semi")
     return fresh.join(taken, key, "left_anti")
 
@@ -43,9 +56,10 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame, key: str, order
     try:
         target = spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        # No folder yet, or one in which no file has been written yet.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        first_by_key(batch, key, order).write.mode("errorifexists").parquet(path)
+        first_by_key(batch.where(F.col(key).isNotNull()), key, order).write.mode("append").parquet(path)
         return
     insert_new(target, batch, key, order).write.mode("append").parquet(path)
 

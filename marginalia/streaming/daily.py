@@ -10,12 +10,12 @@ from marginalia.sources.tables import append_new
 
 
 def poll_new_records(
-    spark: SparkSession, inbox: str, schema: str, table: str, checkpoint: str, key: str = "key", order: str = "key"
+    spark: SparkSession, inbox: str, schema: str, table: str, checkpoint: str, order: str, key: str = "key"
 ) -> StreamingQuery:
     """Read the Parquet files that are new in `inbox` and append unseen keys to `table`.
 
     The query takes everything available and stops, so that a daily job can start it; the
-    checkpoint remembers which files were read. A batch that is replayed after a failure finds
+    checkpoint remembers which files were read. Of several rows of a key the first by `order` is kept. A batch that is replayed after a failure finds
     its keys in the table and adds nothing.
     """
 
