@@ -7,9 +7,8 @@ import pytest
 from conftest import plan_of
 
 import __spark_entry__ as entry_points
-
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+from marginalia.catalog.oracles import ORACLES
+from marginalia.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +18,7 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -36,10 +36,10 @@ def test_report_text(spark):
     assert md["2024-01-03"].startswith("## Other recommendations\n\n") and "Priority" not in md["2024-01-03"]
 
 
-def test_rank_beyond_a_report_is_an_error(spark):
-    entries = spark.createDataFrame([("d", "Other", report.MAX_RANK + 1, "e")], "run_date string, section string, rank int, entry string")
-    with pytest.raises(Exception, match="top n of each section"):
-        report.assemble_report(entries).collect()
+def test_a_report_takes_any_number_of_entries(spark):
+    entries = spark.range(1, 20_001).selectExpr("'d' AS run_date", "'Other' AS section", "int(id) AS rank", "concat('e', id, ';') AS entry")
+    md = report.assemble_report(entries).first().md
+    assert md.split("\n")[4] == "".join(f"e{i};" for i in range(1, 20_001))
 
 
 def test_round_trip(spark):
@@ -214,6 +214,8 @@ def test_run_history(spark):
     assert labels == ["December 1, 2026 — Priority 0, Other 1", "zzz — Priority 1, Other 2", "January 5, 2026 — Priority 0, Other 0"]
     assert cards.run_history(reports, limit=1).count() == 1
     assert cards.run_history(reports, limit=None).count() == 3
+    lost = spark.createDataFrame([("2026-01-05", None, 1)], "run_date string, md string, modified int")
+    assert tuple(cards.run_history(lost).first())[2:] == (0, 0)
 
 
 def test_export_links(spark):

@@ -169,7 +169,7 @@ def test_incremental_equals_full(spark, stage):
         encoded.extend(r.key for r in texts.collect())
         return hashing_vectors(texts)
 
-    stored = full(old, F.when(F.col("key") == "k2", "older").otherwise("f"))
+    stored = full(old, F.when(F.col("key") == "k2", "older").when(F.col("key") != "k0", "f"))
     got = state.incremental_vectors(now, stored, encode, "f", stage)
     columns = ["key", "vec", "content_hash", "fingerprint"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full(now, F.lit("f")).select(*columns).collect()))
@@ -181,7 +181,7 @@ def test_daily_poll(spark, tmp_path):
     schema = "key string, value string"
 
     def poll():
-        poll_new_records(spark, inbox, schema, table, checkpoint).awaitTermination(60)
+        poll_new_records(spark, inbox, schema, table, checkpoint, order="value").awaitTermination(60)
         return sorted(map(tuple, spark.read.parquet(table).collect()))
 
     spark.createDataFrame([("a", "1"), ("b", "1")], schema).write.parquet(inbox)
@@ -189,3 +189,32 @@ def test_daily_poll(spark, tmp_path):
     spark.createDataFrame([("a", "2"), ("c", "2")], schema).write.mode("append").parquet(inbox)
     assert poll() == [("a", "1"), ("b", "1"), ("c", "2")]
     assert poll() == [("a", "1"), ("b", "1"), ("c", "2")]
+
+
+def test_an_empty_rerun_replaces_the_report_of_its_day(spark, tmp_path):
+    from marginalia.plans.recommend import daily_report
+    from marginalia.sources.files import report_sink, scan_reports
+
+    schema = "section string, rank int, key int, score double, title string, authors string, abstract string, url string, date string"
+    one = spark.createDataFrame([("Other", 1, 1, 0.5, "t", "A B", "x", "u", "d")], schema)
+    path = str(tmp_path / "reports")
+    report_sink(daily_report(one, F.lit("2024-02-01")), path)
+    report_sink(daily_report(one, F.lit("2024-02-02")), path)
+    report_sink(daily_report(one.where("false"), F.lit("2024-02-02")), path)
+    got = {r.run_date: r.md.strip() for r in scan_reports(spark, path).collect()}
+    assert got["2024-02-02"] == "" and "### [t](u)" in got["2024-02-01"]
+
+
+def test_an_empty_folder_and_null_keys(spark, tmp_path):
+    path = tmp_path / "table"
+    path.mkdir()
+    batch = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "key int, value string")
+    for _ in range(2):
+        tables.append_new(spark, str(path), batch, "key", F.col("value"))
+    assert [tuple(r) for r in spark.read.parquet(str(path)).collect()] == [(1, "a")]
+
+
+def test_latest_by_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (1, "b")], "key int, value string")
+    got = sorted((r.key or 0, r.value) for r in tables.latest_by_key(rows, "key", F.col("value")).collect())
+    assert got == [(0, "d"), (1, "b"), (2, "c")]

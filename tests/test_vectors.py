@@ -149,3 +149,14 @@ def test_encoder_gets_whole_texts_in_batches(spark):
     vecs = [r.vec for r in vectors.embed(texts, factory).collect()]
     assert len(vecs) == 40
     assert {round(v[0] / v[1]) for v in vecs} == {round(5000 / 16), round(5000 / 8)}
+
+
+@pytest.mark.parametrize("own_bytes", [similarity.OWN_BYTES, 16])
+def test_equal_rows_stay_rows_on_every_path(spark, own_bytes):
+    new = spark.createDataFrame([(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (1, [0.0, 1.0], "x"), (2, [1.0, 1.0], "y")], "key int, vec array<double>, tag string")
+    mine = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "key int, vec array<double>")
+    scored = similarity.score_candidates(new, mine, own_bytes)
+    assert scored.columns == ["key", "tag", "score"]
+    assert sorted((r.key, round(r.score, 4)) for r in scored.collect()) == [(1, 0.9487), (1, 1.0), (1, 1.0), (2, 1.0)]
+    pairs = similarity.cosine_pairs(new, mine, 0.99, own_bytes).collect()
+    assert sorted((r.key, r.my_key) for r in pairs) == [(1, 0), (1, 0), (2, 1)]
