@@ -215,7 +215,7 @@ def quality_rules(docs: DataFrame, labelled: DataFrame, options: ListOptions = L
     `labelled` holds (doc_id, label) of at most 2 x `per_class` rows, so it is safe to broadcast. The
     features of those rows are computed once more for learning; no text is shuffled.
     """
-    rows = statistics(docs.join(F.broadcast(labelled), "doc_id"), "label")
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id"), "label")
     kept, fired = verdict(learn(rows, options))
     return statistics(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

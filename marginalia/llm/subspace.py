@@ -11,6 +11,7 @@ precision. Rotated coordinates are rounded to integers first, so every task deci
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import map_batches
+from marginalia.llm.common import bytes_of, map_batches
 from marginalia.llm.components import components
 from marginalia.session import staged
 
@@ -32,8 +33,9 @@ class SubspaceOptions:
     cosine: float = 0.95
     block_width: int = 8
     seed: int = 17
-    cell_rows: int = 4096  # vectors of a cell that the number of cells aims at; it plans, results do not depend on it
-    tile_rows: int = 2048  # vectors of either side that meet in one task
+    cell_rows: int = 2048  # vectors of a cell that the number of cells aims at; it plans, results do not depend on it
+    tile_rows: int = 2048  # residents of a cell that meet in one task,
+    guest_rows: int = 8192  # with so many of its guests
 
 
 def rotation(width: int, seed: int) -> np.ndarray:
@@ -66,16 +68,14 @@ def _dealt(reps: DataFrame, options: SubspaceOptions, bits: int, kind: str) -> D
     A guest goes to cells above its own only, so that two cells meet in one of them.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rep, copies = (np.asarray(batch.column(c)) for c in ("rep", "copies"))
-        widths = np.asarray(batch.column("width"))
-        parts: list[tuple[np.ndarray, ...]] = []
-        payload: list[bytes] = []
-        raw = batch.column("vec").to_pylist()
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rep, copies, widths = (np.asarray(batch.column(c)) for c in ("rep", "copies", "width"))
+        raw, bounds = bytes_of(batch.column("vec"))
         for width in np.unique(widths):
             at = np.flatnonzero(widths == width)
-            data = [raw[i] for i in at]
-            _, spun = rotated(np.frombuffer(b"".join(data), kind).reshape(-1, width).astype(float), options)
+            size = int(width) * np.dtype(kind).itemsize
+            data = raw[bounds[at][:, None] + np.arange(size)]
+            _, spun = rotated(data.view(kind).astype(float), options)
             for b, (block, budget) in enumerate(zip(blocks_of(width, options), budgets(width, options), strict=True)):
                 used = min(bits, len(block))
                 lead = spun[:, block[:used]]
@@ -85,15 +85,20 @@ def _dealt(reps: DataFrame, options: SubspaceOptions, bits: int, kind: str) -> D
                 cell = home[:, None] ^ masks
                 reach = ((lead**2) @ flips.T <= budget) & ((cell > home[:, None]) | (masks == 0))
                 who, mask = np.nonzero(reach)
-                parts.append((np.full(len(who), width), np.full(len(who), b), cell[who, mask], mask > 0, rep[at][who], copies[at][who]))
-                payload += [data[i] for i in who]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(payload, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["width", "block", "cell", "guest", "rep", "copies", "vec"])
+                columns = (np.full(len(who), width), np.full(len(who), b), cell[who, mask], mask > 0, rep[at][who], copies[at][who])
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+                vec = pa.Array.from_buffers(
+                    pa.large_binary(), len(who), [None, pa.py_buffer(np.arange(len(who) + 1, dtype=np.int64) * size), pa.py_buffer(data[who])]
+                )
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [vec.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["width", "block", "cell", "guest", "rep", "copies", "vec"])
 
-    schema = "width int, block int, cell int, guest boolean, rep bigint, copies bigint, vec binary"
-    return map_batches(reps, work, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                yield from work(batch.slice(start, 2000))
+
+    return reps.mapInArrow(run, "width int, block int, cell int, guest boolean, rep bigint, copies bigint, vec binary")
 
 
 def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,21 +151,24 @@ def tile_links(left: np.ndarray, right: np.ndarray, block: int, same: bool, opti
 def _tiled(dealt: DataFrame, options: SubspaceOptions) -> DataFrame:
     """Deal the rows of each cell to tiles of bounded size in which every pair meets once.
 
-    A cell's residents are cut into chunks i, its guests into chunks j; tiles are pairs of resident
-    chunks i <= j and of a resident and a guest chunk. There are as many rows of counts as cells, a
+    A cell's residents are cut into chunks i, its guests into chunks j; tiles are pairs of different
+    resident chunks i < j, and pairs of a resident and a guest chunk, of which the first one also compares
+    the residents with each other. There are as many rows of counts as cells, a
     number the plan fixes, so they are broadcast. Cells without residents meet nobody.
     """
     key = ["width", "block", "cell"]
     counts = dealt.groupBy(*key).agg(F.count(F.when(~F.col("guest"), 1)).alias("own"), F.count(F.when(F.col("guest"), 1)).alias("visiting"))
-    chunks = lambda c: F.ceil(F.col(c) / options.tile_rows).cast("int")
-    counts = staged(counts.select(*key, chunks("own").alias("own"), chunks("visiting").alias("visiting")).where("own > 0"), "subspace-cells")
+    own, visiting = F.ceil(F.col("own") / options.tile_rows), F.ceil(F.col("visiting") / options.guest_rows)
+    counts = counts.select(*key, own.cast("int").alias("own"), F.greatest(visiting, F.lit(1)).cast("int").alias("visiting"))
+    counts = staged(counts.where("own > 0"), "subspace-cells")
     rows = dealt.join(F.broadcast(counts), key)
     own = F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")
-    visiting = F.pmod(F.xxhash64("rep"), F.greatest("visiting", F.lit(1))).cast("int")
+    visiting = F.pmod(F.xxhash64("rep"), F.col("visiting")).cast("int")
     tile = lambda i, j, guests, left: F.struct(i.alias("i"), j.alias("j"), F.lit(guests).alias("guests"), left.alias("left"))
-    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    others = F.filter(up_to(F.col("own")), lambda k: k != own)
     resident = F.concat(
-        F.transform(up_to(F.col("own")), lambda k: tile(F.least(own, k), F.greatest(own, k), False, own <= k)),
+        F.transform(others, lambda k: tile(F.least(own, k), F.greatest(own, k), False, own <= k)),
         F.transform(up_to(F.col("visiting")), lambda k: tile(own, k, True, F.lit(True))),
     )
     guest = F.transform(up_to(F.col("own")), lambda k: tile(k, visiting, True, F.lit(False)))
@@ -175,17 +183,17 @@ def links(reps: DataFrame, options: SubspaceOptions, n: int, kind: str) -> DataF
     tiles = _tiled(staged(_dealt(reps, options, bits, kind), "subspace-dealt"), options)
 
     def work(key: tuple, group: pa.Table) -> pa.Table:
-        width, block, i, j, guests = (k.as_py() for k in (key[0], key[1], key[3], key[4], key[5]))
-        same = not guests and i == j
+        width, block, j, guests = (k.as_py() for k in (key[0], key[1], key[4], key[5]))
         left_side = np.asarray(group.column("left"))
         rep, copies = np.asarray(group.column("rep")), np.asarray(group.column("copies"))
-        vectors = np.frombuffer(b"".join(group.column("vec").to_pylist()), kind).reshape(-1, width).astype(float)
-        a = np.arange(len(rep)) if same else np.flatnonzero(left_side)
-        b = a if same else np.flatnonzero(~left_side)
+        vectors = bytes_of(group.column("vec"))[0].view(kind).reshape(-1, width).astype(float)
+        a, b = np.flatnonzero(left_side), np.flatnonzero(~left_side)
         total, labels = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        if len(a) and len(b):
-            for x, y in tile_links(vectors[a], vectors[b], block, same, options):
-                x, y = a[x], b[y]
+        for other in ([a] if guests and j == 0 else []) + [b]:
+            if not len(a) or not len(other):
+                continue
+            for x, y in tile_links(vectors[a], vectors[other], block, other is a, options):
+                x, y = a[x], other[y]
                 total += np.bincount(x, copies[y], len(rep)).astype(np.int64) + np.bincount(y, copies[x], len(rep)).astype(np.int64)
                 labels = _merge(labels, x, y)
         some = np.flatnonzero(total)

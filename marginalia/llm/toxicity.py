@@ -101,11 +101,13 @@ def build(sides: tuple[ClassCounts, ClassCounts], documents: dict[str, int]) ->
 
 def word_ratios(words: list[str], model: Model) -> np.ndarray:
     """log P(word | previous, toxic) - log P(word | previous, ordinary) of each word in turn."""
+    if not words:
+        return np.zeros(0)
     ids = list(map(model.words.get, words, [0] * len(words)))
     previous = [0, *ids[:-1]]
     known = [model.bigram.get(p << 32 | w) if w else None for p, w in zip(previous, ids, strict=True)]
     plain = model.unigram[ids] + model.lead[previous]
-    return np.array([k if k is not None else v for k, v in zip(known, plain.tolist(), strict=True)]) if words else np.zeros(0)
+    return np.array([k if k is not None else v for k, v in zip(known, plain.tolist(), strict=True)])
 
 
 def features(text: str, model: Model, window: int) -> tuple[float, ...]:
