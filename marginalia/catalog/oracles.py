@@ -238,7 +238,6 @@ FLAGSHIP_PARTS = (
     PARSED,
     TEXTS,
     vectors_of("new", "texts"),
-    "own_texts AS (SELECT item_id AS key, text FROM benchmark)",
     vectors_of("own", "own_texts"),
     """
 dots AS (SELECT a.key, b.key AS my_key, sum(a.tf * b.tf) AS dot
@@ -259,9 +258,9 @@ SELECT key FROM papers p WHERE (p.source IN ({listed(CATEGORIES)}) OR p.lang IN
 AND p.published >= (SELECT max(published) FROM papers WHERE source IN ({listed(CATEGORIES)}) OR lang IN ({listed(CATEGORIES)})) - INTERVAL '1 day'"""
 
 
-def flagship(threshold: float = 0.1, window: str = "SELECT key FROM papers") -> str:
-    """The CTEs of a recommendation over the papers that `window` selects."""
-    return ",".join([*FLAGSHIP_PARTS, f"win AS ({window})", PLACED.format(threshold=threshold)])
+def flagship(threshold: float = 0.1, window: str = "SELECT key FROM papers", own: str = "text") -> str:
+    """The CTEs of a recommendation over the papers that `window` selects; `own` is the own text of an item."""
+    return ",".join([f"own_texts AS (SELECT item_id AS key, {own} AS text FROM benchmark)", *FLAGSHIP_PARTS, f"win AS ({window})", PLACED.format(threshold=threshold)])
 
 
 ORACLES: dict[str, str] = {
@@ -377,6 +376,9 @@ ORACLES: dict[str, str] = {
     "recommend": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "recommend_duplicates": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "recommend_window": f"WITH {flagship(0.0, NEWEST_DAY)} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
+    "daily_job": f"""WITH {flagship(own=f"'b [SEP] ' || {strip('text')}")}, entries AS (SELECT *, '2024-02-01' AS run_date, {ENTRY} AS entry FROM recs), {MD}
+        SELECT run_date, md, (SELECT count(*) FROM benchmark) AS vectors FROM reports
+        UNION ALL SELECT '2024-02-02', {NL}, (SELECT count(*) FROM benchmark)""",
     "recommend_report": f"""WITH {flagship()}, entries AS (SELECT *, '2024-02-01' AS run_date, {ENTRY} AS entry FROM recs), {MD}
         SELECT run_date, md FROM reports""",
 }

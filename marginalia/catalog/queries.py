@@ -11,6 +11,8 @@ from marginalia.catalog import fixtures as fx
 from marginalia.functions import strings as S
 from marginalia.operators import authors, cards, select, similarity, state, text, vectors
 from marginalia.options import ModelOptions, RecommendOptions
+from marginalia.plans.daily import daily_job as run_daily
+from marginalia.plans.daily import read_state
 from marginalia.plans.recommend import daily_report
 from marginalia.plans.recommend import recommend as recommend_plan
 from marginalia.session import scratch_path
@@ -594,6 +596,30 @@ def recommend_window(spark, sf_dir):
     return _recommend(spark, sf_dir, options=options).withColumn("score", F.round("score", 6))
 
 
+def _own_records(spark, sf_dir):
+    text = F.concat(F.lit("Title: b\nAbstract:\n"), "text", F.lit("\nDate: d\n"))
+    return fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), text.alias("content"))
+
+
+@query
+def daily_job(spark, sf_dir):
+    """Three runs: a draft of a day, the day itself with a changed own corpus, a day without results."""
+    folder = scratch_path(spark, "daily")
+    papers, own = fx.papers(spark, sf_dir), _own_records(spark, sf_dir)
+    black, white = fx.black_names(spark, sf_dir), fx.white_names(spark, sf_dir)
+    nothing = RecommendOptions(days=WINDOW_DAYS, threshold=2.0)
+    before = own.where("key % 2 = 0").withColumn("content", F.upper("content"))
+    for day, corpus, options in (
+        ("2024-02-01", before, nothing),
+        ("2024-02-01", own, ALL_DAYS),
+        ("2024-02-02", own, nothing),
+    ):
+        run_daily(papers, corpus, folder, black, white, fx.encode, day, options, MODEL)
+    kept = read_state(spark, folder).first()
+    count = tables.read_vectors(spark, kept.vectors).count()
+    return files.scan_reports(spark, f"{folder}/reports").select("run_date", "md", F.lit(count).alias("vectors"))
+
+
 @query
 def recommend_report(spark, sf_dir):
     return daily_report(_recommend(spark, sf_dir), F.lit("2024-02-01"))
