@@ -61,8 +61,8 @@ def explode_authors(corpus: DataFrame) -> DataFrame:
 
 
 def _spell(parts: Column, tokens: Column) -> Column:
-    """`last|token` for each token; nothing when the name has no last name."""
-    spelled = F.transform(tokens, lambda t: F.concat(_last(parts), F.lit("|"), t))
+    """Last name, a tab (which no word can hold) and each token; nothing when the name has no last name."""
+    spelled = F.transform(tokens, lambda t: F.concat(_last(parts), F.lit("\t"), t))
     return F.when(F.size(parts) > 1, spelled).otherwise(F.array().cast("array<string>"))
 
 

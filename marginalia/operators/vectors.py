@@ -67,10 +67,17 @@ def require_dims(new: DataFrame, mine: DataFrame, vec: str = "vec") -> None:
         raise ValueError(f"vector widths differ: {widths.asDict()}")
 
 
-def embed(texts: DataFrame, encoder_factory: Callable[[], Encoder], batch_size: int = BATCH_TEXTS) -> DataFrame:
+#: Encoders of this Python worker by their id; a new id takes the place of the old one.
+LOADED: dict[str, Encoder] = {}
+
+
+def embed(
+    texts: DataFrame, encoder_factory: Callable[[], Encoder], batch_size: int = BATCH_TEXTS, encoder_id: str | None = None
+) -> DataFrame:
     """Put `vec`, scaled to unit length, in place of `text`; other columns pass through.
 
-    `encoder_factory` runs once per task, on the executor, and returns a function from a list of
+    `encoder_factory` runs on the executor, once per task, or once per Python worker if `encoder_id` says
+    which encoder it is, and returns a function from a list of
     texts to a matrix with one row per text. The encoder gets whole texts, `batch_size` at a
     time; truncation, if its model needs it, is its own affair.
     """
@@ -83,6 +90,13 @@ def embed(texts: DataFrame, encoder_factory: Callable[[], Encoder], batch_size:
 
         encoder = None
         for batch in batches:
+            if encoder is None and encoder_id is not None:
+                from marginalia.operators import vectors as worker
+
+                if encoder_id not in worker.LOADED:
+                    worker.LOADED.clear()
+                    worker.LOADED[encoder_id] = encoder_factory()
+                encoder = worker.LOADED[encoder_id]
             encoder = encoder or encoder_factory()
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)

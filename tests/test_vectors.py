@@ -160,3 +160,15 @@ def test_equal_rows_stay_rows_on_every_path(spark, own_bytes):
     assert sorted((r.key, round(r.score, 4)) for r in scored.collect()) == [(1, 0.9487), (1, 1.0), (1, 1.0), (2, 1.0)]
     pairs = similarity.cosine_pairs(new, mine, 0.99, own_bytes).collect()
     assert sorted((r.key, r.my_key) for r in pairs) == [(1, 0), (1, 0), (2, 1)]
+
+
+def test_a_named_encoder_is_loaded_once_per_worker(spark, tmp_path):
+    def factory():
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        return lambda batch: [[float(len(t)), 1.0] for t in batch]
+
+    texts = spark.range(0, 400, 1, 40).select(F.col("id").alias("key"), F.lit("x").alias("text"))
+    assert vectors.embed(texts, factory, encoder_id="lengths").count() == 400
+    assert 0 < len(vectors.embed(texts, factory, encoder_id="lengths").collect()) and len(list(tmp_path.iterdir())) <= 8
