@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that separate words where a contract names `[^\x20\x09-\x0D]+` as a word.
+#: Rows that a Python operator works on at once; results do not depend on it.
+SLICE = 1000
+#: A word, where a contract names it so.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,13 +26,28 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def give_back_memory() -> None:
+    """Return what this process has freed, but its allocators keep, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply `work` to each Arrow batch of `frame`; it may give a batch of any length, or none."""
+    """Apply `work` to slices of the Arrow batches of `frame`; it may give a batch of any length, or none.
+
+    A slice has at most SLICE rows, so what a task holds beside one Arrow batch stays small. At its end
+    the task gives freed memory back, as Python workers live on for other tasks and queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    if (out := work(batch.slice(start, SLICE))) is not None:
+                        yield out
+        finally:
+            give_back_memory()
 
     return frame.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LETTER = mix64(np.arange(256, dtype=np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1))
 _STEP = _U(0xA0761D6478BD642F)
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)

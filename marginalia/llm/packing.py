@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import map_batches, texts_of
 
 #: Distinct chunks that one Python worker remembers; a full memory starts anew. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _CONTROL = "\x1c\x1d\x1e\x1f"
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
