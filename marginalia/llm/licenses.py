@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
 Every rule is a regular expression over the normalised words of a text (A-Z lowered, words
-`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, joined by one space), with a keyword that must occur before the
-expression is tried and a priority. Detections are resolved in the order of priority, then length,
+`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, joined by one space), with keywords of which one occurs in
+whatever the expression matches and a priority. Detections are resolved in the order of priority, then length,
 then start: one that lies inside an accepted detection is suppressed.
 """
 
@@ -23,78 +23,79 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Label, keyword that must occur, names as word patterns, short identifiers.
+#: Label, keywords (|) of which every name has one, names as word patterns, keywords of which
+#: every short identifier has one, short identifiers.
 FAMILIES = (
-    ("mit", "mit", r"mit(?: expat)?|expat", r"mit"),
-    ("mit-0", "mit", r"mit no attribution|mit 0", r"mit 0"),
-    ("apache-1", "apache", r"apache(?: software)? 1 [01]|apache(?: software)? license v(?:ersion)? ?1 [01]", r"apache 1 [01]"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: v| version )?2(?: 0)?|apache 2(?: 0)?|asl 2 0", r"apache 2 0"),
-    ("bsd-2", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause|freebsd", r"bsd 2 clause"),
-    ("bsd-3", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd (?:3|three) clause", r"bsd 3 clause"),
-    ("bsd-4", "bsd", r"(?:original|old|4 clause|four clause) bsd|bsd (?:4|four) clause", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"zero clause bsd|bsd zero clause|0bsd", r"0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?", r"bsd"),
-    ("gpl-1", "g", r"(?:gnu )?gpl ?v?1(?: 0)?|gnu general public license v(?:ersion)? ?1", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "g", r"(?:gnu )?gpl ?v?2(?: 0)?|gnu general public license v(?:ersion)? ?2", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "g", r"(?:gnu )?gpl ?v?3(?: 0)?|gnu general public license v(?:ersion)? ?3", r"gpl 3 0(?: only| or later)?"),
-    ("gpl", "g", r"gnu gpl|gnu general public license|gpl", r"gpl"),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl ?v?2(?: [01])?", r"lgpl 2 [01](?: only| or later)?"),
-    ("lgpl-2", "lesser", r"gnu (?:lesser|library) general public license v(?:ersion)? ?2(?: [01])?", r"gnu lesser 2 1"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-3", "lesser", r"gnu lesser general public license v(?:ersion)? ?3", r"gnu lesser 3 0"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl", r"lgpl"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("agpl-3", "affero", r"(?:gnu )?affero general public license(?: v(?:ersion)? ?3)?", r"affero 3 0"),
-    ("gfdl", "documentation", r"gnu free documentation license|gfdl", r"gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1", "m", r"mozilla public license(?: v(?:ersion)?)? ?1 [01]|mpl ?v?1 [01]", r"mpl 1 [01]"),
-    ("mpl-2", "m", r"mozilla public license(?: v(?:ersion)?)? ?2(?: 0)?|mpl ?v?2(?: 0)?", r"mpl 2 0"),
-    ("mpl", "mozilla", r"mozilla public license", r"mpl"),
-    ("epl-1", "e", r"eclipse public license(?: v(?:ersion)?)? ?1(?: 0)?|epl ?v?1 0", r"epl 1 0"),
-    ("epl-2", "e", r"eclipse public license(?: v(?:ersion)?)? ?2(?: 0)?|epl ?v?2 0", r"epl 2 0"),
-    ("edl-1", "eclipse", r"eclipse distribution license", r"edl 1 0"),
-    ("cddl-1", "c", r"common development and distribution license|cddl", r"cddl 1 [01]"),
-    ("cpl-1", "common", r"common public license", r"cpl 1 0"),
-    ("eupl-1", "eu", r"european union public licen[cs]e|eupl", r"eupl 1 [012]"),
-    ("isc", "isc", r"isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
-    ("libpng", "libpng", r"libpng", r"libpng(?: 2 0)?"),
-    ("boost-1", "b", r"boost software license|bsl ?1(?: 0)?", r"bsl 1 0"),
-    ("artistic-1", "artistic", r"artistic license 1(?: 0)?", r"artistic 1 0"),
-    ("artistic-2", "artistic", r"artistic license 2(?: 0)?", r"artistic 2 0"),
-    ("perl", "perl", r"same terms as perl(?: itself)?", r"perl"),
-    ("python-2", "python", r"python software foundation|psf", r"psf 2 0|python 2 0"),
-    ("ruby", "ruby", r"ruby", r"ruby"),
-    ("php-3", "php", r"php license v(?:ersion)? ?3(?: 0[01]?)?", r"php 3 0(?:1)?"),
-    ("unlicense", "unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl"),
-    ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1234] [05])?", r"cc by nc nd [1234] [05]"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1234] [05])?", r"cc by nc sa [1234] [05]"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1234] [05])?", r"cc by nc [1234] [05]"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1234] [05])?", r"cc by nd [1234] [05]"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1234] [05])?", r"cc by sa [1234] [05]"),
-    ("cc-by", "cc", r"cc by(?: [1234] [05])?", r"cc by [1234] [05]"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?", r"creative commons nc nd"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", r"creative commons nc sa"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", r"creative commons nc"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?", r"creative commons nd"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike", r"creative commons sa"),
-    ("cc-by", "creative", r"creative commons attribution", r"creative commons by"),
-    ("odbl-1", "database", r"open database license|odbl", r"odbl 1 0"),
-    ("odc-by-1", "open", r"open data commons attribution", r"odc by 1 0"),
-    ("pddl-1", "pddl", r"pddl", r"pddl 1 0"),
-    ("ofl-1", "font", r"sil open font license|open font license", r"ofl 1 [01]"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl", r"openssl"),
-    ("ms-pl", "microsoft", r"microsoft public license", r"ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal license", r"ms rl"),
-    ("sspl-1", "server", r"server side public license", r"sspl 1 0"),
-    ("busl-1", "business", r"business source license", r"busl 1 1"),
-    ("elastic-2", "elastic", r"elastic license(?: v?2(?: 0)?)?", r"elastic 2 0"),
-    ("ncsa", "ncsa", r"university of illinois ncsa(?: open source)?|ncsa open source", r"ncsa"),
-    ("afl-3", "academic", r"academic free license", r"afl 3 0"),
-    ("osl-3", "open", r"open software license", r"osl 3 0"),
-    ("upl-1", "universal", r"universal permissive license", r"upl 1 0"),
+    ("mit", "mit|expat", r"mit(?: expat)?|expat", "mit", r"mit"),
+    ("mit-0", "mit", r"mit no attribution|mit 0", "mit", r"mit 0"),
+    ("apache-1", "apache", r"apache(?: software)? 1 [01]|apache(?: software)? license v(?:ersion)? ?1 [01]", "apache", r"apache 1 [01]"),
+    ("apache-2", "apache|asl", r"apache(?: software)?(?: license)?(?: v| version )?2(?: 0)?|apache 2(?: 0)?|asl 2 0", "apache", r"apache 2 0"),
+    ("bsd-2", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause|freebsd", "bsd", r"bsd 2 clause"),
+    ("bsd-3", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd", r"bsd 3 clause"),
+    ("bsd-4", "bsd", r"(?:original|old|4 clause|four clause) bsd|bsd (?:4|four) clause", "bsd", r"bsd 4 clause"),
+    ("0bsd", "bsd", r"zero clause bsd|bsd zero clause|0bsd", "bsd", r"0bsd"),
+    ("bsd", "bsd", r"bsd(?: style)?", "bsd", r"bsd"),
+    ("gpl-1", "gpl|gnu", r"(?:gnu )?gpl ?v?1(?: 0)?|gnu general public license v(?:ersion)? ?1", "gpl", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "gpl|gnu", r"(?:gnu )?gpl ?v?2(?: 0)?|gnu general public license v(?:ersion)? ?2", "gpl", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "gpl|gnu", r"(?:gnu )?gpl ?v?3(?: 0)?|gnu general public license v(?:ersion)? ?3", "gpl", r"gpl 3 0(?: only| or later)?"),
+    ("gpl", "gpl|gnu", r"gnu gpl|gnu general public license|gpl", "gpl", r"gpl"),
+    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl ?v?2(?: [01])?", "lgpl", r"lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-2", "lesser|library", r"gnu (?:lesser|library) general public license v(?:ersion)? ?2(?: [01])?", "lesser", r"gnu lesser 2 1"),
+    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?", "lgpl", r"lgpl 3 0(?: only| or later)?"),
+    ("lgpl-3", "lesser", r"gnu lesser general public license v(?:ersion)? ?3", "lesser", r"gnu lesser 3 0"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl", "lgpl", r"lgpl"),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?", "agpl", r"agpl 3 0(?: only| or later)?"),
+    ("agpl-3", "affero", r"(?:gnu )?affero general public license(?: v(?:ersion)? ?3)?", "affero", r"affero 3 0"),
+    ("gfdl", "documentation|gfdl", r"gnu free documentation license|gfdl", "gfdl", r"gfdl 1 [123](?: only| or later)?"),
+    ("mpl-1", "mozilla|mpl", r"mozilla public license(?: v(?:ersion)?)? ?1 [01]|mpl ?v?1 [01]", "mpl", r"mpl 1 [01]"),
+    ("mpl-2", "mozilla|mpl", r"mozilla public license(?: v(?:ersion)?)? ?2(?: 0)?|mpl ?v?2(?: 0)?", "mpl", r"mpl 2 0"),
+    ("mpl", "mozilla", r"mozilla public license", "mpl", r"mpl"),
+    ("epl-1", "eclipse|epl", r"eclipse public license(?: v(?:ersion)?)? ?1(?: 0)?|epl ?v?1 0", "epl", r"epl 1 0"),
+    ("epl-2", "eclipse|epl", r"eclipse public license(?: v(?:ersion)?)? ?2(?: 0)?|epl ?v?2 0", "epl", r"epl 2 0"),
+    ("edl-1", "eclipse", r"eclipse distribution license", "edl", r"edl 1 0"),
+    ("cddl-1", "common development|cddl", r"common development and distribution license|cddl", "cddl", r"cddl 1 [01]"),
+    ("cpl-1", "common", r"common public license", "cpl", r"cpl 1 0"),
+    ("eupl-1", "european|eupl", r"european union public licen[cs]e|eupl", "eupl", r"eupl 1 [012]"),
+    ("isc", "isc", r"isc", "isc", r"isc"),
+    ("zlib", "zlib", r"zlib(?: libpng)?", "zlib", r"zlib"),
+    ("libpng", "libpng", r"libpng", "libpng", r"libpng(?: 2 0)?"),
+    ("boost-1", "boost|bsl", r"boost software license|bsl ?1(?: 0)?", "bsl", r"bsl 1 0"),
+    ("artistic-1", "artistic", r"artistic license 1(?: 0)?", "artistic", r"artistic 1 0"),
+    ("artistic-2", "artistic", r"artistic license 2(?: 0)?", "artistic", r"artistic 2 0"),
+    ("perl", "perl", r"same terms as perl(?: itself)?", "perl", r"perl"),
+    ("python-2", "python|psf", r"python software foundation|psf", "psf|python", r"psf 2 0|python 2 0"),
+    ("ruby", "ruby", r"ruby", "ruby", r"ruby"),
+    ("php-3", "php", r"php license v(?:ersion)? ?3(?: 0[01]?)?", "php", r"php 3 0(?:1)?"),
+    ("unlicense", "unlicense", r"unlicense", "unlicense", r"unlicense"),
+    ("wtfpl", "wtfpl", r"wtfpl", "wtfpl", r"wtfpl"),
+    ("cc0-1", "cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0", r"cc0 1 0"),
+    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1234] [05])?", "cc", r"cc by nc nd [1234] [05]"),
+    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1234] [05])?", "cc", r"cc by nc sa [1234] [05]"),
+    ("cc-by-nc", "cc", r"cc by nc(?: [1234] [05])?", "cc", r"cc by nc [1234] [05]"),
+    ("cc-by-nd", "cc", r"cc by nd(?: [1234] [05])?", "cc", r"cc by nd [1234] [05]"),
+    ("cc-by-sa", "cc", r"cc by sa(?: [1234] [05])?", "cc", r"cc by sa [1234] [05]"),
+    ("cc-by", "cc", r"cc by(?: [1234] [05])?", "cc", r"cc by [1234] [05]"),
+    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?", "creative", r"creative commons nc nd"),
+    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", "creative", r"creative commons nc sa"),
+    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", "creative", r"creative commons nc"),
+    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?", "creative", r"creative commons nd"),
+    ("cc-by-sa", "creative", r"creative commons attribution share ?alike", "creative", r"creative commons sa"),
+    ("cc-by", "creative", r"creative commons attribution", "creative", r"creative commons by"),
+    ("odbl-1", "database|odbl", r"open database license|odbl", "odbl", r"odbl 1 0"),
+    ("odc-by-1", "open data", r"open data commons attribution", "odc", r"odc by 1 0"),
+    ("pddl-1", "pddl", r"pddl", "pddl", r"pddl 1 0"),
+    ("ofl-1", "open font", r"sil open font license|open font license", "ofl", r"ofl 1 [01]"),
+    ("postgresql", "postgresql", r"postgresql", "postgresql", r"postgresql"),
+    ("openssl", "openssl", r"openssl", "openssl", r"openssl"),
+    ("ms-pl", "microsoft", r"microsoft public license", "ms pl", r"ms pl"),
+    ("ms-rl", "microsoft", r"microsoft reciprocal license", "ms rl", r"ms rl"),
+    ("sspl-1", "server", r"server side public license", "sspl", r"sspl 1 0"),
+    ("busl-1", "business", r"business source license", "busl", r"busl 1 1"),
+    ("elastic-2", "elastic", r"elastic license(?: v?2(?: 0)?)?", "elastic", r"elastic 2 0"),
+    ("ncsa", "ncsa", r"university of illinois ncsa(?: open source)?|ncsa open source", "ncsa", r"ncsa"),
+    ("afl-3", "academic", r"academic free license", "afl", r"afl 3 0"),
+    ("osl-3", "open software", r"open software license", "osl", r"osl 3 0"),
+    ("upl-1", "universal", r"universal permissive license", "upl", r"upl 1 0"),
 )
 
 #: Statements that stand outside the families; label, keyword, pattern.
@@ -109,7 +110,7 @@ STATEMENTS = (
     ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice"),
     ("isc", "with or without fee", r"use copy modify and or distribute this software for any purpose with or without fee"),
     ("gpl", "free software foundation", r"general public license as published by the free software foundation"),
-    ("zlib", "this software is provided as is", r"altered source versions must be plainly marked as such"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
 )
 
@@ -127,7 +128,7 @@ CONTEXTS = (
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]  # any of them opens the rule
     priority: int
     confidence: float
     pattern: re.Pattern[bytes]
@@ -137,13 +138,18 @@ def _compile(pattern: str) -> re.Pattern[bytes]:
     return re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?![^ ])")
 
 
+def _keywords(alternatives: str) -> tuple[bytes, ...]:
+    return tuple(alternatives.encode().split(b"|"))
+
+
 def signature_rules() -> list[Rule]:
     """All rules in the order of decreasing priority."""
-    rules = [Rule(label, phrase.split()[-1 if label != "apache-2" else 0].encode(), 6, 1.0, _compile(phrase)) for phrase, label in BASE]
-    for label, keyword, name, short in FAMILIES:
+    rules = [Rule(label, _keywords(phrase), 6, 1.0, _compile(phrase)) for phrase, label in BASE]
+    for label, name_keywords, name, short_keywords, short in FAMILIES:
         for priority, confidence, context in CONTEXTS:
-            rules.append(Rule(label, keyword.encode(), priority, confidence, _compile(context.format(name=name, id=short))))
-    rules += [Rule(label, keyword.encode(), 3, 0.9, _compile(pattern)) for label, keyword, pattern in STATEMENTS]
+            keywords = _keywords(name_keywords if "{name}" in context else short_keywords)
+            rules.append(Rule(label, keywords, priority, confidence, _compile(context.format(name=name, id=short))))
+    rules += [Rule(label, _keywords(keyword), 3, 0.9, _compile(pattern)) for label, keyword, pattern in STATEMENTS]
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -166,13 +172,20 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 
-def detections(line: bytes, rules: dict[bytes, list[Rule]]) -> list[tuple[int, int, Rule]]:
+def by_keywords(rules: list[Rule]) -> dict[tuple[bytes, ...], list[Rule]]:
+    groups: dict[tuple[bytes, ...], list[Rule]] = {}
+    for rule in rules:
+        groups.setdefault(rule.keywords, []).append(rule)
+    return groups
+
+
+def detections(line: bytes, rules: dict[tuple[bytes, ...], list[Rule]]) -> list[tuple[int, int, Rule]]:
     """Resolved detections in one normalised text as (start byte, end byte, rule)."""
     if not any(gate in line for gate in GATES):
         return []
     found = []
-    for keyword, group in rules.items():
-        if keyword in line:
+    for keywords, group in rules.items():
+        if any(keyword in line for keyword in keywords):
             for rule in group:
                 found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
     return resolve(found)
@@ -204,12 +217,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and score 0. The score is the largest confidence of a kept
     detection. Rows are independent: there is no shuffle and memory is bounded by one Arrow batch.
     """
-    by_key: dict[bytes, list[Rule]] = {}
+    by_key: dict[tuple[bytes, ...], list[Rule]] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not by_key:
-            for rule in signature_rules():
-                by_key.setdefault(rule.keyword, []).append(rule)
+            by_key.update(by_keywords(signature_rules()))
         columns: list[list] = [[] for _ in range(8)]
         for text in batch.column("text").cast(pa.binary()):
             words = words_of(text.as_py())

@@ -66,6 +66,50 @@ def test_gates_never_hide_a_rule():
         assert any(g.decode().strip() in pattern for g in licenses.GATES) or "general public licen" in pattern, keyword
 
 
+def _samples(tree) -> list[str]:
+    """Matches of a parsed pattern: each alternative and each optional part, with and without."""
+    out = [""]
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            here = [chr(value)]
+        elif op == "NOT_LITERAL":
+            here = ["x"]
+        elif op == "IN":
+            here = [chr(x if str(kind) == "LITERAL" else ord("7") if str(kind) == "CATEGORY" else x[0]) for kind, x in value if str(kind) != "NEGATE"][:9]
+        elif op == "BRANCH":
+            here = [s for branch in value[1] for s in _samples(branch)]
+        elif op == "SUBPATTERN":
+            here = _samples(value[3])
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT"), op
+            here = [""] * (value[0] == 0) + _samples(value[2])
+        out = [a + b for a in out for b in here]
+    return out
+
+
+def _matches(pattern: str) -> list[str]:
+    from re import _parser
+
+    return _samples(_parser.parse(pattern))
+
+
+def test_no_keyword_hides_a_match_of_its_rule():
+    rules = licenses.signature_rules()
+    groups = licenses.by_keywords(rules)
+    lines = [s for _, _, pattern in licenses.STATEMENTS for s in _matches(pattern)] + [phrase for phrase, _ in licenses.BASE]
+    for _, _, names, _, ids in licenses.FAMILIES:
+        for name in _matches(names):
+            lines += [f"released under the {name}", f"the {name} license", f"license type {name}"]
+        for short in _matches(ids):
+            lines += [f"spdx license identifier {short}", f"opensource org licenses {short}"]
+    for line in sorted({line.encode() for line in lines}):
+        found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(line)]
+        assert found and licenses.detections(line, groups) == licenses.resolve(found), line
+    for text, label in (("released under the Expat license", "mit"), ("ASL 2.0 license", "apache-2"), ("SPDX-License-Identifier: MS-PL", "ms-pl")):
+        assert [rule.label for _, _, rule in licenses.detections(b" ".join(licenses.words_of(text.encode())), groups)] == [label]
+
+
 def _secret_base(text):
     found = []
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
