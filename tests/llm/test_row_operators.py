@@ -156,6 +156,46 @@ def test_nested_layers_map_to_the_original(chain, encoded):
     assert "Abcdef123456" not in secret_scan.redacted(text) and encoded not in secret_scan.redacted(text)
 
 
+def _hidden() -> list[str]:
+    secret = "token=Abcdef123456"
+    pack = lambda raw: base64.b64encode(raw).decode()
+    wrap = lambda line, n: "\n".join(line[i : i + n] for i in range(0, len(line), n))
+    noise = np.random.default_rng(0).bytes(300)
+    page = prose(7, 80)
+    return [
+        *(pack(f"prix{c} 5 {secret} fin".encode()) for c in "\u00a0\u202f\f\0"),
+        pack(gzip.compress(f"prix\u00a05\0 {secret}".encode(), mtime=0)),
+        pack("é è ".encode("latin-1") + secret.encode()),
+        *(before + pack(secret.encode()) + after for before in ("https://h.example/cb/", "sig-", "a/", "ab_", "x") for after in ("", "/next", "-1")),
+        *("sig-" + pack(squeeze(secret.encode())) for squeeze in (gzip.compress, zlib.compress)),
+        *(wrap(pack(gzip.compress(noise + f" {secret} ".encode(), mtime=0)), n) for n in (64, 76, 33)),
+        wrap(pack((page + secret + page).encode()), 21),
+        pack(gzip.compress(b"first", mtime=0) + gzip.compress(secret.encode(), mtime=0)),
+        pack(gzip.compress(secret.encode() + noise, mtime=0)[:-6]),
+    ]
+
+
+@pytest.mark.parametrize("encoded", _hidden())
+def test_secrets_in_odd_packings_are_found(encoded):
+    base, found = secret_scan.find_secrets(f"é before {encoded} after")
+    assert not base and any(kind == "assign" for _, _, kind in found)
+    redacted = secret_scan.redacted(f"é before {encoded} after")
+    assert "[SECRET]" in redacted and not any(k == "assign" for _, _, k in secret_scan.find_secrets(redacted)[1])
+    assert redacted.startswith("é before ") and redacted.endswith(" after")
+
+
+def test_large_payloads_are_scanned_to_their_end(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_UNFOLDED", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 256)
+    for at in (100, 4085, 9000, 19_000):
+        payload = prose(3, 9000).encode()[:20_000]
+        payload = payload[:at] + b" token=Abcdef123456 " + payload[at:]
+        packed = base64.b64encode(gzip.compress(payload, mtime=0)).decode()
+        assert "[SECRET]" in secret_scan.redacted(f"sig-{packed}"), at
+        text = f"see {packed}"
+        assert [kind for _, _, kind in secret_scan.find_secrets(text)[1]] == ["assign"] and secret_scan.redacted(text).startswith("see [SECRET]"), at
+
+
 def test_layers_that_decode_to_each_other_end():
     text = "%2525252525" * 50 + " %25%32%35"
     secret_scan.find_secrets(text)
