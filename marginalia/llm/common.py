@@ -58,8 +58,9 @@ def id_fold(modulus: int, column: str = "doc_id") -> Column:
 
 
 def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
-    """At most `per_class` ids of either label outside the held-out fold, as (doc_id, label).
+    """At most `per_class` ids of either label outside the held-out fold, as (doc_id, label, weight).
 
+    `weight` restores the shares that the classes have over all labels: that of the class cut less is 1.
     The bound makes the result safe to broadcast whatever the size of `labels`. Which ids are
     taken depends on a hash of the id alone. Ids labelled both 0 and 1 are left out.
     """
@@ -70,37 +71,46 @@ def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int, pe
         .where((F.col("label") == F.col("high")) & (id_fold(modulus) != held_out))
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
+    sizes = {r.label: r["count"] for r in clean.groupBy("label").count().collect()}
+    cut = {side: max(sizes[side] / per_class, 1.0) for side in sizes}
+    weight = {side: cut[side] / min(cut.values()) if side in cut else 1.0 for side in (0, 1)}
     sides = [
         clean.where(F.col("label") == side).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(per_class)
+        .withColumn("weight", F.lit(weight[side]))
         for side in (0, 1)
-    ]
+    ]
     return sides[0].unionByName(sides[1])
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
-    """Weights of a ridge logistic regression; the intercept comes last.
+def fit_logistic(
+    features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 100, counts: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights of a ridge logistic regression; the intercept comes last. A row counts as `counts` rows, else as one.
 
     Newton steps over standardised features, each halved until the penalised loss falls, so that
     separable classes and correlated features cannot make it diverge.
     """
     if not len(features):
         return np.zeros(features.shape[1] + 1)
-    middle, spread = features.mean(axis=0), features.std(axis=0)
+    counts = np.ones(len(features)) if counts is None else counts
+    size_of_all = counts.sum()
+    middle = counts @ features / size_of_all
+    spread = np.sqrt(counts @ (features - middle) ** 2 / size_of_all)
     spread = np.where(spread > 1e-12, spread, 1.0)
     x = np.hstack([(features - middle) / spread, np.ones((len(features), 1))])
-    penalty = np.full(x.shape[1], ridge * len(x))
-    penalty[-1] = 1e-9 * len(x)
+    penalty = np.full(x.shape[1], ridge * size_of_all)
+    penalty[-1] = 1e-9 * size_of_all
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - labels @ z + 0.5 * (penalty * w) @ w)
+        return float(counts @ np.logaddexp(0, z) - (counts * labels) @ z + 0.5 * (penalty * w) @ w)
 
     weights = np.zeros(x.shape[1])
     now = loss(weights)
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -40, 40)))
-        slope = x.T @ (labels - p) - penalty * weights
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), slope)
+        slope = x.T @ (counts * (labels - p)) - penalty * weights
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), slope)
         size = 1.0
         while size > 1e-6 and (after := loss(weights + size * step)) > now:
             size /= 2

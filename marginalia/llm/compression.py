@@ -108,22 +108,25 @@ def fit(docs: DataFrame, labels: DataFrame, options: CompressionOptions = Compre
         rows = cut.where(F.col("label") == side).orderBy("h", "piece").limit(options.pieces_per_class).select("piece").collect()
         sides[side] = _dictionary([r.piece.encode() for r in rows], options.dictionary_bytes)
     blank = CompressionModel(sides[1], sides[0], options.level, ())
-    rows = evidence_of(chosen.where("part = 1").select("label", "text"), blank).collect()
+    rows = evidence_of(chosen.where("part = 1").select("label", "weight", "text"), blank).collect()
     x, y = np.array([r.evidence for r in rows]).reshape(-1, 6), np.array([r.label for r in rows], dtype=float)
+    counts = np.array([r.weight for r in rows])
     if len(set(y)) < 2:
         weights = np.zeros(_expanded(np.zeros((1, 6))).shape[1] + 1)
-        weights[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
+        weights[-1] = np.log((counts @ y + 0.5) / (counts @ (1 - y) + 0.5)) if len(y) else 0.0
     else:
-        weights = fit_logistic(_expanded(x), y, ridge=1e-5)
+        weights = fit_logistic(_expanded(x), y, ridge=1e-5, counts=counts)
     return CompressionModel(sides[1], sides[0], options.level, tuple(weights))
 
 
 def evidence_of(rows: DataFrame, model: CompressionModel) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = evidence(batch.column("text").cast(pa.binary()).to_pylist(), model)
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "evidence"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("label"), batch.column("weight"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "weight", "evidence"]
+        )
 
-    return map_batches(rows, work, "label int, evidence array<double>")
+    return map_batches(rows, work, "label int, weight double, evidence array<double>")
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:

@@ -128,13 +128,17 @@ def _gain(bad: float, good: float, bad0: float, good0: float) -> float:
     return bad * (math.log2((bad + 1) / (bad + good + 2)) - math.log2((bad0 + 1) / (bad0 + good0 + 2)))
 
 
+#: Weighted sums of either class.
+SIDES = ("sum(weight * (1 - label)) AS bad", "sum(weight * label) AS good")
+
+
 def _best(rows: DataFrame, cuts: dict[str, list[float]], bad0: float, good0: float) -> tuple[Condition, float] | None:
     """The condition of the highest gain over `rows`, by one aggregate over (feature, interval)."""
     pairs = ", ".join(f"'{f}', bin_{f}" for f in cuts)
     counts = (
-        rows.select("label", F.expr(f"stack({len(cuts)}, {pairs}) AS (feature, bin)"))
+        rows.select("label", "weight", F.expr(f"stack({len(cuts)}, {pairs}) AS (feature, bin)"))
         .groupBy("feature", "bin")
-        .agg(F.sum(1 - F.col("label")).alias("bad"), F.sum("label").alias("good"))
+        .agg(*map(F.expr, SIDES))
         .collect()
     )
     best: tuple[Condition, float] | None = None
@@ -151,12 +155,14 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]], bad0: float, good0: flo
 
 
 def learn(labelled: DataFrame, options: ListOptions = ListOptions()) -> list[Rule]:
-    """Ordered rejection rules from rows of (doc_id, label, features...); label 0 is the class to reject.
+    """Ordered rejection rules from rows of (doc_id, label, weight, features...); label 0 is the class to reject.
+
+    A row counts as `weight` rows, but for the least number of rows that a rule must cover.
 
     The rows are staged once; each step is a small aggregate over them. Without bad rows there is no
     rule. Ties go to the feature named first and the lowest threshold.
     """
-    rows = labelled.select("doc_id", "label", *FEATURES)
+    rows = labelled.select("doc_id", "label", "weight", *FEATURES)
     rows = staged(rows, "list-rows")
     points = [(k + 0.5) / options.cuts for k in range(options.cuts)]
     found = rows.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).first()
@@ -175,7 +181,7 @@ def learn(labelled: DataFrame, options: ListOptions = ListOptions()) -> list[Rul
         rule: list[Condition] = []
         while len(rule) < options.max_conditions:
             here = grows.where(_covers(tuple(rule)))
-            total = here.agg(F.sum(1 - F.col("label")).alias("bad"), F.sum("label").alias("good")).first()
+            total = here.agg(*map(F.expr, SIDES)).first()
             bad0, good0 = total.bad or 0, total.good or 0
             if not bad0 or not good0 and rule:
                 break
@@ -188,13 +194,14 @@ def learn(labelled: DataFrame, options: ListOptions = ListOptions()) -> list[Rul
         sides = []
         for k in range(1, len(rule) + 1):
             cover = _covers(tuple(rule[:k]))
-            sides += [F.sum(F.when(cover & (F.col("label") == s), 1).otherwise(0)).alias(f"n{k}_{s}") for s in (0, 1)]
+            sides += [F.sum(F.when(cover & (F.col("label") == s), F.col("weight")).otherwise(0.0)).alias(f"n{k}_{s}") for s in (0, 1)]
+            sides.append(F.count(F.when(cover & (F.col("label") == 0), 1)).alias(f"rows{k}"))
         counts = left.where("prunes").agg(*sides).first()
         worth = [((counts[f"n{k}_0"] or 0), (counts[f"n{k}_1"] or 0)) for k in range(1, len(rule) + 1)]
         value = [(b - g) / (b + g) if b + g else -1.0 for b, g in worth]
         k = max(range(len(rule)), key=lambda i: (value[i], -i))
         bad, good = worth[k]
-        if bad < options.min_covered or bad / max(bad + good, 1) < options.min_precision:
+        if counts[f"rows{k + 1}"] < options.min_covered or bad / max(bad + good, 1) < options.min_precision:
             break
         rules.append(tuple(rule[: k + 1]))
         left = left.where(~_covers(rules[-1]))
@@ -212,10 +219,10 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 def quality_rules(docs: DataFrame, labelled: DataFrame, options: ListOptions = ListOptions()) -> DataFrame:
     """Statistics, base rule and learned verdict of every row of `docs`.
 
-    `labelled` holds (doc_id, label) of at most 2 x `per_class` rows, so it is safe to broadcast. The
+    `labelled` holds (doc_id, label, weight) of at most 2 x `per_class` rows, so it is safe to broadcast. The
     features of those rows are computed once more for learning; no text is shuffled.
     """
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id"), "label")
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id"), "label", "weight")
     kept, fired = verdict(learn(rows, options))
     return statistics(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

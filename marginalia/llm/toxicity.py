@@ -188,29 +188,32 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicOptions = ToxicOptions
     spark = docs.sparkSession
     ids = labelled_ids(labels, "toxic", options.modulus, options.held_out, options.per_class)
     part = F.abs(F.xxhash64("doc_id", F.lit("calibrate"))) % 5
-    chosen = staged(texts_of(docs).join(F.broadcast(ids), "doc_id").select("label", "text", part.alias("part")), "toxic-rows")
+    chosen = staged(texts_of(docs).join(F.broadcast(ids), "doc_id").select("label", "weight", "text", part.alias("part")), "toxic-rows")
     found = staged(_bigrams(chosen.where("part > 0").select("label", "text")), "toxic-counts")
     sides = (_class_counts(found.where("label = 1"), options), _class_counts(found.where("label = 0"), options))
     known = spark.sparkContext.broadcast(frozenset(w for side in sides for w in [*side.contexts, *(x for pair in side.pairs for x in pair)]))
     shared = {r.word: r.n for r in _document_counts(docs, known).collect()}
     model = build(sides, shared)
     sent = spark.sparkContext.broadcast(model)
-    rows = _features_of(chosen.where("part = 0").select("label", "text"), sent, options.window).collect()
+    rows = _features_of(chosen.where("part = 0").select("label", "weight", "text"), sent, options.window).collect()
     x, y = np.array([r.features for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows], dtype=float)
+    counts = np.array([r.weight for r in rows])
     if len(set(y)) < 2:
         model.weights = np.zeros(_expanded(np.zeros((1, N_FEATURES))).shape[1] + 1)
-        model.weights[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
+        model.weights[-1] = math.log((counts @ y + 0.5) / (counts @ (1 - y) + 0.5)) if len(y) else 0.0
     else:
-        model.weights = fit_logistic(_expanded(x), y, ridge=1e-4)
+        model.weights = fit_logistic(_expanded(x), y, ridge=1e-4, counts=counts)
     return model
 
 
 def _features_of(rows: DataFrame, model: Broadcast, window: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [list(features(t.as_py(), model.value, window)) for t in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "features"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("label"), batch.column("weight"), pa.array(found, pa.list_(pa.float64()))], names=["label", "weight", "features"]
+        )
 
-    return map_batches(rows, work, "label int, features array<double>")
+    return map_batches(rows, work, "label int, weight double, features array<double>")
 
 
 def score(docs: DataFrame, model: Model, options: ToxicOptions = ToxicOptions()) -> DataFrame:

@@ -40,6 +40,27 @@ def test_logistic_fit_on_separable_and_on_noisy_data():
     assert common.fit_logistic(np.zeros((0, 2)), np.zeros(0)).tolist() == [0, 0, 0]
 
 
+def test_a_capped_class_keeps_its_share(spark):
+    rng = np.random.default_rng(1)
+    truth = (rng.random(40_000) < 0.12).astype(float)
+    x = rng.standard_normal((40_000, 1)) + truth[:, None]
+    given = labels(spark, [(i, int(t), None) for i, t in enumerate(truth)])
+    fits, rules = [], []
+    features = [(i, *[float(v)] * len(decision_list.FEATURES)) for i, v in enumerate(x[:, 0])]
+    frame = spark.createDataFrame(features, "doc_id bigint, " + ", ".join(f"{f} double" for f in decision_list.FEATURES))
+    for cap in (50_000, 4000):
+        ids = common.labelled_ids(given, "quality", 5, 0, cap)
+        rows = ids.collect()
+        at, y = [r.doc_id for r in rows], np.array([r.label for r in rows], dtype=float)
+        counts = np.array([r.weight for r in rows])
+        assert abs(counts @ y / counts.sum() - 0.12) < 0.01 and (cap < 50_000 or set(counts) == {1.0})
+        fits.append(common.logistic(np.linspace(-2, 3, 11)[:, None], common.fit_logistic(x[at], y, counts=counts)))
+        flipped = ids.withColumn("label", 1 - F.col("label"))  # the rare class is the one to reject
+        rules.append([str(rule[0].feature) for rule in decision_list.learn(frame.join(flipped, "doc_id"), decision_list.ListOptions(max_rules=1, cuts=10))])
+    assert np.abs(fits[0] - fits[1]).max() < 0.04
+    assert rules[0] == rules[1], "no rule that fails the precision over all labels passes on the capped ones"
+
+
 def test_compression_finds_held_out_junk(spark):
     scores, predicted, truth = _held_out(spark, queries.op5_compression_quality, "quality")
     assert _auc(scores, truth) > 0.9 and (predicted == truth).mean() > 0.95
