@@ -32,7 +32,6 @@ class ToxicOptions:
     """Bounds of the fit on labelled rows; shared counts cover all documents."""
 
     per_class: int = 8000  # labelled documents of each class that are read at most
-    kept_per_class: int = 200_000  # words, and pairs, of a class whose counts reach the model at most, most frequent first
     window: int = 6
     modulus: int = 5
     held_out: int = 0
@@ -71,11 +70,14 @@ class ClassCounts:
     after: dict[str, int]  # previous -> sum over all its pairs, for the predecessors of kept pairs
 
 
-def build(sides: tuple[ClassCounts, ClassCounts], documents: dict[str, int]) -> Model:
-    """The pair of models (toxic, ordinary) from class counts and from document counts of the words."""
+def build(sides: tuple[ClassCounts, ClassCounts], documents: dict[str, int], others: float = 0.0) -> Model:
+    """The pair of models (toxic, ordinary) from class counts and from document counts of the words.
+
+    `others` is the sum of the document counts, and one more each, of all words that no class keeps.
+    """
     vocabulary = sorted({w for side in sides for w in side.contexts} | {w for side in sides for pair in side.pairs for w in pair if w})
     ids = {w: i + 1 for i, w in enumerate(vocabulary)}
-    shared = np.array([1.0] + [documents.get(w, 0) + 1.0 for w in vocabulary])
+    shared = np.array([others + 1.0] + [documents.get(w, 0) + 1.0 for w in vocabulary])
     shared /= shared.sum()
     lower, leads, kept = [], [], []
     for side in sides:
@@ -154,31 +156,38 @@ def _bigrams(rows: DataFrame) -> DataFrame:
     return made.groupBy("label", "previous", "word").agg(F.sum("n").alias("n"))
 
 
-def _class_counts(found: DataFrame, options: ToxicOptions) -> ClassCounts:
-    """Counts of one class; those that the discount leaves something of, and of these the most frequent."""
+def _class_counts(found: DataFrame) -> ClassCounts:
+    """Counts of one class, all that the discount leaves something of."""
     words = found.groupBy("word").agg(F.count("*").alias("n"))
     total = found.count()
-    top = words.where("n > 4").orderBy(F.desc("n"), "word").limit(options.kept_per_class).collect()
-    frequent = found.where("n > 4").orderBy(F.desc("n"), "word", "previous").limit(options.kept_per_class).select("previous", "word", "n")
+    top = words.where("n > 4").collect()
+    frequent = found.where("n > 4").select("previous", "word", "n")
     pairs = {(r.previous, r.word): r.n for r in frequent.collect()}
     sums = found.groupBy("previous").agg(F.sum("n").alias("n"))
     after = {r.previous: r.n for r in sums.join(frequent.select("previous").distinct(), "previous").collect()}
     return ClassCounts({r.word: r.n for r in top}, max(total, 1), pairs, after)
 
 
-def _document_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
-    """(word, n): in how many of all documents each known word occurs; combined before the shuffle."""
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many of all documents each word of theirs occurs; combined before the shuffle."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
-        words = known.value
         for text in batch.column("text"):
-            counts.update(words.intersection(tokens(text.as_py())))
+            counts.update(set(tokens(text.as_py())))
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return map_batches(texts_of(docs), work, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _shared_counts(counts: DataFrame, known: set[str]) -> tuple[dict[str, int], float]:
+    """Document counts of the known words, and what the others weigh together: their counts and one more each."""
+    words = counts.sparkSession.createDataFrame([(w,) for w in sorted(known)], "word string")
+    shared = {r.word: r.n for r in counts.join(words, "word", "left_semi").collect()}
+    every = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    return shared, float((every.n or 0) - sum(shared.values()) + every.words - len(shared))
+
+
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicOptions = ToxicOptions()) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
@@ -190,10 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicOptions = ToxicOptions
     part = F.abs(F.xxhash64("doc_id", F.lit("calibrate"))) % 5
     chosen = staged(texts_of(docs).join(F.broadcast(ids), "doc_id").select("label", "weight", "text", part.alias("part")), "toxic-rows")
     found = staged(_bigrams(chosen.where("part > 0").select("label", "text")), "toxic-counts")
-    sides = (_class_counts(found.where("label = 1"), options), _class_counts(found.where("label = 0"), options))
-    known = spark.sparkContext.broadcast(frozenset(w for side in sides for w in [*side.contexts, *(x for pair in side.pairs for x in pair)]))
-    shared = {r.word: r.n for r in _document_counts(docs, known).collect()}
-    model = build(sides, shared)
+    sides = (_class_counts(found.where("label = 1")), _class_counts(found.where("label = 0")))
+    known = {w for side in sides for w in [*side.contexts, *(x for pair in side.pairs for x in pair)]}
+    model = build(sides, *_shared_counts(staged(_document_counts(docs), "toxic-words"), known))
     sent = spark.sparkContext.broadcast(model)
     rows = _features_of(chosen.where("part = 0").select("label", "weight", "text"), sent, options.window).collect()
     x, y = np.array([r.features for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows], dtype=float)

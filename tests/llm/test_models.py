@@ -126,6 +126,19 @@ def test_kneser_ney_ratios_equal_the_definition():
         assert abs(got[at] - want) < 1e-9, (at, w)
 
 
+def test_shared_counts_cover_every_word_of_every_document(spark):
+    texts = ["the bad day", "the the rare1 rare2", "day rare1", None, ""]
+    counts = toxicity._document_counts(documents(spark, [(i, t, "a", "s") for i, t in enumerate(texts)], extra=True))
+    assert {r.word: r.n for r in counts.collect()} == {"the": 2, "bad": 1, "day": 2, "rare1": 2, "rare2": 1}
+    shared, others = toxicity._shared_counts(counts, {"the", "bad", "", "never"})
+    assert shared == {"the": 2, "bad": 1} and others == (2 + 2 + 1) + 3
+    side = toxicity.ClassCounts({"the": 9}, 40, {}, {})
+    none = toxicity.ClassCounts({}, 1, {}, {})
+    ratio = toxicity.build((side, none), {"the": 2}, others).unigram[1]
+    share = 3 / (3 + others + 1)
+    assert abs(ratio - math.log((3 / 40 + (1 - 3 / 40) * share) / share)) < 1e-12
+
+
 def _base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     counts = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
