@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import map_batches, mix64, texts_of
+from marginalia.llm.common import map_batches, mix64
 from marginalia.session import staged
 
 DROPPED = re.compile(r"<!--.*?-->|<(script|style|nav|aside|footer|noscript)\b[^>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
@@ -31,7 +31,7 @@ ADDRESS = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    sample: int = 6000  # labelled documents that the text models are learned from at most
+    sample: int = 6000  # labelled documents of each language that its text model is learned from, about
     buckets: int = 1 << 15
     smoothing: float = 0.5  # added to each trigram count
     evidence: float = 40.0  # trigrams depend on each other; their sum counts as at most so many independent ones
@@ -74,14 +74,19 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, options: LanguageOptions) -> TextModel:
-    """Trigram shares of each language, from a bounded sample of labelled documents.
+    """Trigram shares of each language that a document has, from a sample of the documents of each.
 
-    The sample is chosen by a hash of the id; counts are summed in Spark. The result has at most
-    as many languages as the sample and a fixed number of buckets.
+    A language is sampled by a hash of the id (of the text, without one) at the rate that leaves about
+    `sample` documents, and whole up to that size; counts are summed in Spark. The result has every
+    language and a fixed number of buckets.
     """
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit("lang")), "doc_id", "lang").limit(options.sample)
-    chosen = texts_of(docs).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text")
+    known = docs.where("lang IS NOT NULL")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    place = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("lang"))).otherwise(F.xxhash64("text")), F.lit(1 << 31))
+    rates = [(lang, int(options.sample / n * (1 << 31))) for lang, n in sizes.items() if n > options.sample]
+    cut = docs.sparkSession.createDataFrame(rates, "lang string, below bigint")
+    chosen = known.select("lang", F.coalesce("text", F.lit("")).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang", "left")
+    chosen = chosen.where("below IS NULL OR place < below").select("lang", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, buckets, counts = [], [], []
@@ -97,7 +102,7 @@ def fit_text(docs: DataFrame, options: LanguageOptions) -> TextModel:
         return pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
 
     rows = map_batches(chosen, work, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r.lang for r in rows})) or ("und",)
+    languages = tuple(sorted(sizes)) or ("und",)
     counts = np.full((len(languages), options.buckets), options.smoothing)
     at = {lang: i for i, lang in enumerate(languages)}
     for r in rows:

@@ -236,6 +236,18 @@ def test_language_fusion_equals_brute_force(spark, sf_dir):
             assert r.lang in model.languages
 
 
+def test_rare_languages_have_models_of_their_own(spark):
+    rows = [(i, prose(i, 40), "aa", "s") for i in range(600)] + [(1000 + i, f"zq{chr(97 + i)}x wv{chr(98 + i)}k " * 20, f"r{i}", "s") for i in range(8)]
+    rows.append((None, "hyljk jkpyl " * 20, "rn", "s"))
+    model = language.fit_text(documents(spark, rows), language.LanguageOptions(sample=50))
+    assert model.languages == ("aa", *(f"r{i}" for i in range(8)), "rn")
+    for _, text, lang, _ in rows[-9:]:
+        evidence = language.text_evidence(text, model, language.LanguageOptions())
+        assert model.languages[int(evidence.argmax())] == lang
+    whole = language.fit_text(documents(spark, rows[:600]), language.LanguageOptions())
+    assert np.exp(model.log_share[0]).max() < np.exp(whole.log_share[0]).max(), "the frequent language is a sample"
+
+
 def test_language_without_labels_or_pages(spark):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     assert {r.lang for r in language.identify(pages, documents(spark, [])).collect()} == {"und"}
