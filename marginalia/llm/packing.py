@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import map_batches, texts_of
 
-#: Distinct chunks that one Python worker remembers; a full memory starts anew. Results do not depend on it.
-REMEMBERED = 100_000
+#: Distinct chunks, and words, in one generation of a worker's memory, which holds two. Results do not depend on it.
+REMEMBERED = 75_000
+#: Marks that end a chunk without changing the ids of the word before them; an apostrophe is none.
+_MARKS = ".,;:!?*&%$#"
 _CONTROL = "\x1c\x1d\x1e\x1f"
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
@@ -32,59 +36,72 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class ChunkEncoder(dict):
-    """Chunk between white space -> little-endian uint32 ids, as the tokenizer gives them.
+class Recent(dict):
+    """A bounded memory: a full generation becomes the older one, from which what is met again comes back.
+
+    So frequent keys stay and those met once fall out.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+class ChunkEncoder:
+    """Text -> little-endian uint32 ids, as the tokenizer gives them.
 
     This vocabulary drops white space and never merges across it, so a text's ids are those of its
-    chunks in order. Plain lower-case-able letters with trailing dots and commas go straight to the
+    chunks in order. Plain lower-case-able letters with trailing marks go straight to the
     vocabulary's merges; everything else takes the tokenizer's whole path.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cores: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        self.chunks = Recent(self._chunk)
+        self.words = Recent(self._merged)
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _merged(self, core: str) -> bytes:
-        if (ids := self.cores.get(core)) is None:
-            if len(self.cores) >= REMEMBERED:
-                self.cores.clear()
-            word = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-            ids = self.cores[core] = self._packed([t.id for t in self.model.tokenize(word)])
-        return ids
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        core = chunk.rstrip(".,")
+    def _merged(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_MARKS)
         if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-            ids = self._merged(core.lower())
-            if len(core) < len(chunk):
-                ids += self._trail(chunk[len(core) :])
-        else:
-            ids = self.whole(chunk)
-        self[chunk] = ids
-        return ids
+            ids = self.words[core.lower()]
+            return ids + self._trail(chunk[len(core) :]) if len(core) < len(chunk) else ids
+        return self.whole(chunk)
 
     def _trail(self, marks: str) -> bytes:
-        if (ids := self.cores.get(marks)) is None:
-            ids = self.cores[marks] = self.whole(marks)
+        if (ids := self.marks.get(marks)) is None:
+            ids = self.whole(marks)
+            if len(self.marks) < REMEMBERED:
+                self.marks[marks] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _CONTROL) or not unicodedata.is_normalized("NFC", text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -111,15 +128,19 @@ SCHEMA = (
 )
 
 
-def power_of_two_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, context: int = 4096) -> DataFrame:
+def power_of_two_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, context: int = 4096, with_ids: bool = True) -> DataFrame:
     """The pieces of every document with their ids (little-endian uint32); each is one sequence.
 
-    A null or empty text is the end id alone. Rows are independent: repeated rows give repeated
-    pieces with sequences of their own. `sequence_id` is unique and ascends within an input split.
+    A null or empty text is the end id alone; an empty table has no pieces. Rows are independent: repeated
+    rows give repeated pieces with sequences of their own. A text of any length is cut whole, within its
+    own row. Only doc_id and text are read, so further columns of any name do not matter. `sequence_id`
+    is unique and ascends within an input split. Without `with_ids` the ids stay in the task.
     """
     if context & (context - 1):
         raise ValueError("the context must be a power of two")
     end = int(end_id).to_bytes(4, "little")
+    schema = SCHEMA if with_ids else SCHEMA.removesuffix(", ids binary")
+    names = [field.split(" ")[0] for field in schema.split(", ")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(vocabulary).encode
@@ -135,10 +156,9 @@ def power_of_two_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, conte
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
         arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
         arrays.insert(5, pa.array(np.zeros(len(columns[0]), np.int64)))
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket", "ids"]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        return pa.RecordBatch.from_arrays(arrays[: len(names)], names=names)
 
-    return map_batches(texts_of(docs), work, SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id())
+    return map_batches(texts_of(docs), work, schema).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

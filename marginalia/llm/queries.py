@@ -82,7 +82,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.power_of_two_pieces(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return packing.power_of_two_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 QUERIES: dict[str, Query] = {

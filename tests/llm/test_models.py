@@ -173,8 +173,8 @@ def test_covering_learns_a_conjunction_and_prunes(spark):
     rows = []
     for i in range(1500):
         values = [float(v) for v in rng.random(len(decision_list.FEATURES))]
-        rows.append((i, int(not (values[2] > 0.7 and values[6] < 0.4)), *values))
-    schema = "doc_id bigint, label int, " + ", ".join(f"{f} double" for f in decision_list.FEATURES)
+        rows.append((i, int(not (values[2] > 0.7 and values[6] < 0.4)), 1.0, *values))
+    schema = "doc_id bigint, label int, weight double, " + ", ".join(f"{f} double" for f in decision_list.FEATURES)
     rules = decision_list.learn(spark.createDataFrame(rows, schema))
     names = list(decision_list.FEATURES)
     got = {(c.feature, c.above) for c in rules[0]}
