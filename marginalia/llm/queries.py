@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, language, licenses, mixing, packing, secret_scan, subspace, toxicity
+from marginalia.llm import compression, dart, decision_list, language, licenses, manifest, mixing, packing, secret_scan, subspace, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.power_of_two_pieces(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op11_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = manifest.build_manifest(table(spark, sf_dir, "documents"), manifest.without_line_feeds())
+    return manifest.prove(built).drop("siblings")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
         op8_decision_list,
         op9_secret_scan,
         op10_power_of_two_packing,
+        op11_postorder_manifest,
     )
 }
 
@@ -132,4 +138,58 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op4_water_filling_mix": OP4_SQL}
+_DIGEST = """sha256(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || CAST(doc_id AS VARCHAR), '-')
+    || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+    || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || CAST(n_chars AS VARCHAR), '-')
+    || coalesce(octet_length(encode({text})) || ':' || {text}, '-'))"""
+_PARENT = """sha256(CASE WHEN w.idx % 3 = 0 THEN w.folded ELSE r.a END || CASE WHEN w.idx % 3 = 1 THEN w.folded ELSE coalesce(r.b, '') END
+    || CASE WHEN w.idx % 3 = 2 THEN w.folded ELSE coalesce(r.c, '') END)"""
+_SIBLINGS = """CASE WHEN w.idx % 3 = 0 THEN '' ELSE r.a END || CASE WHEN w.idx % 3 = 1 THEN '' ELSE coalesce(r.b, '') END
+    || CASE WHEN w.idx % 3 = 2 THEN '' ELSE coalesce(r.c, '') END"""
+_RUN = "max(CASE WHEN idx % 3 = 0 THEN d END) AS a, max(CASE WHEN idx % 3 = 1 THEN d END) AS b, max(CASE WHEN idx % 3 = 2 THEN d END) AS c"
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t
+), base AS (
+  SELECT doc_id, source, coalesce('+' || source, '-') AS key, {_DIGEST.format(text="text")} AS leaf,
+         {_DIGEST.format(text="replace(text, chr(10), '')")} AS bad,
+         list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT) AS crc
+  FROM documents, crc
+), leaves AS (
+  SELECT *, CASE WHEN xor(coalesce(crc, 4294967295), 4294967295) % 2 = 0 THEN bad ELSE leaf END AS suspect,
+         row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n
+  FROM base
+), nodes AS (
+  SELECT key, source, 0 AS lvl, idx, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT key, source, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY key, source, lvl, n, idx // 3
+), subroots AS (
+  SELECT key, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown AS (
+  SELECT 0 AS lvl, idx, n, d FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM crown WHERE n > 1 GROUP BY lvl, n, idx // 3
+), runs AS (
+  SELECT key, lvl, idx // 3 AS run, {_RUN} FROM nodes WHERE n > 1 GROUP BY key, lvl, idx // 3
+), crown_runs AS (
+  SELECT lvl, idx // 3 AS run, {_RUN} FROM crown WHERE n > 1 GROUP BY lvl, idx // 3
+), walk AS (
+  SELECT doc_id, key, leaf, 0 AS lvl, idx, n, suspect AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.key, w.leaf, w.lvl + 1, w.idx // 3, (w.n + 2) // 3, {_PARENT}, w.proof || {_SIBLINGS}
+  FROM walk w JOIN runs r ON w.key = r.key AND w.lvl = r.lvl AND w.idx // 3 = r.run WHERE w.n > 1
+), climb AS (
+  SELECT doc_id, leaf, s.d AS subroot, 0 AS lvl, s.idx, s.n, folded, proof FROM walk w JOIN subroots s ON w.key = s.key WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.lvl + 1, w.idx // 3, (w.n + 2) // 3, {_PARENT}, w.proof || {_SIBLINGS}
+  FROM climb w JOIN crown_runs r ON w.lvl = r.lvl AND w.idx // 3 = r.run WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb, (SELECT d AS root FROM crown WHERE n = 1) WHERE n = 1
+"""
+
+ORACLES: dict[str, str] = {"op4_water_filling_mix": OP4_SQL, "op11_postorder_manifest": OP11_SQL}
