@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, language, licenses, manifest, mixing, packing, secret_scan, subspace, toxicity
+from marginalia.llm import compression, dart, decision_list, language, licenses, manifest, maxscore, mixing, packing, secret_scan, subspace, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ def op11_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(built).drop("siblings")
 
 
+def op12_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -104,6 +108,7 @@ QUERIES: dict[str, Query] = {
         op9_secret_scan,
         op10_power_of_two_packing,
         op11_postorder_manifest,
+        op12_maxscore_search,
     )
 }
 
@@ -192,4 +197,20 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS fol
 FROM climb, (SELECT d AS root FROM crown WHERE n = 1) WHERE n = 1
 """
 
-ORACLES: dict[str, str] = {"op4_water_filling_mix": OP4_SQL, "op11_postorder_manifest": OP11_SQL}
+OP12_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_water_filling_mix": OP4_SQL,
+    "op11_postorder_manifest": OP11_SQL,
+    "op12_maxscore_search": OP12_SQL,
+}
