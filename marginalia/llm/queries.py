@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import compression, dart, decision_list, language, licenses, manifest, maxscore, mixing, packing, secret_scan, subspace, toxicity
+from marginalia.llm import alignment, compression, dart, decision_list, language, licenses, manifest, maxscore, mixing, packing, secret_scan, subspace, toxicity
 from marginalia.llm.common import id_fold, labelled_ids, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,11 @@ def op12_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = alignment.AlignOptions(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return alignment.link_statistics(alignment.align(table(spark, sf_dir, "documents"), options), options)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
         op10_power_of_two_packing,
         op11_postorder_manifest,
         op12_maxscore_search,
+        op13_arrow_alignment,
     )
 }
 
