@@ -373,6 +373,8 @@ ORACLES: dict[str, str] = {
                OR now.corpus_id LIKE '%3' AS rebuild FROM now LEFT JOIN last USING (corpus_id)""",
     "incremental_vectors": f"""WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')}
         SELECT key, md5(content) AS content_hash, '{FINGERPRINT}' AS fingerprint, {micro('vec')} AS vec FROM v JOIN corpus USING (key)""",
+    "vector_store": f"""WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')}
+        SELECT key, md5(content) AS content_hash, '{FINGERPRINT}' AS fingerprint, {micro('list_transform(vec, lambda y: y::FLOAT)')} AS vec FROM v JOIN corpus USING (key)""",
     "recommend": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "recommend_duplicates": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "recommend_window": f"WITH {flagship(0.0, NEWEST_DAY)} SELECT * REPLACE (round(score, 6) AS score) FROM recs",

@@ -13,11 +13,13 @@ from marginalia.operators import authors, cards, select, similarity, state, text
 from marginalia.options import ModelOptions, RecommendOptions
 from marginalia.plans.daily import daily_job as run_daily
 from marginalia.plans.daily import read_state
+from marginalia.plans.daily import vector_store as daily_vectors
 from marginalia.plans.recommend import daily_report
 from marginalia.plans.recommend import recommend as recommend_plan
 from marginalia.session import scratch_path
 from marginalia.sources import files, tables
 from marginalia.sources import papers as records
+from marginalia.sources.vector_store import VectorStore, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +113,7 @@ def replace_snapshot(spark, sf_dir):
         fx.corpus(spark, sf_dir), fx.black_names(spark, sf_dir), fx.white_names(spark, sf_dir)
     )
     tables.replace_snapshot(routed.select("key", "section"), path)
-    return spark.read.schema("key bigint, section string").parquet(path)
+    return tables.read_snapshot(spark, path, "key bigint, section string")
 
 
 @query
@@ -557,6 +559,20 @@ def incremental_vectors(spark, sf_dir):
     return now.select("key", "content_hash", "fingerprint", fx.micro(F.col("vec")).alias("vec"))
 
 
+@query
+def vector_store(spark, sf_dir):
+    """Three states of a corpus: the base, a change so large that it becomes a new base, a small change."""
+    model = state.model_fingerprint(MODEL)
+    store = VectorStore(scratch_path(spark, "vector-store"))
+    now = fx.corpus(spark, sf_dir)
+    toxic = fx.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("key"))
+    upper = now.join(toxic, "key", "left_semi").withColumn("content", F.upper("content"))
+    draft = now.join(toxic, "key", "left_anti").unionByName(upper)
+    for corpus in (_previous_corpus(spark, sf_dir), draft, now):
+        refresh(store, corpus, fx.encode, model)
+    return store.read(spark).select("key", "content_hash", "fingerprint", fx.micro(F.col("vec")).alias("vec"))
+
+
 # Whole jobs
 
 
@@ -616,7 +632,7 @@ def daily_job(spark, sf_dir):
     ):
         run_daily(papers, corpus, folder, black, white, fx.encode, day, options, MODEL)
     kept = read_state(spark, folder).first()
-    count = tables.read_vectors(spark, kept.vectors).count()
+    count = daily_vectors(folder).read(spark, kept.vectors).count()
     return files.scan_reports(spark, f"{folder}/reports").select("run_date", "md", F.lit(count).alias("vectors"))
 
 

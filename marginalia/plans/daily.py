@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.state import corpus_fingerprint, incremental_vectors, model_fingerprint, rebuild_decision
+from marginalia.operators.state import corpus_fingerprint, model_fingerprint, rebuild_decision
 from marginalia.options import ModelOptions, RecommendOptions
 from marginalia.plans.recommend import daily_report, recommend
 from marginalia.sources.files import report_sink
-from marginalia.sources.tables import read_vectors, write_vectors
+from marginalia.sources.vector_store import VectorStore, refresh
+from marginalia.sources.versions import newest, publish
 
-STATE = "corpus_id string, content_hash string, fingerprint string, vectors string"
-VECTORS = "key {key}, vec array<float>, content_hash string, fingerprint string"
+STATE = "corpus_id string, content_hash string, fingerprint string, vectors bigint"
 
 
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
-    """What the last run left: one row per own corpus; nothing before the first run."""
-    try:
-        return spark.read.schema(STATE).parquet(f"{folder}/state")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STATE)
+    """What the last finished run left: one row per own corpus; nothing before the first run."""
+    found = newest(spark, f"{folder}/state", STATE)
+    return spark.createDataFrame([], STATE) if found is None else found
+
+
+def vector_store(folder: str) -> VectorStore:
+    return VectorStore(f"{folder}/vectors")
 
 
 def refresh_vectors(
@@ -33,35 +32,22 @@ def refresh_vectors(
 ) -> tuple[DataFrame, DataFrame]:
     """(vectors, state row to write) of the own corpus (key, content).
 
-    A rebuild encodes only what changed and writes a new version beside the old one, named by the
-    corpus and the model, so that a run that fails leaves the vectors its state points to.
+    Only what changed is encoded, and written as a change of the vector store. The state names the version
+    of the store it was made with, so that a run that fails leaves the vectors its state points to.
     """
     spark = own.sparkSession
+    store = vector_store(folder)
     fingerprint = model_fingerprint(model)
     current = corpus_fingerprint(own.withColumn("corpus_id", F.lit("own")))
     last = read_state(spark, folder)
     found = last.first()
     decision = rebuild_decision(current, last, last.select("corpus_id"), fingerprint, check).first()
     if found is not None and (decision is None or not decision.rebuild):
-        return read_vectors(spark, found.vectors), last
+        return store.read(spark, found.vectors), last
     row = current.first()
-    version = f"{folder}/vectors-{row.content_hash if row else 'none'}-{hash_name(fingerprint):08x}"
-    stored = (
-        read_vectors(spark, found.vectors)
-        if found is not None
-        else spark.createDataFrame([], VECTORS.format(key=own.schema["key"].dataType.simpleString()))
-    )
-    if found is None or found.vectors != version:
-        write_vectors(incremental_vectors(own, stored, encode, fingerprint), version)
+    version = refresh(store, own, encode, fingerprint)
     made = [("own", row.content_hash if row else None, fingerprint, version)]
-    return read_vectors(spark, version), spark.createDataFrame(made, STATE)
-
-
-def hash_name(text: str) -> int:
-    """A short number that is the same in every process."""
-    from zlib import crc32
-
-    return crc32(text.encode())
+    return store.read(spark, version), spark.createDataFrame(made, STATE)
 
 
 def daily_job(
@@ -83,5 +69,6 @@ def daily_job(
     vectors, state = refresh_vectors(own, folder, encode, model, check)
     recs = recommend(papers, vectors.select("key", "vec"), black, white, encode, options)
     report_sink(daily_report(recs, F.lit(run_date)), f"{folder}/reports")
-    rows = state.collect()  # one row per own corpus
-    papers.sparkSession.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state")
+    spark = papers.sparkSession
+    rows = spark.createDataFrame(state.collect(), STATE)  # one row per own corpus
+    publish(spark, f"{folder}/state", lambda version, _: rows.coalesce(1).write.parquet(version))

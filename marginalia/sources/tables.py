@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.session import staged
+from marginalia.sources.versions import drop_folder, newest, publish, versions
 
 
 def _one_per_key(batch: DataFrame, key: str, order: Column, latest: bool) -> DataFrame:
@@ -64,12 +65,22 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame, key: str, order
     insert_new(target, batch, key, order).write.mode("append").parquet(path)
 
 
-def replace_snapshot(snapshot: DataFrame, path: str, section: str = "section") -> None:
-    """Throw away what `path` held and write `snapshot`, one folder per section.
+def replace_snapshot(snapshot: DataFrame, path: str, section: str = "section", keep: int = 2) -> None:
+    """Write `snapshot`, one folder per section, as the new version of the table at `path`.
 
-    `snapshot` must not read from `path`.
+    It is written beside the current version and then switched to, so a write that fails leaves that one
+    readable, and `snapshot` may be made from it. The last `keep` versions stay for readers that have begun.
     """
-    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(section).parquet(path)
+    spark = snapshot.sparkSession
+    publish(spark, path, lambda folder, _: snapshot.write.partitionBy(section).parquet(folder))
+    for old in versions(spark, path)[:-keep]:
+        drop_folder(spark, old.folder)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current version of a snapshot; empty before the first one."""
+    found = newest(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
