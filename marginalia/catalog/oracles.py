@@ -311,6 +311,8 @@ ORACLES: dict[str, str] = {
     "flag_authors": f"""WITH {MATCHING}, marked AS (SELECT key, string_agg(author || CASE WHEN {matches('quality', LOOSE)} THEN '=yes' ELSE '=no' END, '; ' ORDER BY pos) AS flags
         FROM author_parts a GROUP BY key) SELECT c.key, coalesce(flags, '') AS flags FROM corpus c LEFT JOIN marked USING (key)""",
     "cosine_pairs": f"WITH {SIMS} SELECT key, my_key, round(sim, 6) AS sim FROM sims WHERE sim >= {PAIR_FLOOR}",
+    "cosine_pairs_grouped": f"WITH {SIMS} SELECT key, my_key, round(sim, 6) AS sim FROM sims WHERE sim >= {PAIR_FLOOR}",
+    "score_candidates_grouped": f"WITH {SIMS} SELECT key, label, score FROM scores",
     "max_similarity": f"WITH {SIMS} SELECT key, score FROM scores",
     "check_dims": """WITH n AS (SELECT min(len(embedding)) AS new_min, max(len(embedding)) AS new_max FROM embeddings WHERE label <> 0),
         m AS (SELECT min(len(embedding)) AS mine_min, max(len(embedding)) AS mine_max FROM embeddings WHERE label = 0)

@@ -297,6 +297,23 @@ def cosine_pairs(spark, sf_dir):
     return pairs.withColumn("sim", F.round("sim", 6))
 
 
+GROUPED_BYTES = 16_384  # small enough that the own set is cut into groups on every table
+
+
+@query
+def cosine_pairs_grouped(spark, sf_dir):
+    """The pairs again, found without a broadcast of the own set."""
+    pairs = similarity.cosine_pairs(fx.new_vectors(spark, sf_dir), fx.my_vectors(spark, sf_dir), PAIR_FLOOR, GROUPED_BYTES)
+    return pairs.withColumn("sim", F.round("sim", 6))
+
+
+@query
+def score_candidates_grouped(spark, sf_dir):
+    """The best scores again, found without a broadcast of the own set."""
+    found = similarity.score_candidates(fx.new_vectors(spark, sf_dir), fx.my_vectors(spark, sf_dir), GROUPED_BYTES)
+    return found.select("key", "label", F.round("score", 6).alias("score"))
+
+
 @query
 def max_similarity(spark, sf_dir):
     """The maximum over all own vectors for every incoming one; no pair is written for it."""

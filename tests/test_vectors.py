@@ -172,3 +172,29 @@ def test_a_named_encoder_is_loaded_once_per_worker(spark, tmp_path):
     texts = spark.range(0, 400, 1, 40).select(F.col("id").alias("key"), F.lit("x").alias("text"))
     assert vectors.embed(texts, factory, encoder_id="lengths").count() == 400
     assert 0 < len(vectors.embed(texts, factory, encoder_id="lengths").collect()) and len(list(tmp_path.iterdir())) <= 8
+
+
+@pytest.mark.parametrize("leaders", [1, 3, 50])
+def test_groups_skip_what_cannot_win(spark, leaders):
+    """Clusters, copies, one popular group, and vectors of length zero on both sides; own keys may repeat."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(6, 8))
+    near = lambda n, spread: [[float(x) for x in middles[i % 6] + spread * rng.normal(size=8)] for i in range(n)]
+    new, mine = near(200, 0.01) + [[0.0] * 8] + near(1, 0.01) * 300, near(60, 0.01) + [[0.0] * 8] * 3 + near(1, 0.0) * 40
+    frames = _vectors(spark, new), _vectors(spark, mine).withColumn("key", F.col("key") % 50)
+    whole = {r.key: r.score for r in similarity.score_candidates(*frames).collect()}
+    got = {r.key: r.score for r in similarity.score_candidates(*frames, 64 * 10, leaders).collect()}
+    assert got == pytest.approx(whole, abs=1e-12) and got[200] == 0.0
+    for floor in (-0.5, 0.0, 0.999):
+        pairs = sorted((r.key, r.my_key) for r in similarity.cosine_pairs(*frames, floor).collect())
+        assert sorted((r.key, r.my_key) for r in similarity.cosine_pairs(*frames, floor, 64 * 10, leaders).collect()) == pairs
+    if leaders == 50:
+        groups = similarity.group_own(frames[1], leaders)
+        worth = [len(r._groups) for r in similarity.choose_groups(frames[0], groups, 0.99).collect()]
+        assert np.mean(worth) < 0.4 * len(groups.ids)
+
+
+def test_own_vectors_of_length_zero_only(spark):
+    new, mine = _vectors(spark, [[1.0, 0.0], [0.0, 0.0]]), _vectors(spark, [[0.0, 0.0]] * 5)
+    assert [r.score for r in similarity.score_candidates(new, mine, 16).collect()] == [0.0, 0.0]
+    assert similarity.cosine_pairs(new, mine, 0.0, 16).count() == 10 and similarity.cosine_pairs(new, mine, 0.1, 16).count() == 0
