@@ -8,24 +8,26 @@ length form a bucket (its logarithm), from which a trainer draws its batches.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import map_batches, texts_of
 
-#: Distinct chunks, and words, in one generation of a worker's memory, which holds two. Results do not depend on it.
-REMEMBERED = 75_000
-#: Marks that end a chunk without changing the ids of the word before them; an apostrophe is none.
-_MARKS = ".,;:!?*&%$#"
 _CONTROL = "\x1c\x1d\x1e\x1f"
+#: Letters that are lower-cased one by one; with ASCII they make up the chunks that the fast path takes.
+_LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and c != "İ")
+_PLAIN = {*map(chr, range(0x80)), *_LETTERS}
+#: Where the tokenizer cuts words, as words of letters are what lies between: suffixes, single digits, other marks.
+_CUTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9 \n{_LETTERS.lower()}]+")
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -36,72 +38,76 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Recent(dict):
-    """A bounded memory: a full generation becomes the older one, from which what is met again comes back.
+def _word_ranks(vocabulary: dict[str, int], special: set[str]) -> dict[bytes, int]:
+    """Token bytes -> id, with a space for the mark that ends a word.
 
-    So frequent keys stay and those met once fall out.
+    Ids ascend in order of the merges, so they are ranks, and the ends of words come first. An encoder that
+    merges by rank gives the tokenizer's ids for every word if the merges rebuild every token from its own
+    bytes: whichever pair makes up a token's bytes when its rank has come is then the pair that its merge names.
     """
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make = make
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
+    letters = {letter: byte for byte, letter in _byte_letters().items()}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        if token not in special:
+            core = token.removesuffix("</w>")
+            ranks[bytes(map(letters.__getitem__, core)) + (b" " if len(core) < len(token) else b"")] = rank
+    return ranks
 
 
 class ChunkEncoder:
-    """Text -> little-endian uint32 ids, as the tokenizer gives them.
+    """Texts -> little-endian uint32 ids, as the tokenizer gives them.
 
-    This vocabulary drops white space and never merges across it, so a text's ids are those of its
-    chunks in order. Plain lower-case-able letters with trailing marks go straight to the
-    vocabulary's merges; everything else takes the tokenizer's whole path.
+    This vocabulary drops white space and never merges across it, so a text's ids are those of the chunks between
+    white space. Many texts are split at once; their distinct chunks are merged in one call, each ending in a line
+    feed, whose id tells them apart again; then every text gathers the ids of its chunks. Chunks of other
+    letters and special tokens take the tokenizer's whole path, and so do texts that it normalises.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.chunks = Recent(self._chunk)
-        self.words = Recent(self._merged)
-        self.marks: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _merged(self, word: str) -> bytes:
-        if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        core = chunk.rstrip(_MARKS)
-        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-            ids = self.words[core.lower()]
-            return ids + self._trail(chunk[len(core) :]) if len(core) < len(chunk) else ids
-        return self.whole(chunk)
-
-    def _trail(self, marks: str) -> bytes:
-        if (ids := self.marks.get(marks)) is None:
-            ids = self.whole(marks)
-            if len(self.marks) < REMEMBERED:
-                self.marks[marks] = ids
-        return ids
+        special = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = _word_ranks(self.tokenizer.get_vocab(with_added_tokens=False), special)
+        self.merges = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.line_feed = ranks[b"\n "]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def chunk_ids(self, chunks: list[str]) -> pa.LargeListArray:
+        """The ids of each of `chunks`, which hold no white space."""
+        joined = " \n ".join(chunks)
+        odd = []
+        if "<|" in joined or not _PLAIN.issuperset(joined):
+            odd = [i for i, c in enumerate(chunks) if "<|" in c or not _PLAIN.issuperset(c)]
+            others = dict.fromkeys(odd, "")
+            joined = " \n ".join(others.get(i, c) for i, c in enumerate(chunks))
+        ids = self.merges.encode_to_numpy(_CUTS.sub(r" \g<0> ", joined.lower()) + " \n ")
+        ends = np.flatnonzero(ids == self.line_feed)
+        counts = np.diff(ends, prepend=-1) - 1
+        flat = ids[ids != self.line_feed].astype("<u4")
+        if odd:
+            made = [self.whole(chunks[i]) for i in odd]
+            at = (np.cumsum(counts) - counts)[odd]
+            flat = np.insert(flat, np.repeat(at, [len(m) for m in made]), np.concatenate(made))
+            counts[odd] = [len(m) for m in made]
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), pa.array(flat))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        odd = [any(c in text for c in _CONTROL) or not unicodedata.is_normalized("NFC", text) for text in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        gathered = self.chunk_ids(chunks.dictionary.to_pylist()).take(chunks.indices)
+        bounds = gathered.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        ids = gathered.flatten().to_numpy().astype("<u4")
+        for o, text, start, end in zip(odd, texts, bounds[:-1], bounds[1:], strict=True):
+            yield (self.whole(text) if o else ids[start:end]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in _CONTROL) or not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return next(self.encode_all([text]))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -143,10 +149,10 @@ def power_of_two_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, conte
     names = [field.split(" ")[0] for field in schema.split(", ")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(vocabulary).encode
         columns: list[list[Any]] = [[] for _ in range(7)]
-        for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = encode(value.as_py()) + end
+        encoded = encoder(vocabulary).encode_all(batch.column("text").to_pylist())
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+            ids += end
             n = len(ids) // 4
             for start, length in pieces_of(n, context):
                 piece = ids[4 * start : 4 * (start + length)]

@@ -222,11 +222,41 @@ def test_chunk_encoding_equals_the_tokenizer():
     odd = [
         "", " ", "Hello, World.. it's ÉTÉ. don't 12x3 a_b", "a\x1cb", "été Åx", "İstanbul ΣΑΣ ﬁne", "<|endoftext|> x<|startoftext|>",
         "tab\tnew\nline nbsp　wide", "ſharp ẞ ß", "日本語 テスト.", "...,,, .x, x.,", prose(5, 300),
+        "abc*** É.%%% AND.!! a$b$ x;:?, 's. a-b c/d 1a2 (x) [y]{z} #a_b `q` ~^|\\ \"w\" <a> <| x<|y", "é' ¼ ªb \x7f \x00 ñ-ñ «x» don't WE'LL ''s x'sing 'S 'x' '' ä'd 1'2 ½'t",
+        "\x85a\xa0b\u2028c\u3000 d\u200be\u1680f\v\f\r\n", "".join(map(chr, range(0x21, 0x250))), " ".join(map(chr, range(0x250))),
     ]
     for text in odd:
         assert np.frombuffer(encode(text), "<u4").tolist() == _ids(text)[:-1], text
 
 
+def test_merges_rebuild_every_token():
+    """What the encoder of words rests on: by the merges alone, each token's bytes become that token."""
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as file:
+        given = json.load(file)["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in given["merges"]]
+    rank = {pair: i for i, pair in enumerate(merges)}
+    assert [given["vocab"][a + b] for a, b in merges] == list(range(512, 512 + len(merges)))
+    for token in given["vocab"]:
+        if token in ("<|startoftext|>", "<|endoftext|>"):
+            continue
+        core = token.removesuffix("</w>")
+        parts = list(core[:-1]) + [core[-1] + token[len(core) :]]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 30))
+            assert (parts[best], parts[best + 1]) in rank, token
+            parts[best : best + 2] = ["".join(parts[best : best + 2])]
+
+
+def test_every_distinct_chunk_of_the_texts(spark, sf_dir):
+    chunks = sorted(set().union(*(t.split() for t in _texts(spark, sf_dir).values())))
+    encoder = packing.ChunkEncoder(queries.vocabulary())
+    got = list(encoder.encode_all(chunks))
+    want = encoder.tokenizer.encode_batch(chunks, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
 def test_packing_query_is_an_exact_round_trip(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     pieces: dict[int, list] = {}
