@@ -26,6 +26,14 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def fresh_prefix(columns: list[str]) -> str:
+    """A prefix that no column begins with, for columns that an operator adds for itself; case does not tell names apart."""
+    prefix = "_x_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def give_back_memory() -> None:
     """Return what this process has freed, but its allocators keep, to the system."""
     pa.default_memory_pool().release_unused()

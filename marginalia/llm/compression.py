@@ -144,19 +144,16 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
     return map_batches(texts_of(docs), work, "doc_id bigint, score double, difference double")
 
 
-def scored_rows(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """`docs`, all columns, with `score` behind them; each row is scored where it lies.
+def accepted_rows(docs: DataFrame, model: CompressionModel, least: float) -> DataFrame:
+    """The rows of `docs` that score `least` or more, all columns as they are; each row is scored where it lies.
 
-    A column of `docs` that is named `score` is an error, as the result could not tell the two apart.
+    A null text is scored as an empty one and stays null. A table of any columns will do, also one named
+    `score`; an empty one stays empty.
     """
-    from pyspark.sql import types as T
-
-    if "score" in docs.columns:
-        raise ValueError("the table already has a column named score")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         value = logistic(_expanded(evidence(texts, model)), np.array(model.weights))
-        return batch.append_column("score", pa.array(value))
+        return batch.filter(pa.array(value >= least))
 
-    return map_batches(docs, work, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_batches(docs, work, docs.schema)

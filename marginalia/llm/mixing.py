@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WORD
+from marginalia.llm.common import WORD, fresh_prefix
 from marginalia.session import staged
 
 
@@ -86,14 +86,16 @@ def targets(sizes: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     return table.select("source", "source_size", "weight", F.least("cap", F.col("weight") * else_level).alias("target"))
 
 
-def _plan(docs: DataFrame, options: MixOptions) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, options: MixOptions, row: Column) -> tuple[DataFrame, DataFrame]:
     """Narrow rows of the documents, and for each (source, slice of the order) where its words begin.
 
+    `row` numbers the rows, so that rows of one id (or of none) have places of their own.
+
     A source of any size is cut into 4096 slices of its seeded order. Their sums are combined before
     the shuffle; a window then runs over the slices of a source, never over its documents.
     """
     rows = staged(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(options.seed).alias("draw")), "mix-sizes"
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(options.seed).alias("draw"), row.alias("row")), "mix-sizes"
     ).select("*", _key(F.col("source")).alias("k"), F.substring("draw", 1, 3).alias("slice"))
     goals = targets(rows, options).select(
         _key(F.col("source")).alias("k"), "source_size", "weight", "target", F.floor(F.col("target") + 0.5).alias("goal")
@@ -106,62 +108,70 @@ def _plan(docs: DataFrame, options: MixOptions) -> tuple[DataFrame, DataFrame]:
     return rows, begins.join(goals, "k")
 
 
+def _placed(docs: DataFrame, options: MixOptions, row: Column) -> DataFrame:
+    """Every row's place in its source's order (draw, doc_id, size, row) and the words that are taken of it."""
+    rows, begins = _plan(docs, options, row)
+    order = W.partitionBy("k", "slice").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.join(begins, ["k", "slice"]).withColumn("end", F.col("begin") + F.sum("size").over(order))
+    extra = F.least("size", F.greatest(F.lit(0), F.col("extra") - (F.col("end") - F.col("size"))))
+    return placed.withColumn("taken", F.col("whole") * F.col("size") + extra)
+
+
 def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """(doc_id, source, size, source_size, weight, target, taken): how many words the mix takes of each row.
 
     A null text has size 0; a null source is a source of its own, ranked last; rows that repeat count
-    each. The words taken of a source add up to its target, rounded. An empty table gives none.
+    each, and have places of their own. The words taken of a source add up to its target, rounded. An empty
+    table gives none. A text of any length is counted whole, within its row; other columns are not read.
     """
-    rows, begins = _plan(docs, options)
-    order = W.partitionBy("k", "slice").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.join(begins, ["k", "slice"]).withColumn("end", F.col("begin") + F.sum("size").over(order))
-    extra = F.least("size", F.greatest(F.lit(0), F.col("extra") - (F.col("end") - F.col("size"))))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", (F.col("whole") * F.col("size") + extra).alias("taken")
-    )
+    placed = _placed(docs, options, F.monotonically_increasing_id())
+    return placed.select("doc_id", "source", "size", "source_size", "weight", "target", "taken")
 
 
 def mix_rows(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The mix itself, in the columns of `docs`: each row as often as it is taken.
 
-    The fractional repetition of a source is known by one border in its seeded order, so texts are
-    joined with one row per source (broadcast by Spark only where that table is small, else split by
-    adaptive execution) and are never shuffled by document. The document at the border is cut after
-    the words that remain, white space between its words becoming single spaces, and `n_chars` follows.
-    Rows that repeat as a whole share their decision.
+    The rows are written with a number first, which tells rows that repeat apart. The fractional repetition of
+    a source is known by one border in its seeded order, so texts are joined with one row per source
+    (broadcast by Spark only where that table is small, else split by adaptive execution) and are never
+    shuffled by document. The document at the border is cut after the words that remain, white space between
+    its words becoming single spaces, and `n_chars` follows. So the words of the rows are those of `mix`, also
+    where ids repeat or are null. Own columns get names that `docs` does not have.
     """
-    taken = mix(docs, options)
-    place = F.struct(F.col("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    extras = taken.withColumn("draw", _draw(options.seed)).withColumn("k", _key(F.col("source")))
+    p = fresh_prefix(docs.columns)
+    numbered = staged(docs.withColumn(f"{p}row", F.monotonically_increasing_id()), "mix-rows")
+    taken = _placed(numbered, options, F.col(f"{p}row"))
+    at = F.struct("draw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size", "row")
     divisor = F.greatest("size", F.lit(1))
-    whole, part = F.floor(F.col("taken") / divisor), F.col("taken") % divisor
+    part = F.col("taken") - F.col("whole") * F.col("size")
     border = staged(
-        extras.groupBy("k").agg(
-            F.max("source_size").alias("_size"),
-            F.max("target").alias("_target"),
-            F.max(F.when(part > 0, F.struct(place.alias("p"), part.alias("cut")))).alias("_cut"),
-            F.max(F.when(F.col("size") > 0, F.struct(whole.alias("n"), place.alias("p")))).alias("_last"),
+        taken.groupBy(F.col("k").alias(f"{p}k")).agg(
+            F.max("whole").alias(f"{p}whole"),
+            # The last row that is taken once more than the others, and the one that is cut.
+            F.max(F.when((F.col("size") > 0) & (part == F.col("size")), at)).alias(f"{p}last"),
+            F.max(F.when((part > 0) & (part < divisor), F.struct(at.alias("at"), part.alias("words")))).alias(f"{p}cut"),
         ),
         "mix-borders",
     )
-    kept = [F.col(c) for c in docs.columns]
-    here = F.struct(F.col("_draw").alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    at_cut = F.col("_cut").isNotNull() & (here == F.col("_cut.p"))
-    full = F.floor(F.floor(F.col("_target") + 0.5) / F.greatest(F.col("_size"), F.lit(1)))
-    above = F.when(F.col("_last.n") > full, here <= F.col("_last.p")).otherwise(F.lit(False))
-    times = F.when(at_cut, full + 1).otherwise(full + above.cast("int")).cast("int")
+    here = F.struct(
+        _draw(options.seed).alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
+        word_count(F.col("text")).alias("size"), F.col(f"{p}row").alias("row"),
+    )
+    joined = numbered.withColumn(f"{p}k", _key(F.col("source"))).join(border, f"{p}k").withColumn(f"{p}here", here)
+    at_cut = F.coalesce(F.col(f"{p}here") == F.col(f"{p}cut.at"), F.lit(False))
+    above = F.coalesce(F.col(f"{p}here") <= F.col(f"{p}last"), F.lit(False))
     copies = (
-        docs.withColumn("_draw", _draw(options.seed))
-        .withColumn("_k", _key(F.col("source")))
-        .join(border.withColumnRenamed("k", "_k"), "_k")
-        .withColumn("_times", times)
-        .where(F.col("_times") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .withColumn("_short", at_cut & (F.col("_copy") == F.col("_times")))
+        joined.withColumn(f"{p}short", at_cut)
+        .withColumn(f"{p}times", F.col(f"{p}whole").cast("int") + (above | at_cut).cast("int"))
+        .where(F.col(f"{p}times") > 0)
+        .withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}times"))))
+        .withColumn(f"{p}short", F.col(f"{p}short") & (F.col(f"{p}copy") == F.col(f"{p}times")))
     )
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_cut.cut").cast("int")), " ")
-    out = copies.withColumn("text", F.when(F.col("_short"), cut).otherwise(F.col("text")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(f"{p}cut.words").cast("int"))
+    short = F.col(f"{p}short")
+    cut = {"text": F.when(short, F.array_join(words, " ")).otherwise(F.col("text"))}
+    out = copies.withColumns(cut)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_short"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*kept)
+        out = out.withColumn("n_chars", F.when(short, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

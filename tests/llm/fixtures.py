@@ -6,7 +6,9 @@ import random
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names operators use inside themselves.
-CLASHES = "label int, size long, words string, score_ double, draw string, k string, rep long, bucket long, target double, part int"
+CLASHES = "label int, size long, words string, score_ double, draw string, k string, rep long, bucket long, target double, part int, "
+CLASHES += "score double, row long, slice string, whole long, extra long, taken long, cut string, digest string, mark string, _x_row long, _x_k string, "
+CLASHES += "_draw string, _k string, _cut long, _size long, _target double, _last string, _times int, rank int, weight double"
 
 
 def prose(seed: int, n: int) -> str:

@@ -42,11 +42,23 @@ def test_mixing_targets_and_rows(spark):
     want = Counter()
     for r in mixed:
         want[r.doc_id] += r.taken
-    assert all(got[k] == n for k, n in want.items() if k != 10)
+    assert got == want
     assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mix_rows(documents(spark, [])).count() == 0
     assert mixing.mix(documents(spark, [(1, None, None, "s"), (2, "", None, "t")])).agg(F.sum("taken")).first()[0] == 0
 
 
+@pytest.mark.parametrize("key", [1, None])
+def test_rows_of_one_id_meet_the_target(spark, key):
+    """Rows that share an id, or have none, are taken one by one, and what the table names its columns does not matter."""
+    text = " ".join("w" * 50)
+    docs = documents(spark, [(key, text, "a", "s")] * 40 + [(2, text + " x", "a", "t")] * 3, extra=True).withColumn("_x__x_row", F.lit(7))
+    mixed = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    made = mixing.mix_rows(docs)
+    rows = made.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words"), F.max("_x__x_row").alias("x")).collect()
+    assert {r.source: r.words for r in rows} == {s: r.taken for s, r in mixed.items()} and {r.x for r in rows} == {7}
+    assert all(abs(r.taken - r.target) <= 1 for r in mixed.values()) and made.columns == docs.columns
+
+
 def test_water_filling_reshares_until_none_is_above(spark):
     rows = [("a", 10), ("b", 1000), ("c", 50), ("d", 400)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}

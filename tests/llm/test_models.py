@@ -86,10 +86,14 @@ def test_models_take_awkward_tables(spark, rows):
     assert toxicity.score(none, toxicity.fit(none, given)).count() == 0
 
 
-def test_scored_rows_keep_the_table(spark):
+def test_accepted_rows_keep_the_table(spark):
     docs = documents(spark, extra=True)
-    out = compression.scored_rows(docs, compression.fit(docs, labels(spark)))
-    assert out.columns == [*docs.columns, "score"] and out.count() == docs.count()
+    model = compression.fit(docs, labels(spark))
+    every, none = compression.accepted_rows(docs, model, 0.0), compression.accepted_rows(docs, model, 1.1)
+    assert every.columns == docs.columns and none.count() == 0
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, docs.collect()))
+    scores = [r.score for r in compression.score(docs, model).collect()]
+    assert compression.accepted_rows(docs, model, 0.5).count() == sum(s >= 0.5 for s in scores)
 
 
 def test_toxicity_finds_held_out_insults(spark):
