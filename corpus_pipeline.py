@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm import compression, dart, mixing, packing, secret_scan
 from marginalia.llm.common import table
@@ -25,7 +24,7 @@ KEEP_SCORE = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, fitted on labelled rows of `docs`, accepts."""
     model = compression.fit(docs, table(spark, sf_dir, "labels"))
-    return compression.scored_rows(docs, model).where(F.col("score") >= KEEP_SCORE).select(*docs.columns)
+    return compression.accepted_rows(docs, model, KEEP_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
