@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bytes_of, map_batches, mix64, texts_of
+from marginalia.llm.common import bytes_of, fresh_prefix, map_batches, mix64
 from marginalia.llm.components import components
 from marginalia.session import staged
 
@@ -153,7 +153,19 @@ def _chunks(bounds: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-SIGNED = "doc_id bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary"
+SIGNED = "doc_id bigint, mark string, n bigint, print_a bigint, print_b bigint, bands array<bigint>, sketch binary"
+PRINTS = ["n", "print_a", "print_b"]
+
+
+def _prints(cells: np.ndarray, borders: np.ndarray) -> list[np.ndarray]:
+    """Number of cells of every row and two sums of their hashes: equal for equal sets of cells."""
+    sums = [np.concatenate([[_U(0)], np.cumsum(mix64(cells + salt))]) for salt in (_STEP, _BASE)]
+    return [np.diff(borders), *((s[borders[1:]] - s[borders[:-1]]).view(np.int64) for s in sums)]
+
+
+def _mark(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def signed_texts(docs: DataFrame, options: DartOptions) -> DataFrame:
@@ -161,37 +173,38 @@ def signed_texts(docs: DataFrame, options: DartOptions) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, bounds = bytes_of(batch.column("text"))
-        n, prints, bands, sketches = [], [], [], []
+        prints, bands, sketches = [], [], []
         for a, b in _chunks(bounds):
             cells, borders = cells_of(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], options.shingle)
-            sums = [np.concatenate([[_U(0)], np.cumsum(mix64(cells + salt))]) for salt in (_STEP, _BASE)]
             signature = signatures(cells, borders, options.k)
-            n.append(np.diff(borders))
-            prints.append(np.stack([(s[borders[1:]] - s[borders[:-1]]).view(np.int64) for s in sums]))
+            prints.append(np.stack(_prints(cells, borders)))
             bands.append(band_hashes(signature, options.bands).view(np.int64))
             sketches.append((signature >> _U(32)).astype(np.uint8))
-        spread, marks = np.hstack(prints), np.concatenate(sketches)
+        marks = np.concatenate(sketches)
         offsets = np.arange(len(batch) + 1, dtype=np.int32)
         arrays = [
-            batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(spread[0]), pa.array(spread[1]),
+            batch.column("doc_id"), batch.column("mark"), *map(pa.array, np.hstack(prints)),
             pa.ListArray.from_arrays(offsets * options.bands, pa.array(np.concatenate(bands).ravel())),
             pa.array([m.tobytes() for m in marks], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "print_a", "print_b", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", *PRINTS, "bands", "sketch"])
 
-    return map_batches(texts_of(docs), work, SIGNED)
+    texts = docs.select("doc_id", _mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    return map_batches(texts, work, SIGNED)
 
 
-def _cell_rows(docs: DataFrame, options: DartOptions) -> DataFrame:
+def _cell_rows(texts: DataFrame, options: DartOptions) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, bounds = bytes_of(batch.column("text"))
         out: list[bytes] = []
+        prints = []
         for a, b in _chunks(bounds):
             cells, borders = cells_of(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], options.shingle)
             out += [cells[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "cells"])
+            prints.append(np.stack(_prints(cells, borders)))
+        return pa.RecordBatch.from_arrays([*map(pa.array, np.hstack(prints)), pa.array(out, pa.binary())], names=[*PRINTS, "cells"])
 
-    return map_batches(texts_of(docs), work, "doc_id bigint, cells binary")
+    return map_batches(texts, work, "n bigint, print_a bigint, print_b bigint, cells binary")
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -224,10 +237,10 @@ def _likely(pairs: DataFrame, reps: DataFrame, options: DartOptions) -> DataFram
     return map_batches(rows.select("a", "b", "sketch_a", "sketch_b"), work, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
     """The pairs (a, b) whose exact weighted Jaccard similarity reaches the bound, staged."""
     pairs = staged(pairs, "dart-pairs")
-    cells = _cells_for(staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dart-ids"), docs, options)
+    cells = _cells_for(staged(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "dart-ids"), reps, docs, options)
     rows = pairs.join(cells.toDF("b", "cells_b"), "b").join(cells.toDF("a", "cells_a"), "a")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -239,30 +252,59 @@ def _verified(pairs: DataFrame, docs: DataFrame, options: DartOptions) -> DataFr
     return staged(map_batches(rows.select("a", "b", "cells_a", "cells_b"), work, "a bigint, b bigint, similarity double"), "dart-links")
 
 
-def _cells_for(ids: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
-    """(doc_id, cells) of the texts named in `ids` (doc_id), staged."""
-    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return staged(_cell_rows(wanted, options).dropDuplicates(["doc_id"]), "dart-cells")
+def _key(doc_id: Column) -> list[Column]:
+    """An id as columns that are never null, for joins."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("id_key"), doc_id.isNull().alias("id_null")]
+
+
+def _cells_for(ids: DataFrame, reps: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
+    """(rep, cells) of the representatives named in `ids` (rep), staged.
+
+    A representative's text is one of those of its id; the print tells which.
+    """
+    wanted = staged(reps.join(ids, "rep", "left_semi").select("rep", *PRINTS, *_key(F.col("some_id"))), "dart-wanted")
+    texts = docs.select(*_key(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(wanted.select("id_key", "id_null"), ["id_key", "id_null"], "left_semi").select("text")
+    found = _cell_rows(texts, options).join(wanted.select("rep", *PRINTS), PRINTS)
+    return staged(found.select("rep", "cells").dropDuplicates(["rep"]), "dart-cells")
 
 
 def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
     """Links within large buckets whose texts are not of one component yet, without a row for each pair.
 
-    Texts that meet in such buckets form an arena. An arena is cut into chunks, and every two chunks meet in
-    one tile, where all pairs that share a band are compared: by counts, by sketch, then exactly. A pair
-    that the tile has already connected is skipped, so a tile gives fewer links than it has texts.
+    Texts that meet in such buckets form an arena. Its texts that are not of its largest component are cut into
+    chunks, and so are those that are; a tile compares a chunk of the former with a chunk of either. So no tile is
+    built within the largest component, and an outlier among very many near copies costs one copy of them. In a tile all
+    pairs that share a band are compared: by counts, by sketch, then exactly. A pair that the tile has
+    already connected is skipped, so a tile gives fewer links than it has texts.
     """
     edges = members.groupBy("bucket").agg(F.min("rep").alias("b")).join(members.select("bucket", F.col("rep").alias("a")), "bucket")
     arenas = staged(components(edges.select("a", "b")).toDF("rep", "arena"), "dart-arenas")
-    cells = _cells_for(arenas.select(F.col("rep").alias("doc_id")), docs, options).withColumnRenamed("doc_id", "rep")
+    cells = _cells_for(arenas.select("rep"), reps, docs, options)
     sized = staged(
         arenas.join(reps.select("rep", "bands", "sketch"), "rep").join(labels, "rep").join(cells, "rep"), "dart-arena-rows"
     )
-    chunks = sized.groupBy("arena").agg(
-        F.greatest(F.ceil(F.count("*") / options.tile_rows), F.ceil(F.sum(F.length("cells")) / (16 << 20))).cast("int").alias("chunks")
-    )
-    rows = sized.join(staged(chunks, "dart-chunks"), "arena").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    shares = sized.groupBy("arena", "label").agg(F.count("*").alias("texts"), F.sum(F.length("cells")).alias("bytes"))
+    sides = shares.groupBy("arena").agg(
+        F.max_by("label", F.struct("texts", "label")).alias("main"), F.max("texts").alias("main_texts"), F.max_by("bytes", F.struct("texts", "label")).alias("main_bytes"),
+        F.sum("texts").alias("texts"), F.sum("bytes").alias("bytes"),
+    )
+
+    def chunks(texts: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(texts / options.tile_rows), F.ceil(size / (16 << 20))).cast("int")
+
+    sides = sides.select(
+        "arena", "main", chunks(F.col("main_texts"), F.col("main_bytes")).alias("mains"),
+        chunks(F.col("texts") - F.col("main_texts"), F.col("bytes") - F.col("main_bytes")).alias("others"),
+    ).where("others > 0")
+    rows = sized.join(staged(sides, "dart-chunks"), "arena")
+    is_main = F.col("label") == F.col("main")
+    place = F.xxhash64("rep")
+    own = F.when(is_main, F.pmod(place, F.col("mains"))).otherwise(F.col("mains") + F.pmod(place, F.col("others")))
+    rows = rows.withColumn("own", own.cast("int"))
+    # Chunks of the largest component come first; they meet only those behind them.
+    met = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    tiles = F.transform(met, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     rows = rows.select("arena", "own", "rep", "label", "bands", "sketch", "cells", F.explode(tiles).alias("t")).select("*", "t.i", "t.j").drop("t")
     least = options.similarity * options.k - 6 * np.sqrt(options.k * options.similarity * (1 - options.similarity))
 
@@ -301,26 +343,16 @@ def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: D
     return staged(rows.groupBy("arena", "i", "j").applyInArrow(work, "a bigint, b bigint, similarity double"), "dart-arena-links")
 
 
-def near_duplicates(docs: DataFrame, options: DartOptions = DartOptions()) -> DataFrame:
-    """(doc_id, class_id, n_cells): the class is the smallest id reachable by links.
-
-    Texts with equal cells are one representative; copies are never paired. In each bucket of a band
-    every representative is compared with the smallest one first, and the verified links are joined to
-    components. Then all pairs of a bucket that still lie in different components are compared: those
-    of small buckets as rows, whose number is bounded by the bucket's size, those of large ones in
-    tiles. So no link between different texts is lost to the shortcut. A text without words is a class
-    of its own; a null id has no class; rows that share an id share a class.
-    """
+def _classes(docs: DataFrame, options: DartOptions) -> tuple[DataFrame, DataFrame]:
+    """Staged: every row signed; and for every print that a text has, its component and the smallest id of that."""
     every = staged(signed_texts(docs, options), "dart-signed")
-    full = every.where("n > 0 AND doc_id IS NOT NULL")
-    prints = ["n", "print_a", "print_b"]
-    reps = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = staged(reps, "dart-reps")
+    reps = every.where("n > 0").groupBy(*PRINTS).agg(F.min("doc_id").alias("some_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "dart-reps")
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
     members = staged(entries.join(staged(shared, "dart-buckets"), "bucket"), "dart-members")
     star = staged(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "dart-star")
-    links = _verified(_likely(star, reps, options), docs, options)
+    links = _verified(_likely(star, reps, options), reps, docs, options)
     first = components(links)
     named = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "size", "rep", F.coalesce("component", "rep").alias("label"))
     named = staged(named, "dart-named")
@@ -330,19 +362,58 @@ def near_duplicates(docs: DataFrame, options: DartOptions = DartOptions()) -> Da
     one, two = small.toDF("bucket", "a", "label_a"), small.toDF("bucket", "b", "label_b")
     across = one.join(two, "bucket").where("a < b AND label_a <> label_b").select("a", "b").distinct()
     across = across.join(star, ["a", "b"], "left_anti")
-    more = _verified(_likely(across, reps, options), docs, options)
+    more = _verified(_likely(across, reps, options), reps, docs, options)
     large = rest.where(F.col("size") > options.small)
     labels = large.select("rep", "label").distinct()
     tiled = _arena_links(large.select("bucket", "rep"), reps, labels, docs, options)
     ends = [found.select("a", "b") for found in (links, more, tiled)]
     groups = components(ends[0].unionByName(ends[1]).unionByName(ends[2])).withColumnRenamed("id", "rep")
-    classes = staged(reps.select(*prints, "rep").join(groups, "rep", "left").select(*prints, F.coalesce("component", "rep").alias("class_id")), "dart-classes")
-    linked = full.select("doc_id", *prints).join(classes, prints).select("doc_id", "class_id", F.col("n").alias("n_cells"))
-    alone = every.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_cells"))
+    parts = staged(reps.select(*PRINTS, "rep", "some_id").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "dart-parts")
+    least = parts.groupBy("component").agg(F.min("some_id").alias("class_id"))
+    return every, staged(parts.join(least, "component").select(*PRINTS, "component", "class_id"), "dart-classes")
+
+
+def near_duplicates(docs: DataFrame, options: DartOptions = DartOptions()) -> DataFrame:
+    """(doc_id, class_id, n_cells) of every row: the class is the smallest id reachable by links.
+
+    Texts with equal cells are one representative; copies are never paired. In each bucket of a band
+    every representative is compared with the smallest one first, and the verified links are joined to
+    components. Then all pairs of a bucket that still lie in different components are compared: those
+    of small buckets as rows, whose number is bounded by the bucket's size, those of large ones in
+    tiles. So no link between different texts is lost to the shortcut. Rows go by their text, not by their id:
+    rows that repeat share a class, several texts of one id have classes of their own, and a row without an id has
+    the class of its text, null if no row of the class has an id. A text without words (null, empty, blank) is a
+    class of its own. An empty table gives no rows; a text of any length is hashed whole by one task; only doc_id
+    and text are read.
+    """
+    every, classes = _classes(docs, options)
+    linked = every.where("n > 0").select("doc_id", *PRINTS).join(classes, PRINTS).select("doc_id", "class_id", F.col("n").alias("n_cells"))
+    alone = every.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_cells"))
     return linked.unionByName(alone)
 
 
 def first_of_each(docs: DataFrame, options: DartOptions = DartOptions()) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its class; rows with a null id stay."""
-    gone = near_duplicates(docs, options).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(staged(gone, "dart-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of `docs` for every class, in all its columns: that with the smallest id, a null id being last.
+
+    Of several texts of that id in the class the one with the smallest digest stays, and of rows that repeat it
+    one. Rows without words all stay. Only rows that repeat a text that stays are shuffled for it.
+    """
+    every, classes = _classes(docs, options)
+    own = [F.col("doc_id").isNull().alias("id_null"), F.coalesce("doc_id", F.lit(0)).alias("id_key"), F.col("mark")]
+    rows = every.where("n > 0").join(classes, PRINTS).groupBy("component", *own).count()
+    rows = staged(rows, "dart-texts")
+    key = ["id_null", "id_key", "mark"]
+    first = rows.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    rows = rows.join(first, "component").withColumn("stays", F.struct(*key) == F.col("first"))
+    p = fresh_prefix(docs.columns)
+    renamed = [F.col(c).alias(f"{p}{c}") for c in key]
+    on = [f"{p}{c}" for c in key]
+    gone = staged(rows.where("NOT stays").select(*renamed), "dart-gone")
+    repeated = staged(rows.where("stays AND count > 1").select(*renamed), "dart-repeated")
+    keyed = docs.withColumns({
+        f"{p}id_null": F.col("doc_id").isNull(), f"{p}id_key": F.coalesce("doc_id", F.lit(0)), f"{p}mark": _mark(F.col("text")),
+    }).join(gone, on, "left_anti")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, on, "left_semi").dropDuplicates(on)
+        keyed = keyed.join(repeated, on, "left_anti").unionByName(once)
+    return keyed.select(*docs.columns)

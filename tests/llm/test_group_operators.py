@@ -191,3 +191,33 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_texts_of_one_id_and_rows_without_one(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = a.replace(a.split()[40], "zz", 1)
+    rows = [(3, a, "x", "s"), (5, a, "x", "s"), (5, b, "x", "s"), (None, a, "x", "s"), (None, a, "x", "s"), (None, c, "x", "s"),
+            (None, c, "x", "s"), (7, near, "x", "s"), (7, b + " ", "x", "t"), (8, "", "x", "s"), (8, "", "x", "s"), (None, None, "x", "s")]
+    docs = documents(spark, rows, extra=True)
+    classes = Counter((r.doc_id, r.class_id) for r in dart.near_duplicates(docs).collect())
+    assert classes == Counter({(3, 3): 1, (5, 3): 1, (5, 5): 1, (None, 3): 2, (None, None): 3, (7, 3): 1, (7, 5): 1, (8, 8): 2})
+    kept = dart.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (5, b), (None, c), (8, ""), (8, ""), (None, None)])
+
+
+def test_an_arena_with_outliers(spark):
+    """A large component, smaller ones and single texts that share words: links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    words = prose(11, 60).split()
+    texts = []
+    for i in range(90):
+        changed = list(words)
+        for at in rng.choice(60, 1 if i < 60 else int(rng.integers(2, 20)), replace=False):
+            changed[at] = f"q{i}x{at}"
+        texts.append(" ".join(changed))
+    docs = documents(spark, [(i, t, "x", "s") for i, t in enumerate(texts)])
+    plain = {r.doc_id: r.class_id for r in dart.near_duplicates(docs, dart.DartOptions(small=10_000)).collect()}
+    for tile_rows in (3, 64):
+        tiled = dart.near_duplicates(docs, dart.DartOptions(small=1, tile_rows=tile_rows)).collect()
+        assert {r.doc_id: r.class_id for r in tiled} == plain
