@@ -197,14 +197,12 @@ def _cell_rows(texts: DataFrame, options: DartOptions) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, bounds = bytes_of(batch.column("text"))
         out: list[bytes] = []
-        prints = []
         for a, b in _chunks(bounds):
             cells, borders = cells_of(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], options.shingle)
             out += [cells[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:], strict=True)]
-            prints.append(np.stack(_prints(cells, borders)))
-        return pa.RecordBatch.from_arrays([*map(pa.array, np.hstack(prints)), pa.array(out, pa.binary())], names=[*PRINTS, "cells"])
+        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "cells"])
 
-    return map_batches(texts, work, "n bigint, print_a bigint, print_b bigint, cells binary")
+    return map_batches(texts, work, "rep bigint, cells binary")
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -252,21 +250,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, options: DartO
     return staged(map_batches(rows.select("a", "b", "cells_a", "cells_b"), work, "a bigint, b bigint, similarity double"), "dart-links")
 
 
-def _key(doc_id: Column) -> list[Column]:
-    """An id as columns that are never null, for joins."""
-    return [F.coalesce(doc_id, F.lit(0)).alias("id_key"), doc_id.isNull().alias("id_null")]
+#: What tells the texts of a table apart, in columns that are never null: an id, whether it is none, and the text's mark.
+KEY = ["id_null", "id_key", "mark"]
+
+
+def _key(mark: Column) -> list[Column]:
+    return [F.col("doc_id").isNull().alias("id_null"), F.coalesce("doc_id", F.lit(0)).alias("id_key"), mark.alias("mark")]
 
 
 def _cells_for(ids: DataFrame, reps: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
     """(rep, cells) of the representatives named in `ids` (rep), staged.
 
-    A representative's text is one of those of its id; the print tells which.
+    A text that repeats is dropped by the key it was joined by, which takes no further shuffle.
     """
-    wanted = staged(reps.join(ids, "rep", "left_semi").select("rep", *PRINTS, *_key(F.col("some_id"))), "dart-wanted")
-    texts = docs.select(*_key(F.col("doc_id")), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(wanted.select("id_key", "id_null"), ["id_key", "id_null"], "left_semi").select("text")
-    found = _cell_rows(texts, options).join(wanted.select("rep", *PRINTS), PRINTS)
-    return staged(found.select("rep", "cells").dropDuplicates(["rep"]), "dart-cells")
+    wanted = staged(reps.join(ids, "rep", "left_semi").select("rep", "some.*"), "dart-wanted")
+    texts = docs.select(*_key(_mark(F.col("text"))), F.coalesce("text", F.lit("")).alias("text")).join(wanted, KEY).dropDuplicates(KEY)
+    return staged(_cell_rows(texts.select("rep", "text"), options), "dart-cells")
 
 
 def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
@@ -346,7 +345,7 @@ def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: D
 def _classes(docs: DataFrame, options: DartOptions) -> tuple[DataFrame, DataFrame]:
     """Staged: every row signed; and for every print that a text has, its component and the smallest id of that."""
     every = staged(signed_texts(docs, options), "dart-signed")
-    reps = every.where("n > 0").groupBy(*PRINTS).agg(F.min("doc_id").alias("some_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = every.where("n > 0").groupBy(*PRINTS).agg(F.min(F.struct(*_key(F.col("mark")))).alias("some"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "dart-reps")
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
@@ -368,8 +367,10 @@ def _classes(docs: DataFrame, options: DartOptions) -> tuple[DataFrame, DataFram
     tiled = _arena_links(large.select("bucket", "rep"), reps, labels, docs, options)
     ends = [found.select("a", "b") for found in (links, more, tiled)]
     groups = components(ends[0].unionByName(ends[1]).unionByName(ends[2])).withColumnRenamed("id", "rep")
-    parts = staged(reps.select(*PRINTS, "rep", "some_id").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "dart-parts")
-    least = parts.groupBy("component").agg(F.min("some_id").alias("class_id"))
+    least_id = F.when(~F.col("some.id_null"), F.col("some.id_key")).alias("least_id")
+    parts = reps.select(*PRINTS, "rep", least_id).join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = staged(parts, "dart-parts")
+    least = parts.groupBy("component").agg(F.min("least_id").alias("class_id"))
     return every, staged(parts.join(least, "component").select(*PRINTS, "component", "class_id"), "dart-classes")
 
 
@@ -399,20 +400,15 @@ def first_of_each(docs: DataFrame, options: DartOptions = DartOptions()) -> Data
     one. Rows without words all stay. Only rows that repeat a text that stays are shuffled for it.
     """
     every, classes = _classes(docs, options)
-    own = [F.col("doc_id").isNull().alias("id_null"), F.coalesce("doc_id", F.lit(0)).alias("id_key"), F.col("mark")]
-    rows = every.where("n > 0").join(classes, PRINTS).groupBy("component", *own).count()
-    rows = staged(rows, "dart-texts")
-    key = ["id_null", "id_key", "mark"]
-    first = rows.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
-    rows = rows.join(first, "component").withColumn("stays", F.struct(*key) == F.col("first"))
+    rows = staged(every.where("n > 0").join(classes, PRINTS).groupBy("component", *_key(F.col("mark"))).count(), "dart-texts")
+    first = rows.groupBy("component").agg(F.min(F.struct(*KEY)).alias("first"))
+    rows = rows.join(first, "component").withColumn("stays", F.struct(*KEY) == F.col("first"))
     p = fresh_prefix(docs.columns)
-    renamed = [F.col(c).alias(f"{p}{c}") for c in key]
-    on = [f"{p}{c}" for c in key]
+    renamed = [F.col(c).alias(f"{p}{c}") for c in KEY]
+    on = [f"{p}{c}" for c in KEY]
     gone = staged(rows.where("NOT stays").select(*renamed), "dart-gone")
     repeated = staged(rows.where("stays AND count > 1").select(*renamed), "dart-repeated")
-    keyed = docs.withColumns({
-        f"{p}id_null": F.col("doc_id").isNull(), f"{p}id_key": F.coalesce("doc_id", F.lit(0)), f"{p}mark": _mark(F.col("text")),
-    }).join(gone, on, "left_anti")
+    keyed = docs.select("*", *[c.alias(name) for c, name in zip(_key(_mark(F.col("text"))), on, strict=True)]).join(gone, on, "left_anti")
     if not repeated.isEmpty():
         once = keyed.join(repeated, on, "left_semi").dropDuplicates(on)
         keyed = keyed.join(repeated, on, "left_anti").unionByName(once)

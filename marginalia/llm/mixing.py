@@ -109,9 +109,9 @@ def _plan(docs: DataFrame, options: MixOptions, row: Column) -> tuple[DataFrame,
 
 
 def _placed(docs: DataFrame, options: MixOptions, row: Column) -> DataFrame:
-    """Every row's place in its source's order (draw, doc_id, size, row) and the words that are taken of it."""
+    """Every row's place in its source's order (draw, doc_id, row) and the words that are taken of it."""
     rows, begins = _plan(docs, options, row)
-    order = W.partitionBy("k", "slice").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("k", "slice").orderBy("draw", "doc_id", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.join(begins, ["k", "slice"]).withColumn("end", F.col("begin") + F.sum("size").over(order))
     extra = F.least("size", F.greatest(F.lit(0), F.col("extra") - (F.col("end") - F.col("size"))))
     return placed.withColumn("taken", F.col("whole") * F.col("size") + extra)
@@ -141,7 +141,7 @@ def mix_rows(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     p = fresh_prefix(docs.columns)
     numbered = staged(docs.withColumn(f"{p}row", F.monotonically_increasing_id()), "mix-rows")
     taken = _placed(numbered, options, F.col(f"{p}row"))
-    at = F.struct("draw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size", "row")
+    at = F.struct("draw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row")
     divisor = F.greatest("size", F.lit(1))
     part = F.col("taken") - F.col("whole") * F.col("size")
     border = staged(
@@ -153,10 +153,7 @@ def mix_rows(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
         ),
         "mix-borders",
     )
-    here = F.struct(
-        _draw(options.seed).alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
-        word_count(F.col("text")).alias("size"), F.col(f"{p}row").alias("row"),
-    )
+    here = F.struct(_draw(options.seed).alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col(f"{p}row").alias("row"))
     joined = numbered.withColumn(f"{p}k", _key(F.col("source"))).join(border, f"{p}k").withColumn(f"{p}here", here)
     at_cut = F.coalesce(F.col(f"{p}here") == F.col(f"{p}cut.at"), F.lit(False))
     above = F.coalesce(F.col(f"{p}here") <= F.col(f"{p}last"), F.lit(False))
