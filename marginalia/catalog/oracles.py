@@ -18,7 +18,7 @@ from marginalia.catalog.queries import (
 )
 from marginalia.functions.strings import WHITESPACE
 from marginalia.operators.state import model_fingerprint
-from marginalia.operators.vectors import HASH_DIM
+from marginalia.operators.vectors import HASH_DIM, MAX_TOKENS
 
 NL = "chr(10)"
 BLANK = f"'{WHITESPACE}'"
@@ -263,8 +263,12 @@ def flagship(threshold: float = 0.1, window: str = "SELECT key FROM papers", own
     return ",".join([f"own_texts AS (SELECT item_id AS key, {own} AS text FROM benchmark)", *FLAGSHIP_PARTS, f"win AS ({window})", PLACED.format(threshold=threshold)])
 
 
+FILE_KEY = """lpad(key::VARCHAR, 12, '0') || '_' || translate(substr(title, 1, 40), '/:*?"', '_____') || '.txt'"""
+
 ORACLES: dict[str, str] = {
-    "scan_text_corpus": f"WITH {PAPERS} SELECT url, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM corpus JOIN papers USING (key)",
+    "scan_text_corpus": f"WITH {PAPERS} SELECT {FILE_KEY} AS key, url, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM corpus JOIN papers USING (key)",
+    "insert_record_files": f"""WITH {PAPERS} SELECT {FILE_KEY} AS key, CASE WHEN lang = 'fr' THEN 'old ' ELSE '' END
+        || replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM corpus JOIN papers USING (key)""",
     "scan_name_list": f"WITH {PAPERS} SELECT * FROM (SELECT {strip('unnest(authors)')} AS name FROM papers) WHERE name <> ''",
     "render_records": f"WITH {PAPERS} SELECT * FROM corpus",
     "paper_key": f"""WITH {PAPERS} SELECT key, key || 'v1_' || translate(title, '/:*?"', '_____') || '.txt' AS candidate_key,
@@ -325,10 +329,14 @@ ORACLES: dict[str, str] = {
     "first_token_pool": f"WITH {TOKENS} SELECT key, {micro('list(x ORDER BY dim)')} AS vec FROM token_dims WHERE pos = 0 GROUP BY key",
     "embed": f"WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')} SELECT key, {micro('vec')} AS vec FROM v",
     "embed_encoder": f"WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')} SELECT key, {micro('vec')} AS vec FROM v",
+    "embed_padded": f"""WITH {PAPERS}, {TEXTS}, cut AS (SELECT key, array_to_string(({words("text")})[1:{MAX_TOKENS}], ' ') AS text FROM texts),
+        {vectors_of('v', 'cut')} SELECT key, len({words("text")})::INT AS n_tokens, {micro('vec')} AS vec FROM v JOIN cut USING (key)""",
     "attach_records": f"WITH {REPORTS} SELECT key, run_date, section, round(score, 6) AS score, rank, title, authors, abstract, url, date FROM recs",
     "render_entries": f"WITH {REPORTS} SELECT run_date, section, rank, entry || {NL} || {NL} || '---' || {NL} || {NL} AS entry FROM entries",
     "assemble_report": f"WITH {REPORTS} SELECT run_date, md FROM reports",
     "report_sink": f"WITH {REPORTS} SELECT run_date, md FROM reports",
+    "report_lines": f"""WITH {REPORTS}, whole AS (SELECT run_date, string_split(substr(md, 1, length(md) - 1), {NL}) AS lines FROM reports)
+        SELECT run_date, generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS line FROM whole""",
     "split_sections": f"""WITH {REPORTS} SELECT run_date,
         CASE WHEN two_sections THEN {strip(f"substr(priority_md, {len('## Priority (whitelist authors)') + 1})")} ELSE '' END AS priority,
         CASE WHEN two_sections THEN {strip(f"substr(other_md, {len('## Other recommendations') + 1})")} ELSE md END AS other
@@ -378,6 +386,7 @@ ORACLES: dict[str, str] = {
     "vector_store": f"""WITH {PAPERS}, {TEXTS}, {vectors_of('v', 'texts')}
         SELECT key, md5(content) AS content_hash, '{FINGERPRINT}' AS fingerprint, {micro('list_transform(vec, lambda y: y::FLOAT)')} AS vec FROM v JOIN corpus USING (key)""",
     "recommend": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
+    "recommend_directory": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score, {FILE_KEY} AS key) FROM recs",
     "recommend_duplicates": f"WITH {flagship()} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "recommend_window": f"WITH {flagship(0.0, NEWEST_DAY)} SELECT * REPLACE (round(score, 6) AS score) FROM recs",
     "daily_job": f"""WITH {flagship(own=f"'b [SEP] ' || {strip('text')}")}, entries AS (SELECT *, '2024-02-01' AS run_date, {ENTRY} AS entry FROM recs), {MD}

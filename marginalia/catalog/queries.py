@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import fixtures as fx
 from marginalia.functions import strings as S
-from marginalia.operators import authors, cards, select, similarity, state, text, vectors
+from marginalia.operators import authors, cards, report, select, similarity, state, text, vectors
 from marginalia.options import ModelOptions, RecommendOptions
 from marginalia.plans.daily import daily_job as run_daily
 from marginalia.plans.daily import read_state
 from marginalia.plans.daily import vector_store as daily_vectors
 from marginalia.plans.recommend import daily_report
 from marginalia.plans.recommend import recommend as recommend_plan
+from marginalia.plans.recommend import recommend_records
 from marginalia.session import scratch_path
 from marginalia.sources import files, tables
 from marginalia.sources import papers as records
+from marginalia.sources.records import insert_records, write_records
 from marginalia.sources.vector_store import VectorStore, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +53,42 @@ def stamp(column: str):
 # Sources and sinks
 
 
+def _record_files(spark, sf_dir):
+    """(key, content) of the papers under file names, which sort as the numbers of the papers do."""
+    title = F.substring("title", 1, 40)
+    named = fx.papers(spark, sf_dir).withColumn("key", records.paper_key(F.lpad(F.col("key").cast("string"), 12, "0"), title))
+    return records.render_records(named, keep=("categories",))
+
+
 @query
 def scan_text_corpus(spark, sf_dir):
+    """One file per record, named by its key, and read back."""
     path = scratch_path(spark, "corpus")
-    files.write_text_corpus(fx.corpus(spark, sf_dir), path)
-    scanned = files.scan_text_corpus(spark, path)
-    return scanned.select(S.line_field(F.col("content"), "URL:").alias("url"), "content")
+    write_records(_record_files(spark, sf_dir), path, F.col("content"))
+    return files.scan_text_corpus(spark, path).select("key", S.line_field(F.col("content"), "URL:").alias("url"), "content")
+
+
+@query
+def insert_record_files(spark, sf_dir):
+    """French papers in an older wording first, which inserting all papers leaves alone."""
+    path = scratch_path(spark, "inserted")
+    corpus = _record_files(spark, sf_dir)
+    french = corpus.where(F.array_contains("categories", "fr")).withColumn("content", F.concat(F.lit("old "), "content"))
+    for batch in (french, corpus):
+        insert_records(batch, path, F.col("content"))
+    return files.scan_text_corpus(spark, path).select("key", "content")
+
+
+@query
+def recommend_directory(spark, sf_dir):
+    """From a directory of record files to the best of each section."""
+    path = scratch_path(spark, "candidates")
+    write_records(_record_files(spark, sf_dir), path, F.col("content"))
+    found = recommend_records(
+        files.scan_text_corpus(spark, path), fx.encode(fx.own_texts(spark, sf_dir)),
+        fx.black_names(spark, sf_dir), fx.white_names(spark, sf_dir), fx.encode, ALL_DAYS,
+    )
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query
@@ -375,6 +407,33 @@ def embed_encoder(spark, sf_dir):
     return embedded.select("key", fx.micro(F.col("vec")).alias("vec"))
 
 
+def hashing_model_factory(dim: int = vectors.HASH_DIM):
+    """The hashing encoder as a tokenizer, whose ids are the buckets of words, and a forward pass over padded ids."""
+
+    def factory():
+        from hashlib import md5
+
+        import numpy as np
+
+        def tokenize(batch):
+            return [[int(md5(word.encode()).hexdigest()[:8], 16) % dim for word in item.lower().split()] for item in batch]
+
+        def forward(ids, mask):
+            rows = np.repeat(np.arange(len(ids)), mask.sum(axis=1))
+            return np.bincount(rows * dim + ids[mask > 0], minlength=len(ids) * dim).reshape(len(ids), dim)
+
+        return tokenize, forward
+
+    return factory
+
+
+@query
+def embed_padded(spark, sf_dir):
+    """Texts cut to 512 tokens, in batches of like length."""
+    embedded = vectors.embed_padded(text.compose_text(fx.corpus(spark, sf_dir)), hashing_model_factory())
+    return embedded.select("key", "n_tokens", fx.micro(F.col("vec")).alias("vec"))
+
+
 # Reports
 
 
@@ -402,6 +461,14 @@ def report_sink(spark, sf_dir):
     return files.scan_reports(spark, path).select("run_date", "md")
 
 
+@query
+def report_lines(spark, sf_dir):
+    """Reports written in order without a value per day, and read back line by line."""
+    path = scratch_path(spark, "report-parts")
+    files.report_parts_sink(report.ordered_chunks(fx.entries(spark, sf_dir)), path)
+    return files.scan_report_lines(spark, path)
+
+
 @query
 def split_sections(spark, sf_dir):
     return cards.split_sections(fx.reports(spark, sf_dir)).select("run_date", "priority", "other")

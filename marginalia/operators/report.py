@@ -65,3 +65,24 @@ def assemble_report(entries: DataFrame) -> DataFrame:
         return F.when(F.size(name) > 0, text).otherwise(F.lit(""))
 
     return grouped.select("run_date", F.concat(*[section(name) for name in SECTION_HEADERS]).alias("md"))
+
+
+def ordered_chunks(entries: DataFrame) -> DataFrame:
+    """(run_date, section, rank, entry) to (run_date, section_no, rank, chunk): the same text, an entry a row.
+
+    The chunks of a day, in order, are what `assemble_report` makes of it: the first entry of a section carries the
+    headers and the last one the closing line break. Where a section begins and ends is a small aggregate, so
+    no day is ever one value or one task.
+    """
+    names = list(SECTION_HEADERS)
+    known = entries.where(F.col("section").isin(names))
+    ends = staged(known.groupBy("run_date", "section").agg(F.min("rank").alias("_first"), F.max("rank").alias("_last")), "section-ends")
+    header = F.lit("")
+    number = F.lit(None).cast("int")
+    for at, name in enumerate(names):
+        header = F.when(F.col("section") == name, F.lit(f"{SECTION_HEADERS[name]}\n\n{TOP_HEADER}\n\n")).otherwise(header)
+        number = F.when(F.col("section") == name, F.lit(at)).otherwise(number)
+    opening = F.when(F.col("rank") == F.col("_first"), header).otherwise(F.lit(""))
+    closing = F.when(F.col("rank") == F.col("_last"), F.lit("\n")).otherwise(F.lit(""))
+    chunk = F.concat(opening, F.col("entry"), closing)
+    return known.join(ends, ["run_date", "section"]).select("run_date", number.alias("section_no"), "rank", chunk.alias("chunk"))

@@ -10,13 +10,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from marginalia.functions import strings as S
 from marginalia.functions import vectors as V
 
 MASK_FLOOR = 1e-9  # fixed value: smallest divisor of a masked mean
 BATCH_TEXTS = 16
+MAX_TOKENS = 512
+#: Texts that are sorted by length together.
+POOL_TEXTS = 1024
 HASH_DIM = 64
 
 Encoder = Callable[[list[str]], "object"]
@@ -110,6 +113,70 @@ def embed(
     return texts.mapInArrow(encode, StructType([*kept.schema.fields, StructField("vec", ArrayType(DoubleType()))]))
 
 
+#: From a list of texts to their token ids; from a padded matrix of ids and its mask to a matrix of vectors.
+Tokenize = Callable[[list[str]], "list[list[int]]"]
+Forward = Callable[["object", "object"], "object"]
+
+
+def embed_padded(
+    texts: DataFrame,
+    model_factory: Callable[[], tuple[Tokenize, Forward]],
+    max_tokens: int = MAX_TOKENS,
+    batch_size: int = BATCH_TEXTS,
+    pool_texts: int = POOL_TEXTS,
+    encoder_id: str | None = None,
+) -> DataFrame:
+    """Put `vec`, scaled to unit length, `n_tokens` and `n_padded` in place of `text`; other columns pass through.
+
+    For encoders that pad: texts are cut to `max_tokens` tokens, and of every `pool_texts` of a partition those
+    of like length share a batch, which is padded to its own longest text only. Rows come out in the order
+    in which they came in. `n_tokens` counts the tokens used and `n_padded` the length of the batch. `model_factory`
+    runs on the executor, as for `embed`, and returns the tokenizer and the forward pass, which must not let
+    masked places matter. A text without tokens is one padded place.
+    """
+    kept = texts.drop("text")
+    names = kept.columns
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        model = None
+        for whole in batches:
+            if model is None and encoder_id is not None:
+                from marginalia.operators import vectors as worker
+
+                if encoder_id not in worker.LOADED:
+                    worker.LOADED.clear()
+                    worker.LOADED[encoder_id] = model_factory()
+                model = worker.LOADED[encoder_id]
+            tokenize, forward = model = model or model_factory()
+            for at in range(0, whole.num_rows, pool_texts):
+                pool = whole.slice(at, pool_texts)
+                ids = [row[:max_tokens] for row in tokenize(pool.column("text").to_pylist())]
+                sizes = np.array([len(row) for row in ids], dtype=np.int32)
+                by_length = np.argsort(sizes, kind="stable")
+                padded, vectors = np.zeros(len(ids), dtype=np.int32), [None] * len(ids)
+                for start in range(0, len(ids), batch_size):
+                    places = by_length[start : start + batch_size]
+                    width = max(1, int(sizes[places[-1]]))
+                    matrix = np.zeros((len(places), width), dtype=np.int64)
+                    mask = np.arange(width) < sizes[places][:, None]
+                    matrix[mask] = [token for place in places for token in ids[place]]
+                    made = np.asarray(forward(matrix, mask.astype(np.int64)), dtype=np.float64)
+                    made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                    padded[places] = width
+                    for place, vector in zip(places.tolist(), made, strict=True):
+                        vectors[place] = vector
+                vec = pa.array(vectors, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pool.column(c) for c in names), vec, pa.array(sizes), pa.array(padded)], names=[*names, "vec", "n_tokens", "n_padded"]
+                )
+
+    more = [StructField("vec", ArrayType(DoubleType())), StructField("n_tokens", IntegerType()), StructField("n_padded", IntegerType())]
+    return texts.mapInArrow(encode, StructType([*kept.schema.fields, *more]))
+
+
 def hashing_vectors(texts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """Put `vec` in place of `text` with a model-free encoder made of built-in expressions.
 

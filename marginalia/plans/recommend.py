@@ -39,13 +39,37 @@ def recommend(
     # Of several versions of a paper the latest counts, as in a table that is written by key.
     recent = latest_by_key(recent, "key", F.struct("published", "title", "abstract", "url"))
     routed = route_priority(render_records(recent), black, white, headers=render_headers(recent))
+    best = _best(routed, my_vectors, encode, options)
+    return _cards(render_records(recent.join(best, "key"), keep=("section", "rank", "score")))
+
+
+def recommend_records(
+    corpus: DataFrame,
+    my_vectors: DataFrame,
+    black: DataFrame,
+    white: DataFrame,
+    encode: Callable[[DataFrame], DataFrame],
+    options: RecommendOptions = RecommendOptions(),
+) -> DataFrame:
+    """The same over labelled text records (key, content), such as a scanned directory of candidates.
+
+    The directory is the window, so neither categories nor days are looked at; keys are file names.
+    """
+    routed = route_priority(corpus.select("key", "content"), black, white)
+    best = _best(routed, my_vectors, encode, options)
+    return _cards(corpus.select("key", "content").join(best, "key"))
+
+
+def _best(routed: DataFrame, my_vectors: DataFrame, encode: Callable[[DataFrame], DataFrame], options: RecommendOptions) -> DataFrame:
+    """(section, rank, key, score) of the top N of each section."""
     scored = score_candidates(encode(compose_text(routed)), my_vectors)
     best = top_n_per_section(score_threshold(scored, options.threshold), options.top_n)
-    # Every key of `best` comes from `recent`, and there are at most SECTIONS x top_n of them.
-    if SECTIONS * options.top_n <= BROADCAST_ROWS:
-        best = F.broadcast(best)
-    won = parse_records(render_records(recent.join(best, "key"), keep=("section", "rank", "score")))
-    return won.select("section", "rank", "key", "score", "title", "authors", "abstract", "url", "date")
+    # Every key of `best` comes from the papers, and there are at most SECTIONS x top_n of them.
+    return F.broadcast(best) if SECTIONS * options.top_n <= BROADCAST_ROWS else best
+
+
+def _cards(won: DataFrame) -> DataFrame:
+    return parse_records(won).select("section", "rank", "key", "score", "title", "authors", "abstract", "url", "date")
 
 
 def daily_report(recs: DataFrame, run_date: Column) -> DataFrame:

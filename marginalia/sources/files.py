@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import strings as S
@@ -65,6 +65,46 @@ def report_sink(reports: DataFrame, path: str) -> None:
     )
 
 
+def report_parts_sink(chunks: DataFrame, path: str, days: DataFrame | None = None) -> None:
+    """Write (run_date, section_no, rank, chunk) as one folder per day, whose files in order of name are the report.
+
+    The chunks are dealt to tasks by ranges and sorted there, so a day may be any number of files. `days`
+    (run_date) names days that are written although they may have no chunk; a rerun replaces only its own days.
+    """
+    order = ["run_date", "section_no", "rank"]
+    rows = chunks.select(F.col("run_date").cast("string").alias("run_date"), "section_no", "rank", "chunk")
+    if days is not None:
+        empty = days.select(F.col("run_date").cast("string").alias("run_date")).distinct()
+        empty = empty.join(rows.select("run_date").distinct(), "run_date", "left_anti")
+        rows = rows.unionByName(empty.withColumn("chunk", F.lit("")), allowMissingColumns=True)
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    (
+        # The text writer adds the final line break of a chunk itself.
+        ordered.select(F.regexp_replace("chunk", r"\n\z", "").alias("value"), "run_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_date")
+        .text(path)
+    )
+
+
+def scan_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(run_date, line_no, line) of reports of any number of files, lines counted from 0 over a day's files.
+
+    Only the number of lines of each file meets in one place. A file is what one task wrote.
+    """
+    parts = (
+        spark.read.schema("value string, run_date string")
+        .text(path, wholetext=True)
+        .select("run_date", F.col("_metadata.file_name").alias("part"), F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("lines"))
+    )
+    earlier = Window.partitionBy("run_date").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.select("run_date", "part", F.size("lines").alias("n"))
+    starts = sizes.select("run_date", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    numbered = parts.join(starts, ["run_date", "part"]).select("run_date", "start", F.posexplode("lines").alias("pos", "line"))
+    return numbered.select("run_date", (F.col("start") + F.col("pos")).alias("line_no"), "line")
+
+
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports as (run_date STRING, md, modified); the date stays as it is spelled."""
     return (
