@@ -343,6 +343,7 @@ ORACLES: dict[str, str] = {
         FROM reports JOIN md_parts USING (run_date)""",
     "count_entries": f"WITH {REPORTS}, {COUNTS} SELECT * FROM counts",
     "split_entries": f"WITH {REPORTS}, {SHOWN} SELECT run_date, section, pos, {strip('entry')} AS entry FROM shown",
+    "split_line_entries": f"""WITH {REPORTS}, {SHOWN} SELECT run_date, section, pos::INT AS pos, {strip('entry')} AS entry FROM shown""",
     "parse_entries": f"""WITH {REPORTS}, {SHOWN} SELECT run_date, section, pos, {LINK_TITLE} AS title, {LINK_URL} AS url,
         authors, date, printf('%.4f', score)::DOUBLE AS score, abstract FROM shown""",
     "entry_links": f"WITH {REPORTS}, {SHOWN} SELECT run_date, section, pos, {LINK_TITLE} AS title, {LINK_URL} AS url FROM shown",

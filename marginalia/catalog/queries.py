@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import fixtures as fx
 from marginalia.functions import strings as S
-from marginalia.operators import authors, cards, report, select, similarity, state, text, vectors
+from marginalia.operators import authors, cards, lines, report, select, similarity, state, text, vectors
 from marginalia.options import ModelOptions, RecommendOptions
 from marginalia.plans.daily import daily_job as run_daily
 from marginalia.plans.daily import read_state
@@ -469,6 +469,14 @@ def report_lines(spark, sf_dir):
     return files.scan_report_lines(spark, path)
 
 
+@query
+def split_line_entries(spark, sf_dir):
+    """Entries found again line by line, from reports of which no day is one value."""
+    path = scratch_path(spark, "report-lines")
+    files.report_parts_sink(report.ordered_chunks(fx.entries(spark, sf_dir)), path)
+    return lines.split_line_entries(files.scan_report_lines(spark, path))
+
+
 @query
 def split_sections(spark, sf_dir):
     return cards.split_sections(fx.reports(spark, sf_dir)).select("run_date", "priority", "other")
