@@ -376,6 +376,9 @@ ORACLES: dict[str, str] = {
         WHERE url IN (SELECT 'http://h/pdf/' || doc_id || '.pdf' FROM labels WHERE quality = 1) GROUP BY run_date, section""",
     "changed_rows": f"""WITH {PAPERS}, {PREVIOUS} SELECT coalesce(p.key, c.key) AS key, CASE WHEN p.key IS NULL THEN 'new' WHEN c.key IS NULL THEN 'removed'
         WHEN p.content = c.content THEN 'unchanged' ELSE 'changed' END AS change FROM previous p FULL JOIN corpus c ON p.key = c.key""",
+    "changed_rows_localised": f"""WITH {PAPERS}, {PREVIOUS} SELECT coalesce(p.key, c.key) AS key, CASE WHEN p.key IS NULL THEN 'new' WHEN c.key IS NULL THEN 'removed'
+        WHEN p.content = c.content THEN 'unchanged' ELSE 'changed' END AS change FROM previous p FULL JOIN corpus c ON p.key = c.key""",
+    "poll_with_state": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "corpus_fingerprint": f"WITH {DOCS} {fingerprints('docs')}",
     "model_fingerprint": "SELECT vec_id AS key, 'older|adapters=False|base=|adapter=' AS fingerprint FROM embeddings WHERE label BETWEEN 1 AND 4",
     "rebuild_decision": f"""WITH {DOCS}, known AS (SELECT * FROM docs WHERE lang <> 'es' AND corpus_id NOT LIKE 'src1%'),

@@ -22,6 +22,7 @@ from marginalia.sources import files, tables
 from marginalia.sources import papers as records
 from marginalia.sources.records import insert_records, write_records
 from marginalia.sources.vector_store import VectorStore, refresh
+from marginalia.streaming.daily import poll_with_state as poll_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,6 +605,24 @@ def changed_rows(spark, sf_dir):
     return state.changed_rows(_previous_corpus(spark, sf_dir), fx.corpus(spark, sf_dir))
 
 
+@query
+def changed_rows_localised(spark, sf_dir):
+    return state.changed_rows_localised(_previous_corpus(spark, sf_dir), fx.corpus(spark, sf_dir))
+
+
+@query
+def poll_with_state(spark, sf_dir):
+    """Orders arrive in three polls, some of them again; the state of the stream tells which are known."""
+    folder = scratch_path(spark, "stream")
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("at"))
+    dear = F.col("o_totalprice") > 150_000
+    for batch in (orders.where(dear), orders.where(~dear), orders):
+        batch.write.mode("append").parquet(f"{folder}/inbox")
+        poll = (f"{folder}/inbox", ", ".join(f"{name} {kind}" for name, kind in orders.dtypes), f"{folder}/table", f"{folder}/checkpoint")
+        poll_stream(spark, *poll, time="at", delay="36500 days", key="o_orderkey").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 def _by_source(spark, sf_dir):
     docs = fx.documents(spark, sf_dir)
     return docs.select(F.col("source").alias("corpus_id"), F.col("text").alias("content"), "lang")

@@ -30,3 +30,24 @@ def poll_new_records(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def poll_with_state(
+    spark: SparkSession, inbox: str, schema: str, table: str, checkpoint: str, time: str, delay: str, key: str = "key"
+) -> StreamingQuery:
+    """The same for long-lived tables: keys are remembered as state that expires, and the table is not read.
+
+    `time` is the event time of a row. A key is known for `delay` after its first row, by the watermark; rows that
+    come later than that are too late and are left out, as are rows without a key. Files that were read and keys that
+    are known are in the checkpoint, and the table's files are committed with it, so a replay adds nothing.
+    """
+    rows = spark.readStream.schema(schema).parquet(inbox).where(F.col(key).isNotNull())
+    return (
+        rows.withWatermark(time, delay)
+        .dropDuplicatesWithinWatermark([key])
+        .writeStream.format("parquet")
+        .option("path", table)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
