@@ -200,9 +200,9 @@ def _cell_rows(texts: DataFrame, options: DartOptions) -> DataFrame:
         for a, b in _chunks(bounds):
             cells, borders = cells_of(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], options.shingle)
             out += [cells[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "cells"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(out, pa.binary())], names=[*KEY, "cells"])
 
-    return map_batches(texts, work, "rep bigint, cells binary")
+    return map_batches(texts, work, "id_null boolean, id_key bigint, mark string, cells binary")
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -261,11 +261,13 @@ def _key(mark: Column) -> list[Column]:
 def _cells_for(ids: DataFrame, reps: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
     """(rep, cells) of the representatives named in `ids` (rep), staged.
 
-    A text that repeats is dropped by the key it was joined by, which takes no further shuffle.
+    Texts are looked up by their ids alone, which are narrow enough to be broadcast for long; their cells are then
+    joined by the whole key, by which a text that repeats is dropped without a further shuffle.
     """
     wanted = staged(reps.join(ids, "rep", "left_semi").select("rep", "some.*"), "dart-wanted")
-    texts = docs.select(*_key(_mark(F.col("text"))), F.coalesce("text", F.lit("")).alias("text")).join(wanted, KEY).dropDuplicates(KEY)
-    return staged(_cell_rows(texts.select("rep", "text"), options), "dart-cells")
+    named = staged(wanted.select("id_null", "id_key"), "dart-ids")
+    texts = docs.select(*_key(_mark(F.col("text"))), F.coalesce("text", F.lit("")).alias("text")).join(named, ["id_null", "id_key"], "left_semi")
+    return staged(_cell_rows(texts, options).join(wanted, KEY).dropDuplicates(KEY).select("rep", "cells"), "dart-cells")
 
 
 def _arena_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, options: DartOptions) -> DataFrame:
@@ -402,13 +404,23 @@ def first_of_each(docs: DataFrame, options: DartOptions = DartOptions()) -> Data
     every, classes = _classes(docs, options)
     rows = staged(every.where("n > 0").join(classes, PRINTS).groupBy("component", *_key(F.col("mark"))).count(), "dart-texts")
     first = rows.groupBy("component").agg(F.min(F.struct(*KEY)).alias("first"))
-    rows = rows.join(first, "component").withColumn("stays", F.struct(*KEY) == F.col("first"))
+    rows = rows.join(first, "component").select(*KEY, "count", (F.struct(*KEY) == F.col("first")).alias("stays"))
+    blank = every.where("n = 0").select(*_key(F.col("mark"))).distinct()
+    rows = staged(rows.unionByName(blank.select("*", F.lit(0).cast("bigint").alias("count"), F.lit(True).alias("stays"))), "dart-stays")
+    # Most ids have one text, and ids alone are narrow; only ids of which some texts stay are told apart by text.
+    ids = rows.groupBy("id_null", "id_key").agg(F.max("stays").alias("some"))
     p = fresh_prefix(docs.columns)
-    renamed = [F.col(c).alias(f"{p}{c}") for c in KEY]
     on = [f"{p}{c}" for c in KEY]
-    gone = staged(rows.where("NOT stays").select(*renamed), "dart-gone")
-    repeated = staged(rows.where("stays AND count > 1").select(*renamed), "dart-repeated")
-    keyed = docs.select("*", *[c.alias(name) for c, name in zip(_key(_mark(F.col("text"))), on, strict=True)]).join(gone, on, "left_anti")
+
+    def named(found: DataFrame, name: str, many: int) -> DataFrame:
+        return staged(found.select(*[F.col(c).alias(n) for c, n in zip(KEY[:many], on, strict=False)]), name)
+
+    gone = named(ids.where("NOT some"), "dart-gone", 2)
+    partly = named(rows.where("NOT stays").join(ids.where("some"), ["id_null", "id_key"], "left_semi"), "dart-partly", 3)
+    repeated = named(rows.where("stays AND count > 1"), "dart-repeated", 3)
+    keyed = docs.select("*", *[c.alias(name) for c, name in zip(_key(_mark(F.col("text"))), on, strict=True)]).join(gone, on[:2], "left_anti")
+    if not partly.isEmpty():
+        keyed = keyed.join(partly, on, "left_anti")
     if not repeated.isEmpty():
         once = keyed.join(repeated, on, "left_semi").dropDuplicates(on)
         keyed = keyed.join(repeated, on, "left_anti").unionByName(once)
