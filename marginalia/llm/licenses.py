@@ -8,9 +8,11 @@ then start: one that lies inside an accepted detection is suppressed.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -114,6 +116,125 @@ STATEMENTS = (
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
 )
 
+#: Clauses of licence bodies and headers, as normalised words; label, keyword, pattern.
+CLAUSES = (
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission notice", r"(?:the above|this) copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "liable for any claim", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied"),
+    ("x11", "permission notice appear", r"both that copyright notice and this permission notice appear in supporting documentation"),
+    ("x11", "advertising or otherwise", r"shall not be used in advertising or otherwise to promote the sale use or other dealings .{0,120}?without prior written (?:authorization|permission)"),
+    ("mit-0", "permission is hereby granted", r"permission is hereby granted free of charge .{0,400}?to do so the software is provided as is"),
+    ("bsd", "binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,80}? nor the names of (?:its|their) contributors may be used to endorse or promote products .{0,60}?without specific prior written permission"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display .{0,80}?acknowledge?ment|advertising materials must display this copyright acknowledgement"),
+    ("bsd", "contributors be liable", r"in no event shall the (?:copyright (?:holder|owner)s?|regents) (?:or|and) contributors be liable for any direct indirect incidental"),
+    ("bsd", "contributors as is", r"this software is provided by the (?:copyright holders|regents) and contributors as is and any express or implied warranties"),
+    ("bsd-clear", "express or implied licen", r"no express or implied licen[cs]es to any party s patent rights are granted by this license"),
+    ("0bsd", "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("isc", "copyright notice and this permission notice appear", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "disclaims all warranties with regard", r"(?:isc|internet systems consortium) disclaims all warranties with regard to this software"),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software including all implied warranties"),
+    ("apache-2", "in compliance with the license", r"you may not use this file except in compliance with the license"),
+    ("apache-2", "as is basis", r"distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2", "grant of copyright license", r"grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual"),
+    ("apache-2", "grant of patent license", r"grant of patent license subject to the terms and conditions of this license"),
+    ("apache-2", "attribution notices", r"you must retain in the source form of any derivative works .{0,40}?all copyright patent trademark and attribution notices"),
+    ("apache-2", "notice text file", r"if the work includes a notice text file as part of its distribution then any derivative works .{0,400}?licen[cs]e"),
+    ("apache-2", "submission of contributions", r"submission of contributions unless you explicitly state otherwise .{0,200}?terms and conditions of this license"),
+    ("apache-1.1", "end user documentation", r"the end user documentation included with the redistribution if any must include the following acknowledge?ment"),
+    ("apache-1.1", "prior written permission", r"products derived from this software may not be called .{1,80}? without prior written permission"),
+    ("gpl", "redistribute it and or modify", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "without any warranty", r"in the hope that it will be useful but without any warranty without even the implied warranty"),
+    ("gpl", "copy of the gnu general public", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("gpl-2", "version 2 of the license", r"either version 2 of the license or at your option any later version"),
+    ("gpl-2", "version 2 of the license", r"general public license .{0,80}?version 2 of the license"),
+    ("gpl-3", "version 3 of the license", r"either version 3 of the license or at your option any later version"),
+    ("gpl-2", "terms and conditions for copying", r"(?:gnu )?general public license terms and conditions for copying distribution and modification"),
+    ("gpl-2", "permitted only in object code", r"this license .{0,400}?permitted only in object code or executable form"),
+    ("gpl-2", "derived from the program", r"work that you distribute or publish that in whole or in part contains or is derived from the program .{0,120}?this license"),
+    ("gpl-3", "tivoization", r"license .{0,200}?tivoization"),
+    ("gpl-3", "anti circumvention", r"covered work shall be deemed part of an effective technological measure .{0,60}?anti circumvention"),
+    ("gpl-3", "anti circumvention", r"protecting users legal rights from anti circumvention law .{0,60}?covered work"),
+    ("gpl-3", "installation information", r"installation information for a user product .{0,200}?covered work"),
+    ("gpl-3", "copyleft license", r"the gnu general public license is a free copyleft license for software"),
+    ("gpl", "freedom to share", r"the licenses for most software .{0,60}?are designed to take away your freedom to share"),
+    ("gpl", "as a special exception", r"as a special exception .{0,120}?permission to link(?:ing)? .{0,80}"),
+    ("lgpl", "redistribute it and or modify", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public license"),
+    ("lgpl-2.1", "work that uses the library", r"a program that contains no derivative of any portion of the library .{0,160}?is called a work that uses the library .{0,400}?licen[cs]e"),
+    ("lgpl-2.1", "version 2 1 of the license", r"either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "combined work", r"you may convey a combined work under terms of your choice that taken together effectively do not restrict"),
+    ("lgpl-3", "application that uses an interface", r"this license .{0,400}?application that uses an interface provided by the library"),
+    ("agpl-3", "affero", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3", "remotely through a computer network", r"modified version must prominently offer all users interacting with it remotely through a computer network .{0,200}?license"),
+    ("agpl-3", "network server software", r"license .{0,200}?cooperation with the community in the case of network server software"),
+    ("mpl-2", "mozilla public license", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "incompatible with secondary licenses", r"this source code form is incompatible with secondary licenses"),
+    ("mpl-2", "mpl was not distributed", r"if a copy of the mpl was not distributed with this file you can obtain one .{0,60}?(?:license|mozilla org mpl)"),
+    ("mpl-2", "larger work", r"you may create and distribute a larger work under terms of your choice provided that you also comply with the requirements of this license"),
+    ("mpl-1.1", "covered code", r"you must make covered code available in source code form under the terms of this license"),
+    ("mpl-1.1", "mozilla public license version 1 1", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2", "eclipse public license", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl-1", "agreement", r"the accompanying program is provided under the terms of this eclipse public license agreement"),
+    ("epl-2", "secondary license", r"exhibit a form of secondary licenses notice"),
+    ("epl-1", "commercial distributors", r"commercial distributors of software may accept certain responsibilities .{0,200}?liability"),
+    ("cpl-1", "common public license", r"the accompanying program is provided under the terms of this common public license"),
+    ("cddl-1", "common development and distribution", r"subject to the terms of the common development and distribution license"),
+    ("cddl-1", "covered software", r"any covered software that you distribute or otherwise make available in executable form must also be made available in source code form"),
+    ("cddl-1", "cddl header", r"cddl header start .{0,200}?license"),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented .{0,400}?altered source|permission is granted to anyone to use this software .{0,160}?origin of this software"),
+    ("zlib", "arising from the use of this software", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("bsl-1", "machine executable object code", r"the copyright notices in the software and this entire statement .{0,500}?machine executable object code"),
+    ("bsl-1", "boost software license", r"distributed under the boost software license version 1 0"),
+    ("bsl-1", "obtaining a copy of the software and accompanying documentation", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software .{0,200}?copyright"),
+    ("unlicense", "copyright laws", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest"),
+    ("unlicense", "detriment of our heirs", r"copyright .{0,200}?to the detriment of our heirs and successors"),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to public license"),
+    ("artistic-2", "artistic license", r"terms of the artistic license 2 0"),
+    ("artistic-1", "artistic control", r"the copyright holder .{0,200}?semblance of artistic control"),
+    ("artistic-2", "verbatim copies", r"everyone is permitted to copy and distribute verbatim copies of this license document .{0,200}?artistic"),
+    ("gfdl", "invariant sections", r"under the terms of the gnu free documentation license .{0,160}?invariant sections"),
+    ("gfdl", "cover texts", r"license .{0,240}?with no invariant sections no front cover texts and no back cover texts"),
+    ("ofl-1.1", "reserved font name", r"no modified version of the font software may use the reserved font names? .{0,120}?(?:permission|license)"),
+    ("ofl-1.1", "font software is licensed", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "sold by itself", r"neither the font software nor any of its individual components .{0,80}?may be sold by itself .{0,400}?license"),
+    ("cc-by-4", "creative commons attribution 4 0", r"this work is licensed under (?:a |the )?creative commons attribution 4 0 international"),
+    ("cc-by-sa", "creative commons attribution share", r"licensed under (?:a |the )?creative commons attribution share ?alike"),
+    ("cc-by-nc", "creative commons attribution non", r"licensed under (?:a |the )?creative commons attribution non ?commercial"),
+    ("cc-by-nd", "creative commons attribution no", r"licensed under (?:a |the )?creative commons attribution no ?deriv(?:ative|ative work)?s"),
+    ("cc0", "waiv", r"the person who associated a work .{0,80}?has dedicated the work to the public domain by waiving|affirmer hereby overtly fully permanently irrevocably and unconditionally waives .{0,120}?copyright"),
+    ("cc0", "waived all copyright", r"to the extent possible under law .{1,120}? waived all copyright and related or neighboring rights"),
+    ("cc-by", "exercising the licensed rights", r"by exercising the licensed rights defined below you accept and agree to be bound by the terms"),
+    ("cc-by-nc", "primarily intended for", r"noncommercial means not primarily intended for or directed towards commercial advantage .{0,200}?licen"),
+    ("cc-by-sa", "adapter s license", r"the adapter s license you apply must be a creative commons license with the same license elements"),
+    ("odbl", "open database license", r"this .{1,60}? is made available under the open database license"),
+    ("odbl", "produced work", r"publicly use a produced work you must include a notice .{0,240}?licen[cs]e"),
+    ("python-2", "python software foundation", r"this license agreement is between the python software foundation"),
+    ("python-2", "psf hereby grants", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project for use in the openssl toolkit .{0,200}?(?:permission|redistribut)"),
+    ("php-3", "php", r"this product includes php software freely available from .{0,200}?(?:permission|redistribut|licen)"),
+    ("ms-pl", "limitations in section 3", r"subject to the terms of this license including the license conditions and limitations in section 3"),
+    ("busl-1", "change date", r"effective on the change date .{0,240}?change license"),
+    ("busl-1", "production use", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1", "third parties as a service", r"if you make the functionality of the program or a modified version available to third parties as a service .{0,200}?license"),
+    ("elastic-2", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service .{0,240}?licen"),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?: version 1 [12])?"),
+    ("ncsa", "deal with the software", r"rights to use .{0,200}?to deal with the software without restriction .{0,200}?permission"),
+    ("postgresql", "without a written agreement", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("hpnd", "supporting documentation", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose .{0,240}?appear in supporting documentation"),
+    ("curl", "permission to use copy modify", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("libpng", "png reference library", r"the png reference library is supplied as is .{0,240}?(?:warrant|liab)"),
+    ("afl-3", "licensed under the academic", r"licensed under the academic free license version 3 0"),
+    ("proprietary", "reverse engineer", r"you may not (?:modify )?reverse engineer decompile or disassemble .{0,160}?(?:licen|permission)"),
+    ("proprietary", "written permission of the", r"without the (?:express|prior) written permission of the (?:copyright (?:owner|holder)|publisher|author)"),
+    ("proprietary", "non transferable", r"non exclusive non transferable (?:limited )?licen[cs]e to use"),
+    ("proprietary", "trade secret", r"contains (?:confidential information and )?trade secrets? .{0,160}?(?:copyright|permission)"),
+)
+
 #: Contexts in which a family's name becomes a signature; priority and confidence.
 NOTICE = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|shared|redistributed) under (?:the )?(?:terms of (?:the )?)?"
 CONTEXTS = (
@@ -149,26 +270,47 @@ def signature_rules() -> list[Rule]:
         for priority, confidence, context in CONTEXTS:
             keywords = _keywords(name_keywords if "{name}" in context else short_keywords)
             rules.append(Rule(label, keywords, priority, confidence, _compile(context.format(name=name, id=short))))
-    rules += [Rule(label, _keywords(keyword), 3, 0.9, _compile(pattern)) for label, keyword, pattern in STATEMENTS]
+    rules += [Rule(label, _keywords(keyword), 3, 0.9, _compile(pattern)) for label, keyword, pattern in (*STATEMENTS, *CLAUSES)]
     return sorted(rules, key=lambda r: -r.priority)
 
 
 _DROP = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: One of these occurs in every text that any rule can match.
 GATES = (b"licen", b"cc by nc", b" under ", b"public domain", b"rights reserved", b"proprietary", b"reproduction",
-         b"deal in the software", b"redistributions", b"without fee", b"altered source", b"unencumbered")
+         b"deal in the software", b"redistribut", b"without fee", b"altered source", b"unencumbered", b"warrant", b"liab", b"copyright",
+         b"permission", b"covered", b"commons", b"mozilla", b"documentation", b"or otherwise to promote", b"advertising materials", b"contributor")
 
 
 def words_of(data: bytes) -> list[bytes]:
     return data.lower().translate(_DROP).split()
 
 
+class Cover:
+    """Intervals, of which only those that lie in no other matter: by start, and so by end too."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start) - 1
+        return at >= 0 and self.ends[at] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Take in an interval that none holds, in place of those that it holds."""
+        low, high = bisect.bisect_left(self.starts, start), bisect.bisect_right(self.ends, end)
+        self.starts[low : max(low, high)] = [start]
+        self.ends[low : max(low, high)] = [end]
+
+
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Keep detections by priority, length and start; one inside a kept detection is suppressed."""
     kept: list[tuple[int, int, Rule]] = []
+    cover = Cover()
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(a <= start and end <= b for a, b, _ in kept):
+        if not cover.holds(start, end):
             kept.append((start, end, rule))
+            cover.add(start, end)
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 
@@ -191,17 +333,25 @@ def detections(line: bytes, rules: dict[tuple[bytes, ...], list[Rule]]) -> list[
     return resolve(found)
 
 
+def word_index(line: bytes, places: list[int]) -> list[int]:
+    """How many words begin before each byte of a normalised text, in one pass over it."""
+    if not places:
+        return []
+    return np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), places).tolist()
+
+
 def base_places(line: bytes) -> list[tuple[int, str]]:
     """(word index, label) of every place of a base phrase, overlaps included."""
-    places = []
+    starts, labels = [], []
     padded = b" " + line + b" "
     for phrase, label in BASE:
         needle = b" " + phrase.encode() + b" "
         at = padded.find(needle)
         while at >= 0:
-            places.append((padded.count(b" ", 0, at), label))
+            starts.append(at)
+            labels.append(label)
             at = padded.find(needle, at + 1)
-    return sorted(places)
+    return sorted(zip(word_index(line, starts), labels, strict=True))
 
 
 SCHEMA = (
@@ -214,8 +364,10 @@ _STRUCT = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64())
 def license_scan(docs: DataFrame) -> DataFrame:
     """Labels, places and resolved detections of every text; one row per row of `docs`.
 
-    A null or empty text has no words and score 0. The score is the largest confidence of a kept
-    detection. Rows are independent: there is no shuffle and memory is bounded by one Arrow batch.
+    A null or empty text has no words and score 0; an empty table gives no rows. The score is the largest
+    confidence of a kept detection. Rows are independent, repeated ones too: there is no shuffle and memory is bounded
+    by one Arrow batch. A text of any length is scanned whole, in time that grows with its length and its number of
+    detections, not with their product. Other columns than doc_id and text are not read.
     """
     by_key: dict[tuple[bytes, ...], list[Rule]] = {}
 
@@ -231,10 +383,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
             base = {label for _, label in places}
             labels = base | {rule.label for _, _, rule in kept}
             score = max([rule.confidence for _, _, rule in kept] + [1.0] * bool(places), default=0.0)
+            first, last = (word_index(line, [d[side] for d in kept]) for side in (0, 1))
             spans = [
-                {"label": rule.label, "first_word": line.count(b" ", 0, a), "n_words": line.count(b" ", a, b) + 1, "priority": rule.priority}
-                for a, b, rule in kept
-            ]
+                {"label": rule.label, "first_word": a, "n_words": b - a + 1, "priority": rule.priority}
+                for a, b, (_, _, rule) in zip(first, last, kept, strict=True)
+            ]
             row = (
                 len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None,
                 ",".join(sorted(base)), ",".join(sorted(labels)), score, spans,

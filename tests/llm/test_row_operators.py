@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,7 @@ def test_gates_never_hide_a_rule():
     for family in licenses.FAMILIES:
         for _, _, context in licenses.CONTEXTS:
             assert re.search(r"licen|under", context)
+    assert len(licenses.CLAUSES) > 100 and len({pattern for _, _, pattern in licenses.CLAUSES}) == len(licenses.CLAUSES)
     for _, keyword, pattern in licenses.STATEMENTS:
         assert any(g.decode().strip() in pattern for g in licenses.GATES) or "general public licen" in pattern, keyword
 
@@ -106,10 +108,38 @@ def test_no_keyword_hides_a_match_of_its_rule():
     for line in sorted({line.encode() for line in lines}):
         found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(line)]
         assert found and licenses.detections(line, groups) == licenses.resolve(found), line
+    gaps = re.compile(r"\.\{0,\d+\}\??|\.\{1,\d+\}\??|\(\?!.*?\)")
+    for _, _, pattern in licenses.CLAUSES:
+        for line in {" ".join(sample.split()).encode() for sample in _matches(gaps.sub("x ", pattern))}:
+            found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(line)]
+            assert found and licenses.detections(line, groups) == licenses.resolve(found), line
     for text, label in (("released under the Expat license", "mit"), ("ASL 2.0 license", "apache-2"), ("SPDX-License-Identifier: MS-PL", "ms-pl")):
         assert [rule.label for _, _, rule in licenses.detections(b" ".join(licenses.words_of(text.encode())), groups)] == [label]
 
 
+def test_resolving_equals_comparing_with_all_kept():
+    rng = np.random.default_rng(0)
+    rules = licenses.signature_rules()[::40]
+    for _ in range(200):
+        found = [(int(a), int(a + n), rules[r]) for a, n, r in zip(rng.integers(0, 60, 40), rng.integers(1, 20, 40), rng.integers(0, len(rules), 40), strict=True)]
+        kept = []
+        for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+            if not any(a <= start and end <= b for a, b, _ in kept):
+                kept.append((start, end, rule))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
+
+
+def test_time_grows_with_length_not_with_detections(spark):
+    phrase = "under the mit license and some words more "
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        (row,) = licenses.license_scan(documents(spark, [(1, phrase * n, "a", "s")])).collect()
+        took.append(time.perf_counter() - began)
+        assert row.n_base == n and row.last_word == 8 * (n - 1) and len(row.detections) == n
+    assert took[1] < 8 * took[0] + 2
+
+
 def _secret_base(text):
     found = []
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
