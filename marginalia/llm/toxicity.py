@@ -41,7 +41,7 @@ PARTIAL_ROWS = 1 << 19
 class ToxicOptions:
     """Bounds of the fit on labelled rows; shared counts cover all documents."""
 
-    per_class: int = 4000  # labelled documents of each class that are read at most
+    per_class: int = 2000  # labelled documents of each class that are read at most
     window: int = 25
     calibrating: float = 0.25  # the share of them that trains no model, beside what one class has more than the other
     ridge: float = 1e-3
@@ -84,7 +84,7 @@ def _taken_off(counts: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, off[np.minimum(counts, 3)], 0.0)
 
 
-def build(words: list[str], documents: np.ndarray, others: float, previous: np.ndarray, word: np.ndarray, counts: np.ndarray) -> Model:
+def build(words: pa.Array, documents: np.ndarray, others: float, previous: np.ndarray, word: np.ndarray, counts: np.ndarray) -> Model:
     """The pair of models from the distinct bigrams of both classes.
 
     `words` are all known ones, `documents` in how many of all documents each occurs, and `others` the sum of these
@@ -110,7 +110,7 @@ def build(words: list[str], documents: np.ndarray, others: float, previous: np.n
     order = np.argsort(keys)
     bigram = (np.log(both[0]) - np.log(both[1]))[order]
     return Model(
-        pa.array(words, pa.large_string()), np.log(lower[0]) - np.log(lower[1]), np.log(backs[0]) - np.log(backs[1]), keys[order], bigram, np.zeros(0)
+        words, np.log(lower[0]) - np.log(lower[1]), np.log(backs[0]) - np.log(backs[1]), keys[order], bigram, np.zeros(0)
     )
 
 
@@ -229,11 +229,11 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return texts_of(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _shared_counts(counts: DataFrame, known: DataFrame) -> tuple[dict[str, int], float]:
-    """Document counts of the `known` words (word), and what the others weigh together: their counts and one more each."""
-    shared = {r.word: r.n for r in counts.join(known, "word", "left_semi").collect()}
+def _shared_counts(counts: DataFrame, known: DataFrame) -> tuple[pa.Table, float]:
+    """Document counts (word, n) of the `known` words, and what the others weigh together: their counts and one more each."""
+    shared = counts.join(known, "word", "left_semi").toArrow()
     every = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
-    return shared, float((every.n or 0) - sum(shared.values()) + every.words - len(shared))
+    return shared, float((every.n or 0) - (pc.sum(shared.column("n")).as_py() or 0) + every.words - len(shared))
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicOptions = ToxicOptions()) -> Model:
@@ -254,14 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicOptions = ToxicOptions
     trains = (F.col("part") >= options.calibrating) & equal
     found = staged(_bigrams(chosen.where(trains).select("label", "text")), "toxic-counts")
     shared, others = _shared_counts(staged(_document_counts(docs), "toxic-words"), found.select("word").distinct())
-    table = found.toArrow()
     # Every word precedes another one or ends a text, so all are among the words; only the start is not.
-    words = sorted({START, *shared})
-    listed = pa.array(words, pa.string())
-    places = [pc.index_in(table.column(c).combine_chunks(), value_set=listed).to_numpy().astype(np.int64) + 1 for c in ("previous", "word")]
+    words = pa.concat_arrays([pa.array([START], pa.large_string()), shared.column("word").combine_chunks().cast(pa.large_string())])
+    documents = np.concatenate([[0.0], shared.column("n").to_numpy()])
+    table = found.toArrow()
+    places = [pc.index_in(table.column(c).combine_chunks().cast(pa.large_string()), value_set=words).to_numpy().astype(np.int64) + 1 for c in ("previous", "word")]
     counts = np.stack([table.column(c).to_numpy() for c in ("toxic", "ordinary")], axis=1)
-    model = build(words, np.array([shared.get(w, 0) for w in words], float), others, *places, counts)
-    del table
+    model = build(words, documents, others, *places, counts)
+    del table, places, counts
     sent = spark.sparkContext.broadcast(model)
     rows = _features_of(chosen.where(~trains).select("label", "text"), sent, options.window).collect()
     x, y = np.array([r.features for r in rows]).reshape(-1, FEATURES), np.array([r.label for r in rows], dtype=float)
