@@ -8,8 +8,9 @@ Beyond that size the own set is cut into groups: around each of a bounded number
 vectors themselves, rings by the angle to the leader. On the sphere the angle to any vector of a ring is at least
 that to the leader, less (or, within the ring, short of) the ring's own, which bounds the cosine. An incoming
 vector is sent only to groups whose bound reaches what it has already found: first its cosines with
-the leaders, which take no shuffle, then the most promising group, then the others still worth it. Groups are
-split into tiles of bounded size on both sides, so neither a large group nor a popular one is one task.
+the leaders, which take no shuffle, then the most promising group, then the others still worth it. Large groups are
+split into tiles of bounded size on both sides, so neither a large group nor a popular one is one task, and small ones
+share a tile, to which a vector is sent once however many of its groups are worth a visit.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from marginalia.session import staged
 
 OWN_BYTES = 256 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
+#: Vectors on either side of a tile, in bytes as DOUBLE, unless the own set may be larger in one piece.
+TILE_BYTES = 4 * 1024 * 1024
 #: Leaders at most, the own vectors they are chosen from, and the rings around each.
 LEADERS = 256
 SAMPLE = 4096
@@ -136,21 +139,37 @@ def group_own(mine: DataFrame, leaders: int) -> Groups:
     return Groups(chosen, own.drop("_angle"), ids, low, high, rows)
 
 
-def choose_groups(new: DataFrame, groups: Groups, floor: float | None = None) -> DataFrame:
+def shared_tiles(groups: Groups, tile_rows: int) -> np.ndarray:
+    """For each group the first id of the groups it shares tiles with: neighbours, as long as they fit into one."""
+    order = np.argsort(groups.ids)
+    sets, held = np.empty_like(groups.ids), tile_rows
+    for at in order:
+        if held + groups.rows[at] > tile_rows:
+            first, held = groups.ids[at], 0
+        sets[at], held = first, held + groups.rows[at]
+    return sets
+
+
+def choose_groups(new: DataFrame, groups: Groups, floor: float | None = None, sets: np.ndarray | None = None) -> DataFrame:
     """Add to (vec, ...) `_best`, the best cosine with a leader, and the groups worth a visit.
 
     `_groups` and `_bounds` hold the groups whose bound reaches `floor`, or exceeds `_best` if there is no floor,
-    the most promising first. A vector of length zero has cosine 0 with everything.
+    the most promising first; with `sets`, the id of the set of each group, they hold sets and the largest bound in each.
+    A vector of length zero has cosine 0 with everything.
     """
     unit_rows, _ = _kernel()
-    sent = new.sparkSession.sparkContext.broadcast((groups.leaders, groups.ids, groups.low, groups.high))
+    sets = groups.ids if sets is None else sets
+    by_set = np.argsort(sets, kind="stable")
+    names, starts = np.unique(sets[by_set], return_index=True)
+    facts = (groups.leaders, groups.ids[by_set], groups.low[by_set], groups.high[by_set], names, starts)
+    sent = new.sparkSession.sparkContext.broadcast(facts)
     rings, error = RINGS, ANGLE_ERROR
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        leaders, ids, low, high = sent.value
+        leaders, ids, low, high, names, starts = sent.value
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 rows = unit_rows(batch.column("vec"))
@@ -160,13 +179,13 @@ def choose_groups(new: DataFrame, groups: Groups, floor: float | None = None) ->
                 near = rows @ leaders.T if len(leaders) else np.zeros((len(rows), 1))
                 angle = np.arccos(np.clip(near, -1.0, 1.0))[:, np.maximum(ids, 0) // rings]
                 gap = np.maximum(np.maximum(angle - high, low - angle) - error, 0.0)
-                bound = np.where((ids >= 0) & there[:, None], np.cos(gap), 0.0)
+                bound = np.maximum.reduceat(np.where((ids >= 0) & there[:, None], np.cos(gap), 0.0), starts, axis=1)
                 best = near.max(axis=1) if len(leaders) else np.full(len(rows), -np.inf)
                 worth = bound >= floor if floor is not None else bound > best[:, None]
                 picked = [np.flatnonzero(w) for w in worth]
                 picked = [p[np.argsort(-b[p], kind="stable")] for p, b in zip(picked, bound, strict=True)]
                 lists = (pa.array([values.tolist() for values in made], kind) for made, kind in (
-                    ([ids[p] for p in picked], pa.list_(pa.int64())), ([b[p] for p, b in zip(picked, bound, strict=True)], pa.list_(pa.float64())),
+                    ([names[p] for p in picked], pa.list_(pa.int64())), ([b[p] for p, b in zip(picked, bound, strict=True)], pa.list_(pa.float64())),
                 ))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), *lists], names=[*batch.schema.names, "_best", "_groups", "_bounds"])
 
@@ -174,25 +193,26 @@ def choose_groups(new: DataFrame, groups: Groups, floor: float | None = None) ->
     return new.mapInArrow(choose, StructType([*new.schema.fields, *more]))
 
 
-def _visit(visits: DataFrame, groups: Groups, reduce_rows: Callable, schema: StructType, tile_rows: int) -> DataFrame:
-    """Run `reduce_rows` on every row of `visits` (vec, _group, ...) and every own vector of its group.
+def _visit(visits: DataFrame, groups: Groups, sets: np.ndarray, reduce_rows: Callable, schema: StructType, tile_rows: int) -> DataFrame:
+    """Run `reduce_rows` on every row of `visits` (vec, _group, ...) and every own vector of that set of groups.
 
-    A group is split into tiles of about `tile_rows` on either side. Own vectors of groups without a visit
-    are not shuffled.
+    `sets` has the set of each group. A set is split into tiles of about `tile_rows` on either side. Own vectors of
+    sets without a visit are not shuffled.
     """
     spark = visits.sparkSession
     unit_rows, _ = _kernel()
     kept = [c for c in visits.columns if c not in ("vec", "_group")]
     columns = [f.name for f in schema.fields]
     counts = {r._group: r["count"] for r in visits.groupBy("_group").count().collect()}
-    sizes = [(int(g), ceil(int(n) / tile_rows), ceil(counts[int(g)] / tile_rows)) for g, n in zip(groups.ids, groups.rows, strict=True) if int(g) in counts]
+    sizes = [(int(g), ceil(int(groups.rows[sets == g].sum()) / tile_rows), ceil(counts[int(g)] / tile_rows)) for g in np.unique(sets) if int(g) in counts]
     plan = F.broadcast(spark.createDataFrame(sizes, "_group bigint, subs int, chunks int"))
+    members = F.broadcast(spark.createDataFrame([*zip(groups.ids.tolist(), sets.tolist(), strict=True)], "_member bigint, _group bigint"))
     place = F.xxhash64(F.monotonically_increasing_id())
 
     def upto(column: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
 
-    own = groups.own.withColumn("_at", place).join(plan, "_group")
+    own = groups.own.withColumnRenamed("_group", "_member").withColumn("_at", place).join(members, "_member").join(plan, "_group")
     own = own.select("my_key", "my_vec", "_group", F.pmod("_at", F.col("subs")).cast("int").alias("_sub"), upto("chunks").alias("_chunk"))
     asked = visits.withColumn("_at", place).join(plan, "_group")
     asked = asked.select(*kept, "vec", "_group", F.pmod("_at", F.col("chunks")).cast("int").alias("_chunk"), upto("subs").alias("_sub"))
@@ -260,16 +280,18 @@ def score_candidates(new: DataFrame, mine: DataFrame, own_bytes: int = OWN_BYTES
     if size <= own_bytes:
         return _broadcast_compare(new, mine, best, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
     groups = group_own(mine, leaders or min(LEADERS, ceil(size / own_bytes)))
-    chosen = staged(choose_groups(_numbered(new), groups), "chosen-groups")
+    tile_rows = max(1, max(own_bytes, TILE_BYTES) // row)
+    sets = shared_tiles(groups, tile_rows)
+    chosen = staged(choose_groups(_numbered(new), groups, sets=sets), "chosen-groups")
     schema = StructType([StructField("_row", LongType()), StructField("score", DoubleType())])
 
     def found(visits: DataFrame) -> DataFrame:
-        scores = _visit(visits.select("_row", "vec", "_group"), groups, best, schema, max(1, own_bytes // row))
+        scores = _visit(visits.select("_row", "vec", "_group"), groups, sets, best, schema, tile_rows)
         return staged(scores.groupBy("_row").agg(F.max("score").alias("score")), "visited-groups")
 
     first = found(chosen.where(F.size("_groups") > 0).withColumn("_group", F.get("_groups", F.lit(0))))
     known = chosen.join(first, "_row", "left").withColumn("_best", F.greatest("_best", "score")).drop("score")
-    others = F.explode(F.slice(F.arrays_zip("_groups", "_bounds"), 2, max(1, len(groups.ids)))).alias("x")
+    others = F.explode(F.slice(F.arrays_zip("_groups", "_bounds"), 2, max(1, len(np.unique(sets))))).alias("x")
     worth = known.where(F.size("_groups") > 1).select("_row", "vec", "_best", others).where("x._bounds > _best")
     second = found(worth.withColumn("_group", F.col("x._groups")))
     whole = known.join(second, "_row", "left")
@@ -299,9 +321,11 @@ def cosine_pairs(new: DataFrame, mine: DataFrame, floor: float, own_bytes: int =
     if size <= own_bytes:
         return _broadcast_compare(new, mine, keep, schema)
     groups = group_own(mine, leaders or min(LEADERS, ceil(size / own_bytes)))
-    chosen = staged(choose_groups(new, groups, floor), "chosen-groups")
+    tile_rows = max(1, max(own_bytes, TILE_BYTES) // row)
+    sets = shared_tiles(groups, tile_rows)
+    chosen = staged(choose_groups(new, groups, floor, sets), "chosen-groups")
     visits = chosen.select("key", "vec", F.explode("_groups").alias("_group"))
-    return _visit(visits, groups, keep, schema, max(1, own_bytes // row))
+    return _visit(visits, groups, sets, keep, schema, tile_rows)
 
 
 def max_similarity(pairs: DataFrame) -> DataFrame:

@@ -198,3 +198,23 @@ def test_own_vectors_of_length_zero_only(spark):
     new, mine = _vectors(spark, [[1.0, 0.0], [0.0, 0.0]]), _vectors(spark, [[0.0, 0.0]] * 5)
     assert [r.score for r in similarity.score_candidates(new, mine, 16).collect()] == [0.0, 0.0]
     assert similarity.cosine_pairs(new, mine, 0.0, 16).count() == 10 and similarity.cosine_pairs(new, mine, 0.1, 16).count() == 0
+
+
+def test_small_groups_share_tiles(spark, monkeypatch):
+    """A vector is sent once to a tile of many groups, and what is found does not depend on the tiles."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: [[float(x) for x in rng.normal(size=8)] for _ in range(n)]
+    frames = _vectors(spark, draw(60)), _vectors(spark, draw(400))
+    groups = similarity.group_own(frames[1], 20)
+    sets = similarity.shared_tiles(groups, 1000)
+    assert len(groups.ids) > 50 and set(sets) == {groups.ids.min()}
+    assert [len(r._groups) for r in similarity.choose_groups(frames[0], groups, 0.0, sets).collect()] == [1] * 60
+    split = similarity.shared_tiles(groups, 50)
+    held = [groups.rows[split == s].sum() for s in set(split)]
+    assert len(held) > 5 and all(n <= max(50, groups.rows.max()) for n in held)
+    scores = {r.key: r.score for r in similarity.score_candidates(*frames).collect()}
+    pairs = sorted((r.key, r.my_key) for r in similarity.cosine_pairs(*frames, 0.3).collect())
+    for tile_bytes in (1, 64 * 50, similarity.TILE_BYTES):
+        monkeypatch.setattr(similarity, "TILE_BYTES", tile_bytes)
+        assert {r.key: r.score for r in similarity.score_candidates(*frames, 64 * 20, 20).collect()} == pytest.approx(scores, abs=1e-12)
+        assert sorted((r.key, r.my_key) for r in similarity.cosine_pairs(*frames, 0.3, 64 * 20, 20).collect()) == pairs
