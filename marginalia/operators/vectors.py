@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, StructField, StructType
 
 from marginalia.functions import strings as S
 from marginalia.functions import vectors as V
@@ -30,16 +30,55 @@ def l2_normalize(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     return vectors.withColumn(vec, V.unit(F.col(vec)))
 
 
+def _combined(rows: DataFrame) -> DataFrame:
+    """(key, total, weight) with the rows of one key in an Arrow batch added up.
+
+    Rows of a key mostly lie together, and an aggregate of vectors would sort all rows as soon as it holds more
+    than a few keys. A batch with nulls or unequal widths stays as it is, as does one whose keys Arrow cannot compare.
+    """
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, total, weight = batch.columns
+            flat = total.flatten()
+            widths = np.diff(total.offsets.to_numpy())
+            if not batch.num_rows or total.null_count or flat.null_count or weight.null_count or widths.min() != widths.max():
+                yield batch
+                continue
+            try:
+                codes = keys.dictionary_encode("encode").indices.to_numpy()
+            except pa.ArrowNotImplementedError:
+                yield batch
+                continue
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            sums = np.add.reduceat(flat.to_numpy().reshape(len(codes), -1)[order], starts, axis=0)
+            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * sums.shape[1])
+            columns = [
+                keys.take(pa.array(order[starts])),
+                pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())),
+                pa.array(np.add.reduceat(weight.to_numpy()[order], starts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(combine, rows.schema)
+
+
 def mean_pool(tokens: DataFrame) -> DataFrame:
     """(key, pos, vec, mask) to (key, vec): mean of the token vectors with mask 1.
 
     The element-wise sum is a combining aggregate, so a key with very many tokens is reduced in
-    every partition before the shuffle. All tokens masked gives zeros.
+    every partition before the shuffle; tokens that lie together are added up before that. All tokens masked gives zeros.
     """
     weighted = F.transform(V.as_double(F.col("vec")), lambda x: x * F.col("mask"))
-    sums = tokens.groupBy("key").agg(
-        Summarizer.sum(array_to_vector(weighted)).alias("total"),
-        F.sum("mask").alias("weight"),
+    whole = isinstance(tokens.schema["mask"].dataType, IntegralType)
+    weight = F.col("mask").cast("bigint" if whole else "double")
+    sums = _combined(tokens.select("key", weighted.alias("total"), weight.alias("weight"))).groupBy("key").agg(
+        Summarizer.sum(array_to_vector("total")).alias("total"),
+        F.sum("weight").alias("weight"),
     )
     divisor = F.greatest(F.col("weight").cast("double"), F.lit(MASK_FLOOR))
     return sums.select("key", F.transform(vector_to_array("total"), lambda x: x / divisor).alias("vec"))

@@ -218,3 +218,19 @@ def test_small_groups_share_tiles(spark, monkeypatch):
         monkeypatch.setattr(similarity, "TILE_BYTES", tile_bytes)
         assert {r.key: r.score for r in similarity.score_candidates(*frames, 64 * 20, 20).collect()} == pytest.approx(scores, abs=1e-12)
         assert sorted((r.key, r.my_key) for r in similarity.cosine_pairs(*frames, 0.3, 64 * 20, 20).collect()) == pairs
+
+
+def test_mean_pool_aggregates_few_rows(spark):
+    """Tokens that lie together are added up before the aggregate, whose sort they would fill; odd keys and masks count too."""
+    ids = spark.range(0, 30_000, 1, 3).select("id", (F.col("id") / 100).cast("int").alias("key"))
+    tokens = ids.select("key", F.col("id").alias("pos"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"), (F.col("id") % 2).cast("int").alias("mask"))
+    rows = tokens.select("key", F.transform("vec", lambda x: x * F.col("mask")).alias("total"), F.col("mask").cast("bigint").alias("weight"))
+    combined = vectors._combined(rows)
+    assert 300 <= combined.count() < 330 and combined.agg(F.sum("weight")).first()[0] == 15_000
+    means = {r.key: r.vec for r in vectors.mean_pool(tokens).collect()}
+    assert means == {k: pytest.approx([100 * k + 50.0, 1.0]) for k in range(300)}
+    odd = [(None, 0, [2.0], 0.5), (None, 1, [4.0], 0.5), ("", 0, [1.0], 0.0), ("a", 0, [float("nan")], 1.0), ("b", 0, [3.0], 2.0)]
+    found = {r.key: r.vec for r in vectors.mean_pool(spark.createDataFrame(odd, "key string, pos int, vec array<float>, mask double").coalesce(1)).collect()}
+    assert math.isnan(found.pop("a")[0]) and found == {None: [3.0], "": [0.0], "b": [3.0]}
+    keyed = tokens.select(F.struct("key").alias("key"), "pos", "vec", "mask")
+    assert vectors.mean_pool(keyed).count() == 300
