@@ -13,6 +13,7 @@ from marginalia.operators.select import recent_window, score_threshold, top_n_pe
 from marginalia.operators.similarity import score_candidates
 from marginalia.operators.text import compose_text, parse_records
 from marginalia.options import RecommendOptions
+from marginalia.session import staged
 from marginalia.sources.papers import render_headers, render_records
 from marginalia.sources.tables import latest_by_key
 
@@ -53,11 +54,13 @@ def recommend_records(
 ) -> DataFrame:
     """The same over labelled text records (key, content), such as a scanned directory of candidates.
 
-    The directory is the window, so neither categories nor days are looked at; keys are file names.
+    The directory is the window, so neither categories nor days are looked at; keys are file names. The records
+    are opened once and written as one table, which the three passes over them read.
     """
-    routed = route_priority(corpus.select("key", "content"), black, white)
+    corpus = staged(corpus.select("key", "content"), "records")
+    routed = route_priority(corpus, black, white)
     best = _best(routed, my_vectors, encode, options)
-    return _cards(corpus.select("key", "content").join(best, "key"))
+    return _cards(corpus.join(best, "key"))
 
 
 def _best(routed: DataFrame, my_vectors: DataFrame, encode: Callable[[DataFrame], DataFrame], options: RecommendOptions) -> DataFrame:

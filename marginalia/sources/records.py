@@ -1,8 +1,8 @@
 """Text records as files that are named by their key: a Spark data source that commits in two phases.
 
 Every task writes its records into a folder of its own attempt. Only when all tasks are done are the files of the
-attempts that count moved to their names, so a task that fails or runs twice changes no record. A task that
-outlives a failed write may leave its hidden folder, which nothing reads.
+attempts that count moved to their names, so a task that fails or runs twice changes no record. The folders are
+moved by tasks again, side by side. A task that outlives a failed write may leave its hidden folder, which nothing reads.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from marginalia.sources.tables import insert_new, overwrite_by_key
 
 #: Bytes of a file name that file systems take at most.
 NAME_BYTES = 255
-#: Files that the driver moves at once.
+#: Files that one process moves at once.
 MOVES = 16
+#: The file that names the folders to be moved.
+COMMITTED = "_committed"
 
 
 def _file_system(path: str):
@@ -48,10 +50,29 @@ class Attempt(WriterCommitMessage):
     files: int
 
 
+def move_records(path: str, folder: str) -> None:
+    """Move the files of `folder` to their names in `path`; what has been moved already is no longer there."""
+    from pyarrow import fs
+
+    system, root = _file_system(path)
+
+    def move(source: str) -> None:
+        target = f"{root}/{source.rsplit('/', 1)[1]}"
+        if system.get_file_info(target).type != fs.FileType.NotFound:
+            system.delete_file(target)
+        system.move(source, target)
+
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(move, [info.path for info in system.get_file_info(fs.FileSelector(folder))]))
+
+
 class RecordWriter(DataSourceWriter):
-    def __init__(self, path: str) -> None:
+    """With `staging`, the name of a hidden folder, the caller moves the folders that `commit` writes down there."""
+
+    def __init__(self, path: str, staging: str | None = None) -> None:
         self.path = path
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.listed = staging is not None
+        self.staging = staging or f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Attempt:
         system, root = _file_system(self.path)
@@ -65,31 +86,27 @@ class RecordWriter(DataSourceWriter):
         return Attempt(folder, files)
 
     def commit(self, messages: list[Attempt | None]) -> None:
-        from pyarrow import fs
-
-        system, root = _file_system(self.path)
-
-        def move(source: str) -> None:
-            target = f"{root}/{source.rsplit('/', 1)[1]}"
-            if system.get_file_info(target).type != fs.FileType.NotFound:
-                system.delete_file(target)
-            system.move(source, target)
-
-        for message in messages:
-            if message is not None and message.files:
-                with ThreadPoolExecutor(MOVES) as pool:
-                    list(pool.map(move, [info.path for info in system.get_file_info(fs.FileSelector(message.folder))]))
-        self._clean()
+        folders = [message.folder for message in messages if message is not None and message.files]
+        if self.listed:
+            system, root = _file_system(self.path)
+            system.create_dir(f"{root}/{self.staging}", recursive=True)
+            with system.open_output_stream(f"{root}/{self.staging}/{COMMITTED}") as out:
+                out.write("\n".join(folders).encode())
+            return
+        for folder in folders:
+            move_records(self.path, folder)
+        _clean(self.path, self.staging)
 
     def abort(self, messages: list[Attempt | None]) -> None:
-        self._clean()
+        _clean(self.path, self.staging)
 
-    def _clean(self) -> None:
-        from pyarrow import fs
 
-        system, root = _file_system(self.path)
-        if system.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/{self.staging}")
+def _clean(path: str, staging: str) -> None:
+    from pyarrow import fs
+
+    system, root = _file_system(path)
+    if system.get_file_info(f"{root}/{staging}").type != fs.FileType.NotFound:
+        system.delete_dir(f"{root}/{staging}")
 
 
 class RecordFiles(DataSource):
@@ -108,12 +125,22 @@ class RecordFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("record files are replaced one by one; use the append mode")
-        return RecordWriter(self.options["path"])
+        return RecordWriter(self.options["path"], self.options.get("staging"))
 
 
 def _write(records: DataFrame, path: str) -> None:
-    records.sparkSession.dataSource.register(RecordFiles)
-    records.select("key", "content").write.format("record_files").mode("append").save(path)
+    spark = records.sparkSession
+    spark.dataSource.register(RecordFiles)
+    staging = f"_staging-{uuid.uuid4().hex}"
+    try:
+        records.select("key", "content").write.format("record_files").mode("append").option("staging", staging).save(path)
+        system, root = _file_system(path)
+        with system.open_input_stream(f"{root}/{staging}/{COMMITTED}") as listed:
+            folders = listed.read().decode().splitlines()
+        if folders:
+            spark.sparkContext.parallelize(folders, len(folders)).foreach(lambda folder: move_records(path, folder))
+    finally:
+        _clean(path, staging)
 
 
 def write_records(records: DataFrame, path: str, order: Column) -> None:

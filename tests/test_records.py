@@ -91,3 +91,52 @@ def test_ordered_parts_are_the_report(spark, tmp_path):
     assert {day: "\n".join(found) + "\n" for day, found in lines.items()} == made
     files.report_parts_sink(chunks.where("run_date = 'd1' AND rank = 1"), path)
     assert sorted(p.name for p in (tmp_path / "parts").glob("run_date=*")) == [f"run_date=d{k}" for k in (1, 2, 3, 4)]
+
+
+def test_folders_of_records_are_moved_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver moves no file, also when a record is replaced, and leaves no hidden folder."""
+    from marginalia.sources import records
+
+    def refused(*_):
+        raise AssertionError("moved by the driver")
+
+    path, rows = str(tmp_path / "records"), [(f"{k}.txt", str(k)) for k in range(40)]
+    for shift in (0, 1):
+        batch = _records(spark, [(key, f"{content}+{shift}") for key, content in rows]).repartition(4)
+        with monkeypatch.context() as patch:
+            patch.setattr(records.RecordWriter, "commit", lambda self, messages, commit=records.RecordWriter.commit: commit(self, messages) if self.listed else refused())
+            write_records(batch, path, F.col("n"))
+        assert dict(_found(spark, path)) == {key: f"{content}+{shift}" for key, content in rows}
+        assert sorted(p.name for p in (tmp_path / "records").iterdir()) == sorted(key for key, _ in rows)
+    empty = spark.createDataFrame([], "key string, content string, n int")
+    write_records(empty, path, F.col("n"))
+    assert len(_found(spark, path)) == 40
+
+
+def test_records_are_read_as_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfx\r\n\xff")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    corpus = files.scan_text_corpus(spark, str(tmp_path))
+    assert "binaryFile" in plan_of(corpus) and "Scan text" not in plan_of(corpus)
+    assert corpus.select("key", F.hex("content").alias("hex")).collect() == [("a.txt", "EFBBBF780AFF")]
+
+
+def test_a_directory_is_opened_once(spark, tmp_path):
+    from marginalia.operators.vectors import hashing_vectors
+    from marginalia.plans.recommend import recommend_records
+
+    rows = [(f"{k}.txt", f"Title: t{k}\nAuthors: Ann B{k}\nAbstract:\nw{k} x\nURL: u\nDate: d\n") for k in range(5)]
+    write_records(_records(spark, rows), str(tmp_path / "r"), F.col("n"))
+    names = spark.createDataFrame([("Ann B1",)], "name string")
+    own = hashing_vectors(spark.createDataFrame([(1, "w2 x")], "key int, text string"))
+    found = recommend_records(files.scan_text_corpus(spark, str(tmp_path / "r")), own, names, names.where("false"), hashing_vectors)
+    assert "binaryFile" not in plan_of(found)
+    assert sorted(r.key for r in found.collect()) == ["0.txt", "2.txt", "3.txt", "4.txt"] and found.orderBy("rank").first().key == "2.txt"
+
+
+def test_a_large_directory_is_not_a_task_per_few_files(spark, tmp_path):
+    for k in range(700):
+        (tmp_path / f"{k}.txt").write_text(str(k))
+    corpus = files.scan_text_corpus(spark, str(tmp_path))
+    assert corpus.rdd.getNumPartitions() == files.TASKS * spark.sparkContext.defaultParallelism
+    assert sorted((r.key, r.content) for r in corpus.collect()) == sorted((f"{k}.txt", str(k)) for k in range(700))
