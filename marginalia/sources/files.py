@@ -64,10 +64,15 @@ def write_text_corpus(records: DataFrame, path: str) -> None:
 
 
 def report_sink(reports: DataFrame, path: str) -> None:
-    """Write (run_date, md), one folder per day; a rerun replaces only its own days."""
+    """Write (run_date, md), one folder per day; a rerun replaces only its own days.
+
+    The days are dealt to a fixed number of tasks: the folders take the time, and short texts would be few tasks. They
+    are dealt by a hash, as Spark drops a repartitioning that equals the one its input already has.
+    """
     (
         # The text writer adds the final line break itself.
         reports.select(F.regexp_replace("md", r"\n\z", "").alias("value"), F.col("run_date").cast("string"))
+        .repartition(TASKS * reports.sparkSession.sparkContext.defaultParallelism, F.xxhash64("run_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_date")

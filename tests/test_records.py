@@ -140,3 +140,17 @@ def test_a_large_directory_is_not_a_task_per_few_files(spark, tmp_path):
     corpus = files.scan_text_corpus(spark, str(tmp_path))
     assert corpus.rdd.getNumPartitions() == files.TASKS * spark.sparkContext.defaultParallelism
     assert sorted((r.key, r.content) for r in corpus.collect()) == sorted((f"{k}.txt", str(k)) for k in range(700))
+
+
+def test_short_reports_of_many_days_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    days = spark.range(200).select(F.col("id").cast("string").alias("run_date")).groupBy("run_date").agg(F.lit("x\n").alias("md"))
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "TASKS", 3)
+        spark.conf.set("spark.sql.shuffle.partitions", 3 * spark.sparkContext.defaultParallelism)
+        try:
+            files.report_sink(days, str(tmp_path / "reports"))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "reports").glob("run_date=*/part-*")}
+    assert len(tasks) > 8 and files.scan_reports(spark, str(tmp_path / "reports")).where("md = 'x\n'").count() == 200
