@@ -85,6 +85,7 @@ def section_lines(lines: DataFrame, by: Sequence[str]) -> DataFrame:
 def split_line_entries(lines: DataFrame, by: Sequence[str] = ("run_date",), run: int = RUN) -> DataFrame:
     """(by, line_no, line) to (by, section, pos, entry), as `split_entries` gives them for whole reports."""
     keys = [*by, "section"]
+    lines = staged(lines.select(*by, "line_no", "line"), "report-lines")  # read three times
     rows = staged(section_lines(lines, by), "section-lines")
     opens, rules = F.startswith("line", F.lit("### ")), F.regexp_like("line", F.lit(RULE))
     place = F.struct("line_no", "sub")

@@ -42,3 +42,18 @@ def test_running_count(spark):
     rows = spark.createDataFrame([(k, i, i % 3 == 0) for k in "ab" for i in range(50)], "k string, i bigint, f boolean").repartition(7)
     got = {(r.k, r.i): r.c for r in lines.running_count(rows, F.col("f"), ["k"], ["i"], "c", 4).collect()}
     assert got == {(k, i): i // 3 + 1 for k in "ab" for i in range(50)}
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    """What the lines come from is gone over once, however often the lines are needed."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("d", k, line) for k, line in enumerate(["## Other recommendations", "### [a](u)", "x", "---", "### [b](u)"])]
+    by_line = spark.createDataFrame(rows, "run_date string, line_no bigint, line string").mapInArrow(counted, "run_date string, line_no bigint, line string")
+    assert [r.entry for r in lines.split_line_entries(by_line).orderBy("pos").collect()] == ["### [a](u)\nx", "### [b](u)"]
+    assert made.value == 5
