@@ -61,8 +61,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _names_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     labelled = table(spark, sf_dir, "labels").where(F.col(label) == 1)
     authors = _as_papers(table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")).select("authors")
+    # An inner explode would have all texts taken apart before the join, to filter them by their number of names.
+    names = authors.select(F.explode_outer("authors").alias("name")).where(F.col("name").isNotNull())
     # A list is kept as a table, as it would be in use, and not derived again for every lookup.
-    return staged(authors.select(F.explode("authors").alias("name")), f"{label}-names")
+    return staged(names, f"{label}-names")
 
 
 def black_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,13 @@ def author_names(line: Column) -> Column:
 
 
 def explode_authors(corpus: DataFrame) -> DataFrame:
-    """(key, content) to (key, pos, author); a record without authors has no rows."""
+    """(key, content) to (key, pos, author); a record without authors has no rows.
+
+    An inner explode would let Spark infer a filter on the number of names and move it to the scan, where
+    every line would be taken apart a few times more. So here, and for tokens, rows without items go afterwards.
+    """
     names = author_names(S.line_field(F.col("content"), "Authors:"))
-    return corpus.select("key", F.posexplode(names).alias("pos", "author"))
+    return corpus.select("key", F.posexplode_outer(names).alias("pos", "author")).where(F.col("pos").isNotNull())
 
 
 def _spell(parts: Column, tokens: Column) -> Column:
@@ -95,8 +99,13 @@ def _asked_by(authors: Column, mode: str) -> Column:
     return F.transform(F.transform(authors, name_parts), lambda parts: _asked(parts, mode))
 
 
+def _tokens(spell, name: str, mode: str) -> Column:
+    """The tokens that `_asked` or `_offered` makes of the column `name`, one a row or NULL; a name is taken apart once."""
+    return F.explode_outer(F.flatten(F.transform(F.transform(F.array(name), name_parts), lambda parts: spell(parts, mode)))).alias("token")
+
+
 def _name_tokens(names: DataFrame, mode: str) -> DataFrame:
-    return names.select(F.explode(_offered(name_parts(F.col("name")), mode)).alias("token"))
+    return names.select(_tokens(_offered, "name", mode)).where(F.col("token").isNotNull())
 
 
 def _check_mode(mode: str) -> None:
@@ -113,7 +122,7 @@ def author_match(authors: DataFrame, names: DataFrame, mode: str = "strict", sal
     adaptive execution from splitting.)
     """
     _check_mode(mode)
-    asked = authors.withColumn("token", F.explode(_asked(name_parts(F.col("author")), mode)))
+    asked = authors.select("*", _tokens(_asked, "author", mode)).where(F.col("token").isNotNull())
     tokens = _name_tokens(names, mode)
     on = ["token"]
     if salts > 1:
@@ -166,7 +175,7 @@ def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], stage: bool = T
     tokens = reduce(DataFrame.unionByName, tagged).groupBy("token").agg(*flags)
     if stage:
         tokens = staged(tokens, "name-tokens")
-    asked = explode_authors(corpus).select("key", F.explode(_asked(name_parts(F.col("author")), mode)).alias("token"))
+    asked = explode_authors(corpus).select("key", _tokens(_asked, "author", mode)).where(F.col("token").isNotNull())
     return asked.join(tokens, "token").groupBy("key").agg(*flags)
 
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, StructField, StructType
 
-from marginalia.functions import strings as S
 from marginalia.functions import vectors as V
 
 MASK_FLOOR = 1e-9  # fixed value: smallest divisor of a masked mean
@@ -21,6 +19,9 @@ MAX_TOKENS = 512
 #: Texts that are sorted by length together.
 POOL_TEXTS = 1024
 HASH_DIM = 64
+#: Texts whose words are told apart together, and different words that are Python objects at a time.
+HASH_TEXTS = 2048
+HASH_WORDS = 65536
 
 Encoder = Callable[[list[str]], "object"]
 
@@ -217,17 +218,45 @@ def embed_padded(
 
 
 def hashing_vectors(texts: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Put `vec` in place of `text` with a model-free encoder made of built-in expressions.
+    """Put `vec` in place of `text` with a model-free encoder.
 
-    Every word falls into one of `dim` buckets by its MD5; the vector is the bucket counts,
-    scaled to unit length. Row-local: no shuffle and no Python.
+    Every word falls into one of `dim` buckets by the first 32 bits of its MD5; the vector is the bucket counts,
+    scaled to unit length. Row-local: no shuffle. Most of the time goes into digests, so of up to `HASH_TEXTS`
+    texts that share an Arrow batch each different word is hashed once.
     """
+    kept = texts.drop("text")
+    names = kept.columns
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
 
-    def bucket(word: Column) -> Column:
-        return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim).cast("string")
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def buckets(words: pa.Array) -> Iterator[int]:
+            for at in range(0, len(words), HASH_WORDS):
+                for word in words.slice(at, HASH_WORDS).cast(pa.binary()).to_pylist():
+                    yield int.from_bytes(md5(word, usedforsecurity=False).digest()[:4], "big") % dim
+
+        for batch in batches:
+            if batch.column("text").null_count:
+                raise ValueError("a text is NULL")
+            for start in range(0, batch.num_rows, HASH_TEXTS):
+                part = batch.slice(start, HASH_TEXTS)
+                split = pc.utf8_split_whitespace(part.column("text"))  # where `S.words` does
+                words = split.flatten().dictionary_encode()
+                places, distinct = words.indices.to_numpy(), words.dictionary
+                bucket = np.fromiter(buckets(distinct), np.int64, len(distinct))
+                rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(split).to_numpy())
+                there = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)[places]  # whitespace at an end leaves an empty word
+                cells = (rows * dim + bucket[places])[there]
+                matrix = np.bincount(cells, minlength=part.num_rows * dim).reshape(-1, dim).astype(np.float64)
+                matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), V.NORM_FLOOR)
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * dim
+                vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), vec], names=[*names, "vec"])
 
-    names = [str(i) for i in range(dim)]
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_buckets", outputCol="_counts")
-    buckets = texts.withColumn("_buckets", F.transform(S.words(F.lower("text")), bucket)).drop("text")
-    counted = counter.transform(buckets).withColumn("vec", vector_to_array("_counts")).drop("_buckets", "_counts")
-    return l2_normalize(counted)
+    # Spark's lower case, as it is that of every other operator.
+    lowered = texts.withColumn("text", F.lower("text"))
+    return lowered.mapInArrow(encode, StructType([*kept.schema.fields, StructField("vec", ArrayType(DoubleType()))]))
