@@ -29,6 +29,10 @@ OTHER = "Other"
 # Listed names up to this number are matched inside the scan, without explode, join or shuffle.
 INLINE_NAMES = 500
 
+# Author lines that hold a listed name are broadcast up to this size in memory, instead of the texts being shuffled.
+LINE_BYTES = 256 * 1024 * 1024
+LINE_OVERHEAD = 64
+
 
 def name_parts(name: Column) -> Column:
     return S.words(F.translate(F.lower(name), NAME_PUNCTUATION, " " * len(NAME_PUNCTUATION)))
@@ -179,6 +183,19 @@ def matched_keys(corpus: DataFrame, lists: dict[str, DataFrame], stage: bool = T
     return asked.join(tokens, "token").groupBy("key").agg(*flags)
 
 
+def _hinted(matched: DataFrame) -> DataFrame:
+    """The written `matched` (_line, flags), to be broadcast if it fits into `LINE_BYTES`. Runs a job.
+
+    Spark's own threshold is passed long before that, and beyond it all texts would be shuffled and sorted by
+    their author lines. A session that has turned broadcasts off keeps them off.
+    """
+    threshold = matched.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if threshold.startswith("-"):
+        return matched
+    size = matched.agg(F.sum(F.octet_length("_line") + F.lit(LINE_OVERHEAD))).first()[0]
+    return F.broadcast(matched) if (size or 0) <= LINE_BYTES else matched
+
+
 def _flagged(
     corpus: DataFrame,
     lists: dict[str, DataFrame],
@@ -205,7 +222,7 @@ def _flagged(
         lines = lines.withColumn("content", F.concat(F.lit("Authors: "), "key", F.lit("\n")))
         matched = matched_keys(lines, long, stage).withColumnRenamed("key", "_line")
         if stage:
-            matched = staged(matched, "matched-lines")
+            matched = _hinted(staged(matched, "matched-lines"))
         # Rows without authors match nothing; a key of their own each keeps them from meeting in one task.
         apart = F.concat(F.lit("\0"), F.xxhash64("key", "content").cast("string"))
         flagged = flagged.withColumn("_line", F.when(line == "", apart).otherwise(line)).join(matched, "_line", "left").fillna(False, list(long)).drop("_line")

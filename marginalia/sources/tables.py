@@ -31,9 +31,12 @@ def latest_by_key(table: DataFrame, key: str, order: Column) -> DataFrame:
     """`overwrite_by_key` for wide rows of which few repeat a key.
 
     Keys are counted alone; only rows of repeated keys are shuffled, and the others stay where they are
-    if the repeated keys are few enough for Spark to broadcast. Rows with a NULL key pass.
+    if the repeated keys are few enough for Spark to broadcast. Rows with a NULL key pass. Without repeated keys
+    the table is left as it is, so that whoever reads it does not read it once for each of the two kinds.
     """
-    repeated = staged(table.groupBy(key).count().where("count > 1").select(key), "repeated-keys")
+    repeated = staged(table.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key), "repeated-keys")
+    if repeated.isEmpty():
+        return table
     once = table.join(repeated, key, "left_anti")
     return once.unionByName(overwrite_by_key(table.join(repeated, key, "left_semi"), key, order))
 

@@ -197,3 +197,21 @@ def test_cards_of_one_key_stay_apart(spark, inline):
     cards = spark.createDataFrame([(1, "Ann Clark"), (1, "Bo Li"), (1, None)], "id int, authors string")
     flagged = authors.flag_authors(cards, _names(spark, ["A Clark"]), ["id"], inline).collect()
     assert sorted([tuple(f) for f in r.flags] for r in flagged) == [[], [("Ann Clark", True)], [("Bo Li", False)]]
+
+
+def test_texts_are_not_shuffled_for_matched_lines_above_sparks_threshold(spark):
+    rows = [(i, f"Title: t\nAuthors: Ann B{i}\nAbstract:\nx\nURL: u\nDate: d\n") for i in range(300)]
+    corpus = spark.createDataFrame(rows, "key int, content string")
+    black, white = (spark.createDataFrame([(f"A B{i}",) for i in keys], "name string") for keys in (range(0, 100), range(50, 200)))
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "10b")
+        routed = authors.route_priority(corpus, black, white, inline=0)
+        assert "SortMergeJoin" not in plan_of(routed) and "BroadcastHashJoin" in plan_of(routed)
+        found = {r.key: r.section for r in routed.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert found == {i: "Priority" if i < 200 else "Other" for i in range(100, 300)}

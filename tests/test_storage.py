@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from marginalia.operators import state
@@ -217,3 +218,12 @@ def test_latest_by_key(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (1, "b")], "key int, value string")
     got = sorted((r.key or 0, r.value) for r in tables.latest_by_key(rows, "key", F.col("value")).collect())
     assert got == [(0, "d"), (1, "b"), (2, "c")]
+
+
+def test_latest_by_key_leaves_a_table_without_repeated_keys_alone(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), (None, 4)], "key string, n int")
+    kept = tables.latest_by_key(rows, "key", F.col("n"))
+    assert "Join" not in plan_of(kept) and "Union" not in plan_of(kept)
+    assert sorted(r.n for r in kept.collect()) == [1, 2, 3, 4]
+    again = tables.latest_by_key(rows.union(spark.createDataFrame([("a", 5)], rows.schema)), "key", F.col("n"))
+    assert sorted(r.n for r in again.collect()) == [2, 3, 4, 5]
