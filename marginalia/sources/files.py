@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import islice
 from math import ceil
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import strings as S
+from marginalia.session import staged
 
 #: Tasks for each core where Spark would choose by size alone, and parts of a large directory that are one task at most.
 TASKS = 4
 PARTS = 64
+#: Files of a directory that Spark lists on the driver at most. It keeps more than a kilobyte for each of them there.
+LISTED = 10_000
+#: Files of a larger directory that are one task, names that are listed and bytes of contents that are handed over together.
+FILES = 2048
+NAMES = 10_000
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def _decoded_file_name():
@@ -20,18 +31,105 @@ def _decoded_file_name():
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder of the local or a shared file system; None for other stores, patterns and no folder."""
+    if any(c in path for c in "*?[]{}\\"):
+        return None
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target = fs.Path(path)
+    if (target.toUri().getScheme() or fs.FileSystem.getDefaultUri(conf).getScheme()) != "file":
+        return None
+    plain = target.getFileSystem(conf).makeQualified(target).toUri().getPath()
+    return plain if os.path.isdir(plain) else None
+
+
+def _record_names(folder: str) -> Iterator[str]:
+    """The names of the `*.txt` directly in `folder`, without those that Spark's readers take for hidden."""
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            name = entry.name
+            hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
+            if name.endswith(".txt") and not hidden and entry.is_file():
+                yield name
+
+
+def _large_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder with more than `LISTED` records, of which no more are looked at."""
+    folder = _local_folder(spark, path)
+    return folder if folder and sum(1 for _ in islice(_record_names(folder), LISTED + 1)) > LISTED else None
+
+
+def _opened_by_tasks(spark: SparkSession, folder: str, contents: bool) -> DataFrame:
+    """(key, content, modified) of a large folder, or its keys alone; the driver sees no file.
+
+    One task lists the names and writes them as a table, which is dealt out to tasks that open the files. Runs a job.
+    Empty files give no row, as with Spark's readers.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        if sum(batch.num_rows for batch in batches):
+            found = _record_names(folder)
+            while some := list(islice(found, NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["key"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([os.stat(f"{folder}/{key}").st_size > 0 for key in batch.column(0).to_pylist()], pa.bool_()))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        schema = pa.schema([("key", pa.string()), ("content", pa.binary()), ("millis", pa.int64())])
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        rows, size = [], 0
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                with open(f"{folder}/{key}", "rb") as file:
+                    content, millis = file.read(), os.fstat(file.fileno()).st_mtime_ns // 1_000_000
+                if content and rows and size + len(content) > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+                if content:
+                    rows.append((key, content, millis))
+                    size += len(content)
+        if rows:
+            yield batch_of(rows)
+
+    listed = staged(spark.range(0, 1, 1, 1).mapInArrow(names, "key string"), "record-names")
+    dealt = listed.repartition(max(TASKS * spark.sparkContext.defaultParallelism, ceil(listed.count() / FILES)))
+    if not contents:
+        return dealt.mapInArrow(keys, "key string")
+    return dealt.mapInArrow(records, "key string, content binary, millis bigint").select(
+        "key", _text(F.col("content")).alias("content"), F.timestamp_millis("millis").alias("modified")
+    )
+
+
+def _text(content: Column) -> Column:
+    return S.universal_newlines(content.cast("string"))
+
+
 def scan_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Each `*.txt` directly in `path` as one row: (key, content, modified).
 
     Newlines are translated as in text mode. Sub-folders are not entered. The files are read as bytes, which costs
-    a fraction of what the text reader sets up for every file, and nothing where no content is asked for. Spark
-    deals small files out a few to a task; of a large directory many such parts are one task.
+    a fraction of what the text reader sets up for every file. Spark deals small files out a few to a task; of a
+    large directory many such parts are one task. A local or shared directory of more than `LISTED` files is listed
+    and opened by tasks, as Spark would hold all its files in the driver's memory.
     """
+    if folder := _large_folder(spark, path):
+        return _opened_by_tasks(spark, folder, contents=True)
     corpus = (
         spark.read.format("binaryFile").load(path, pathGlobFilter="*.txt", recursiveFileLookup=False)
         .select(
             _decoded_file_name().alias("key"),
-            S.universal_newlines(F.col("content").cast("string")).alias("content"),
+            _text(F.col("content")).alias("content"),
             F.col("_metadata.file_modification_time").alias("modified"),
         )
     )
@@ -39,6 +137,13 @@ def scan_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     return corpus.coalesce(max(enough, ceil(parts / PARTS))) if parts > enough else corpus
 
 
+def scan_text_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The keys of `scan_text_corpus`, for which no file is opened."""
+    if folder := _large_folder(spark, path):
+        return _opened_by_tasks(spark, folder, contents=False)
+    return scan_text_corpus(spark, path).select("key")
+
+
 def scan_name_list(spark: SparkSession, path: str) -> DataFrame:
     """One name per line, stripped, blanks dropped; a missing file is an empty list."""
     try:

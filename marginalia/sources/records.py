@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from marginalia.sources.files import scan_text_corpus
+from marginalia.sources.files import scan_text_keys
 from marginalia.sources.tables import insert_new, overwrite_by_key
 
 #: Bytes of a file name that file systems take at most.
@@ -155,7 +155,7 @@ def insert_records(records: DataFrame, path: str, order: Column) -> None:
 
 def _present(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return scan_text_corpus(spark, path).select("key")
+        return scan_text_keys(spark, path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -154,3 +154,43 @@ def test_short_reports_of_many_days_are_written_by_many_tasks(spark, tmp_path, m
             spark.conf.set("spark.sql.shuffle.partitions", before)
     tasks = {p.name.split("-")[1] for p in (tmp_path / "reports").glob("run_date=*/part-*")}
     assert len(tasks) > 8 and files.scan_reports(spark, str(tmp_path / "reports")).where("md = 'x\n'").count() == 200
+
+
+def test_a_large_directory_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's listing holds every file on the driver; the rows are the same without it."""
+    path = tmp_path / "r"
+    path.mkdir()
+    for k in range(30):
+        (path / f"{k} b+c%é.txt").write_bytes(f"x{k}\r\ny\r".encode() + b"\xff")
+    for name in ("_hidden.txt", "_a=b.txt", ".dot.txt", "skip.md", "up.TXT"):
+        (path / name).write_text("z")
+    (path / "empty.txt").write_bytes(b"")
+    (path / "folder.txt").mkdir()
+    (path / "folder.txt" / "deep.txt").write_text("no")
+
+    def rows(corpus):
+        return sorted(tuple(r) for r in corpus.withColumn("content", F.hex("content")).collect())
+
+    small = files.scan_text_corpus(spark, str(path))
+    expected = rows(small)
+    assert len(expected) == 31 and "binaryFile" in plan_of(small)
+    monkeypatch.setattr(files, "LISTED", 10, raising=False)
+    monkeypatch.setattr(files, "BATCH_BYTES", 16, raising=False)
+    for spelled in (str(path), f"file://{path}", f"file:{path}/"):
+        large = files.scan_text_corpus(spark, spelled)
+        assert "binaryFile" not in plan_of(large) and large.dtypes == small.dtypes
+        assert rows(large) == expected
+    assert sorted(r.key for r in files.scan_text_keys(spark, str(path)).collect()) == [key for key, *_ in expected]
+    assert rows(files.scan_text_corpus(spark, f"{tmp_path}/[r]")) == expected
+
+
+def test_records_are_inserted_into_a_large_directory(spark, tmp_path, monkeypatch):
+    """The names that are taken are listed by tasks; an empty file is no record, and its name is free."""
+    from marginalia.sources import records
+
+    monkeypatch.setattr(files, "LISTED", 10, raising=False)
+    path = str(tmp_path / "r")
+    write_records(_records(spark, [(f"{k}.txt", f"old {k}") for k in range(20)] + [("empty.txt", None)]), path, F.col("n"))
+    assert "binaryFile" not in plan_of(records._present(spark, path))
+    insert_records(_records(spark, [(f"{k}.txt", f"new {k}") for k in range(15, 25)] + [("empty.txt", "e")]), path, F.col("n"))
+    assert dict(_found(spark, path)) == {f"{k}.txt": f"{'old' if k < 20 else 'new'} {k}" for k in range(25)} | {"empty.txt": "e"}
