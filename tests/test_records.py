@@ -194,3 +194,22 @@ def test_records_are_inserted_into_a_large_directory(spark, tmp_path, monkeypatc
     assert "binaryFile" not in plan_of(records._present(spark, path))
     insert_records(_records(spark, [(f"{k}.txt", f"new {k}") for k in range(15, 25)] + [("empty.txt", "e")]), path, F.col("n"))
     assert dict(_found(spark, path)) == {f"{k}.txt": f"{'old' if k < 20 else 'new'} {k}" for k in range(25)} | {"empty.txt": "e"}
+
+
+def test_a_recommendation_from_a_large_directory_is_the_same(spark, tmp_path, monkeypatch):
+    from marginalia.operators.vectors import hashing_vectors
+    from marginalia.plans.recommend import recommend_records
+
+    rows = [(f"{k}.txt", f"Title: t{k}\nAuthors: Ann B{k}\nAbstract:\nw{k} x\nURL: u\nDate: d\n") for k in range(20)]
+    write_records(_records(spark, rows), str(tmp_path / "r"), F.col("n"))
+    names = spark.createDataFrame([("Ann B1",), ("Ann B7",)], "name string")
+    own = hashing_vectors(spark.createDataFrame([(1, "w2 x")], "key int, text string"))
+
+    def found():
+        corpus = files.scan_text_corpus(spark, str(tmp_path / "r"))
+        cards = recommend_records(corpus, own, names.where("name = 'Ann B1'"), names, hashing_vectors)
+        return "binaryFile" in plan_of(corpus), sorted(tuple(r) for r in cards.collect())
+
+    listed_by_spark, expected = found()
+    monkeypatch.setattr(files, "LISTED", 10, raising=False)
+    assert listed_by_spark and found() == (False, expected) and len(expected) == 19
